@@ -126,7 +126,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def hash_words(texts: list[bytes], kinds: np.ndarray) -> Words:
+def _spans(texts: list[bytes], kinds: np.ndarray) -> tuple:
+    """Of all words: values of their bytes, their places in the word, and the words' first values, starts and lengths."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
@@ -134,16 +135,32 @@ def hash_words(texts: list[bytes], kinds: np.ndarray) -> Words:
     inside = values != 0
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
     lengths = ends - starts
-    flat = values[inside].astype(np.uint64)
-    first_of = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=first_of[1:])
-    place = np.arange(len(flat)) - np.repeat(first_of, lengths)
-    flat *= _powers_to(int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(flat, first_of) ^ (lengths.astype(np.uint64) * _GOLD))
-    return Words(hashes, np.searchsorted(starts, begins))
+    first_of = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first_of, lengths)
+    return values[inside].astype(np.uint64), place, first_of, lengths, np.searchsorted(starts, begins)
+
+
+def hash_words(texts: list[bytes], kinds: np.ndarray) -> Words:
+    return word_prefixes(texts, kinds, ())[0]
+
+
+def word_prefixes(texts: list[bytes], kinds: np.ndarray, sizes: tuple[int, ...]) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
+    """The words, and for each of `sizes` the words that have so many bytes and the hashes of their first bytes."""
+    flat, place, first_of, lengths, first = _spans(texts, kinds)
+    if not len(lengths):
+        return Words(np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * len(sizes)
+    powers = _powers_to(int(lengths.max()))
+    flat *= powers[place]
+    words = Words(mix(np.add.reduceat(flat, first_of) ^ (lengths.astype(np.uint64) * _GOLD)), first)
+    starts = []
+    for n in sizes:
+        has = np.flatnonzero(lengths >= n)
+        at, total = first_of[has], np.zeros(len(has), np.uint64)
+        for k in range(n):
+            total += flat[at + k]
+        starts.append((has, mix(total)))
+    return words, starts
 
 
 def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
