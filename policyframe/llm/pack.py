@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from policyframe.llm.shared import cut, partitions, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words a Python worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: Characters for which Python's classes and lower-casing agree with the tokenizer's, and which have no decompositions.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]")
@@ -43,17 +44,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids. Many words are tokenized as one text, whose ids are cut after each end of a word."""
+        out = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(part):
+                out += self._whole(part)
+                continue
+            data, at = ids.tobytes(), [0, *cuts.tolist()]
+            out += [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [None if _OTHER.search(t) or "<|" in t else _WORD.findall(t.lower()) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list({w for words in plain if words for w in words}.difference(self.known))
-        self.known.update(zip(new, self._encoded(new), strict=True))
-        rest = iter(self._encoded([t for t, words in zip(texts, plain, strict=True) if words is None]))
+        new = list(set(chain.from_iterable(words for words in plain if words)).difference(self.known))
+        self.known.update(zip(new, self._words(new), strict=True))
+        rest = iter(self._whole([t for t, words in zip(texts, plain, strict=True) if words is None]))
         return [next(rest) if words is None else b"".join(map(self.known.__getitem__, words)) for words in plain]
 
 
