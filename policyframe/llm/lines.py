@@ -14,7 +14,7 @@ on the input, not on what is left.
 4. Of each key only the earliest line matters; a line and the earliest of its keys are joined, and the edit is verified on
    the words. Where the earliest is a false friend, all earlier lines of that key are verified instead.
 
-No pairs within a key are formed (but for such collisions), so a line in a third of all documents costs what others cost.
+Texts meet lists of line numbers by sort and merge at every size. No pairs within a key are formed (but for such collisions), so a line in a third of all documents costs what others cost.
 
 Edge cases: a null text has no lines and stays null; an empty text stays empty; rows that repeat an id and text are one
 document; a null id counts as larger than any other; an empty table gives an empty result; extra columns pass through.
@@ -40,17 +40,27 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
+    """A row a line with words: joined (its words, one space between them), two hashes, and ref, its place in the order of all
+    lines: id, line number, and some bits of the text's key, which tell texts of one id apart. A number of 38 digits keeps
+    aggregation in hash tables."""
     out = texts.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    out = out.withColumn("words", _words(F.col("raw"))).withColumn("n", F.size("words")).filter("n > 0")
-    return out.withColumn("joined", F.array_join("words", " ")).withColumns({"h1": F.xxhash64("joined"), "h2": F.xxhash64(F.lit(1), "joined")})
+    # Only lines with other white space than single spaces between words are taken apart.
+    odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd |= F.contains("raw", F.lit(blank))
+    out = out.withColumn("joined", F.when(odd, F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
+    ref = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("line")) * F.lit(1 << 24) + F.pmod("key", F.lit(1 << 24))
+    out = out.withColumn("ref", ref.cast("decimal(38,0)"))
+    return out.select("id", "key", "line", "ref", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
 
 
 def _halves() -> list[Column]:
+    """For each size of the shorter line of a pair, the first and the last half of it."""
     out = []
     for less in (0, 1):
-        m = F.col("n") - less
-        half = F.floor(m / 2).cast("int")
-        out += [F.xxhash64(m, F.lit(0), F.array_join(F.slice("words", F.lit(1), half), " ")), F.xxhash64(m, F.lit(1), F.array_join(F.slice("words", F.col("n") - half + 1, half), " "))]
+        size = F.col("n") - less
+        half = F.floor(size / 2).cast("int")
+        out += [F.xxhash64(size, F.lit(0), F.call_function("substring_index", F.col("joined"), F.lit(" "), half)), F.xxhash64(size, F.lit(1), F.call_function("substring_index", F.col("joined"), F.lit(" "), -half))]
     return out
 
 
@@ -84,27 +94,26 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
     """(ref) of the distinct lines that an earlier one is one edit from."""
-    long = distinct.filter(F.col("n") >= fuzzy_words - 1).select("h1", "first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
-    shared = long.groupBy("half").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b").select("half")
-    chosen = cut(long.join(cut(shared, "halves"), "half").select("first").distinct(), "chosen")
-    # Words are read again for the chosen lines alone: texts meet lists of line numbers.
-    numbers = chosen.groupBy("first.id", "first.key").agg(F.collect_list("first.line").alias("numbers"))
-    found = texts.join(cut(numbers, "numbers"), ["id", "key"]).select("id", "key", F.split("text", "\n", -1).alias("all"), F.explode("numbers").alias("line"))
-    ref = F.struct("id", "line", "key").alias("ref")
-    words = found.select(ref, _words(F.get("all", F.col("line"))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= fuzzy_words).dropDuplicates(["ref"])
-    words = cut(words, "words")
+    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", "id", "key", "line", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
+    shared = long.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half")
+    chosen = cut(long.join(cut(shared, "halves"), "half").select("first", "id", "key", "line").distinct(), "chosen")
+    # Words are read again for the chosen lines alone: texts meet lists of places.
+    places = cut(chosen.groupBy("id", "key").agg(F.collect_list(F.struct("line", F.col("first").alias("ref"))).alias("places")), "places")
+    found = texts.join(places.hint("merge"), ["id", "key"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
+    words = found.select("p.ref", _words(F.get("all", F.col("p.line"))).alias("words")).withColumn("n", F.size("words"))
+    words = cut(words.dropDuplicates(["ref"]), "words")
 
     rows = _neighbourhood(words)
     earliest = rows.groupBy("variant", "at").agg(F.min("ref").alias("low"), F.max("ref").alias("high"))
-    several = earliest.groupBy("variant").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.min(F.when(F.col("at") == 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.struct("low", "at"))).alias("less"))
-    several = cut(several.filter("a != b").select("variant", "whole", "less"), "several")
+    several = earliest.groupBy("variant").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.min(F.when(F.col("at") == 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("low"))).alias("less"), F.min_by("at", F.when(F.col("at") > 0, F.col("low"))).alias("less_at"))
+    several = cut(several.filter("a != b").select("variant", "whole", "less", "less_at"), "several")
     rows = cut(rows.join(several, "variant"), "rows")
     alike = cut(rows.groupBy("variant", "at").agg(F.min("ref").alias("low")), "alike")
     rows = rows.join(alike, ["variant", "at"])
     other = F.array(
         F.when(F.col("at") > 0, F.struct(F.col("low").alias("other"), F.col("at").alias("other_at"))),
         F.when(F.col("at") > 0, F.struct(F.col("whole").alias("other"), F.lit(0).alias("other_at"))),
-        F.when(F.col("at") == 0, F.struct(F.col("less.low").alias("other"), F.col("less.at").alias("other_at"))),
+        F.when(F.col("at") == 0, F.struct(F.col("less").alias("other"), F.col("less_at").alias("other_at"))),
     )
     links = rows.select("ref", "at", "variant", F.explode(other).alias("o")).select("ref", "at", "variant", "o.other", "o.other_at").filter("other < ref")
     links = cut(_verified(links, words), "links")
@@ -121,22 +130,23 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, key, removed): numbers of the lines to remove, for each text with any; key is xxhash64(text)."""
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
-    ref = F.struct("id", "line", "key").alias("ref")
-    distinct = lines.select("h1", "h2", "n", ref, *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
-    distinct = distinct.groupBy("h1", "h2", "n").agg(F.min("ref").alias("first"), F.max("ref").alias("last"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(1, 5)])
+    sized = lines.withColumn("n", F.char_length("joined") - F.char_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
+    distinct = sized.select("h1", "h2", "n", "ref", "id", "key", "line", *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
+    own = [F.min_by(c, "ref").alias(c) for c in ("id", "key", "line")] + [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
+    distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.max("ref").alias("last"), *own)
     distinct = cut(distinct, "distinct")
     near = cut(_near(lines, distinct, fuzzy_words, texts), "near").withColumn("near", F.lit(True))
     matter = distinct.select("h1", "h2", "first", "last").join(near, "first", "left").filter("near or first != last")
     matter = cut(matter.select("h1", "h2", "first", "near"), "matter")
-    going = lines.select("h1", "h2", ref).join(matter, ["h1", "h2"]).filter("near or ref != first")
-    return cut(going.groupBy("ref.id", "ref.key").agg(F.collect_list("ref.line").alias("removed")), "removed")
+    going = lines.select("h1", "h2", "id", "key", "line", "ref").join(matter, ["h1", "h2"]).filter("near or ref != first")
+    return cut(going.groupBy("id", "key").agg(F.collect_list("line").alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """Every row of docs with its columns, the text without the lines that go, n_lines and n_removed."""
     removed = removed_lines(docs, id_col=id_col, text_col=text_col, fuzzy_words=fuzzy_words)
     own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key": F.xxhash64(text_col)})
-    joined = own.join(removed.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed")), ["_id", "_key"], "left")
+    joined = own.join(removed.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed")).hint("merge"), ["_id", "_key"], "left")
     joined = joined.withColumn("_lines", F.split(text_col, "\n", -1))
     rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get("_lines", i)), "\n"))
