@@ -29,6 +29,12 @@ from policyframe.llm.shared import cut, table
 
 FUZZY_WORDS = 5
 _LAST = (1 << 63) - 1
+#: A line's place in the order of all lines is id * _LINE * _TEXT + line number * _TEXT + some bits of its text's key.
+_LINE, _TEXT = 1 << 31, 1 << 24
+
+
+def _bits(key: str) -> Column:
+    return F.pmod(F.col(key), F.lit(_TEXT))
 
 
 def _words(line: Column) -> Column:
@@ -49,7 +55,7 @@ def _lines(texts: DataFrame) -> DataFrame:
     for blank in ("  ", "\t", "\x0b", "\f", "\r"):
         odd |= F.contains("raw", F.lit(blank))
     out = out.withColumn("joined", F.when(odd, F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
-    ref = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("line")) * F.lit(1 << 24) + F.pmod("key", F.lit(1 << 24))
+    ref = F.col("id").cast("decimal(20,0)") * F.lit(_LINE * _TEXT) + (F.col("line").cast("long") * _TEXT + _bits("key"))
     out = out.withColumn("ref", ref.cast("decimal(38,0)"))
     return out.select("id", "key", "line", "ref", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
 
@@ -94,12 +100,14 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
     """(ref) of the distinct lines that an earlier one is one edit from."""
-    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", "id", "key", "line", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
+    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
     shared = long.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half")
-    chosen = cut(long.join(cut(shared, "halves"), "half").select("first", "id", "key", "line").distinct(), "chosen")
+    chosen = cut(long.join(cut(shared, "halves").hint("merge"), "half").select("first").distinct(), "chosen")
     # Words are read again for the chosen lines alone: texts meet lists of places.
-    places = cut(chosen.groupBy("id", "key").agg(F.collect_list(F.struct("line", F.col("first").alias("ref"))).alias("places")), "places")
-    found = texts.join(places.hint("merge"), ["id", "key"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
+    place = chosen.select(F.col("first").alias("ref"), F.expr(f"(first - pmod(first, {_TEXT * _LINE})) div {_TEXT * _LINE}").alias("id"), F.expr(f"cast(pmod(first, {_TEXT * _LINE}) AS bigint)").alias("rest"))
+    place = place.select("ref", "id", F.expr(f"cast(rest div {_TEXT} AS int)").alias("line"), F.pmod("rest", F.lit(_TEXT)).alias("bits"))
+    places = cut(place.groupBy("id", "bits").agg(F.collect_list(F.struct("line", "ref")).alias("places")), "places")
+    found = texts.withColumn("bits", _bits("key")).join(places.hint("merge"), ["id", "bits"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
     words = found.select("p.ref", _words(F.get("all", F.col("p.line"))).alias("words")).withColumn("n", F.size("words"))
     words = cut(words.dropDuplicates(["ref"]), "words")
 
@@ -107,7 +115,7 @@ def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFr
     earliest = rows.groupBy("variant", "at").agg(F.min("ref").alias("low"), F.max("ref").alias("high"))
     several = earliest.groupBy("variant").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.min(F.when(F.col("at") == 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("low"))).alias("less"), F.min_by("at", F.when(F.col("at") > 0, F.col("low"))).alias("less_at"))
     several = cut(several.filter("a != b").select("variant", "whole", "less", "less_at"), "several")
-    rows = cut(rows.join(several, "variant"), "rows")
+    rows = cut(rows.join(several.hint("merge"), "variant"), "rows")
     alike = cut(rows.groupBy("variant", "at").agg(F.min("ref").alias("low")), "alike")
     rows = rows.join(alike, ["variant", "at"])
     other = F.array(
@@ -131,14 +139,14 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
     sized = lines.withColumn("n", F.char_length("joined") - F.char_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    distinct = sized.select("h1", "h2", "n", "ref", "id", "key", "line", *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
-    own = [F.min_by(c, "ref").alias(c) for c in ("id", "key", "line")] + [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
-    distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.max("ref").alias("last"), *own)
+    distinct = sized.select("h1", "h2", "n", "ref", *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
+    own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
+    distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.count("*").alias("times"), *own)
     distinct = cut(distinct, "distinct")
     near = cut(_near(lines, distinct, fuzzy_words, texts), "near").withColumn("near", F.lit(True))
-    matter = distinct.select("h1", "h2", "first", "last").join(near, "first", "left").filter("near or first != last")
+    matter = distinct.select("h1", "h2", "first", "times").join(near, "first", "left").filter("near or times > 1")
     matter = cut(matter.select("h1", "h2", "first", "near"), "matter")
-    going = lines.select("h1", "h2", "id", "key", "line", "ref").join(matter, ["h1", "h2"]).filter("near or ref != first")
+    going = lines.select("h1", "h2", "id", "key", "line", "ref").join(matter.hint("merge"), ["h1", "h2"]).filter("near or ref != first")
     return cut(going.groupBy("id", "key").agg(F.collect_list("line").alias("removed")), "removed")
 
 
