@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from policyframe.llm.shared import cut, table
 
-K, BRANCHES, LEAF, SAMPLE, CALIBRATION, RECALL = 10, 8, 96, 20_000, 100, 0.97
+K, BRANCHES, LEAF, SAMPLE, CALIBRATION, RECALL = 10, 8, 96, 20_000, 100, 0.95
+#: Rows found that a task holds before it keeps the best of each query.
+HELD = 400_000
 _SPAN = 1 << 40
 
 
@@ -119,21 +121,33 @@ def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarr
     return centres[used], np.searchsorted(used, label)
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k smallest (score, id) of each query, each id once."""
+    order = np.lexsort((score, ids, query))
+    order = order[np.append(True, (np.diff(query[order]) != 0) | (np.diff(ids[order]) != 0))] if len(order) else order
+    order = order[np.lexsort((ids[order], score[order], query[order]))]
+    q = query[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of x for each query: (query's row, row, distance), ties to smaller ids, rows of the query's id left out."""
-    out = []
+    """Of x, the k best for each query at least: (query's row, row, distance); rows of the query's own id are left out.
+    Products of matrices choose the rows, with room for their rounding; distances are taken from the vectors themselves."""
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for a in range(0, len(x), 4096):
-        for i in range(len(q)):
-            d = np.sqrt(((x[a : a + 4096] - q[i]) ** 2).sum(axis=1))
-            d[ids[a : a + 4096] == query_ids[i]] = np.inf
-            if len(d) > k:
-                rows = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            else:
-                rows = np.arange(len(d))
-            rows = rows[np.isfinite(d[rows])]
-            rows = rows[np.lexsort((ids[a + rows], d[rows]))][:k]
-            out.append((np.full(len(rows), i), rows + a, d[rows]))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+        part, part_ids = x[a : a + 4096], ids[a : a + 4096]
+        sizes = (part**2).sum(axis=1)
+        for b in range(0, len(q), 256):
+            some = q[b : b + 256]
+            d = sizes - 2 * some @ part.T
+            room = 1e-9 * (sizes.max() + (some**2).sum(axis=1)[:, None])
+            d[part_ids[None, :] == query_ids[b : b + 256, None]] = np.inf
+            top = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(some), 1), np.inf)
+            i, rows = np.nonzero((d <= top + room) & np.isfinite(d))
+            out.append((i + b, rows + a, np.sqrt(((part[rows] - some[i]) ** 2).sum(axis=1))))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
 def _brute(assigned: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -144,6 +158,8 @@ def _brute(assigned: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) ->
         for batch in batches:
             ids, leaf, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
             i, rows, d = _nearest(ids, x, *sent.value, k)
+            keep = _best(i, ids[rows], d, k)
+            i, rows, d = i[keep], rows[keep], d[keep]
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[rows]), pa.array(leaf[rows]), pa.array(d)], names=["query", "id", "leaf", "score"])
 
     found = assigned.select("id", "leaf", "v").mapInArrow(step, "query long, id long, leaf int, score double")
@@ -210,7 +226,14 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     work = members.union(asked).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, xs = None, [], []
+        place, ids, xs, held, size = None, [], [], [], 0
+
+        def best() -> tuple[np.ndarray, ...]:
+            """Of all that this task has found so far, the best of each query."""
+            found = tuple(np.concatenate(v) for v in zip(*held, strict=True))
+            keep = _best(*found, k)
+            return tuple(v[keep] for v in found)
+
         for batch in batches:
             leaf_, part, side, own = (batch.column(c).to_numpy() for c in range(4))
             x = _matrix(batch.column(4)) if batch.num_rows else np.zeros((0, 0))
@@ -227,7 +250,16 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                     if len(ids) > 1:
                         ids, xs = [np.concatenate(ids)], [np.concatenate(xs)]
                     i, rows, d = _nearest(ids[0], xs[0], own[a:b], x[a:b], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a:b][i]), pa.array(ids[0][rows]), pa.array(d)], names=["query_id", "vec_id", "score"])
+                    held.append((own[a:b][i], ids[0][rows], d))
+                    size += len(d)
+                    if size > HELD:
+                        held = [best()]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in held[0]], names=["query_id", "vec_id", "score"])
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in best()], names=["query_id", "vec_id", "score"])
 
     found = work.mapInArrow(search, "query_id long, vec_id long, score double")
     # Rows that repeat a query's id ask the same question; the answer is given once.
