@@ -30,7 +30,7 @@ from policyframe.llm.shared import cut, partitions, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words a Python worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 #: Characters for which Python's classes and lower-casing agree with the tokenizer's, and which have no decompositions.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]")

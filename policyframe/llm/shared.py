@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are hashed in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 _own_folders: dict[str, str] = {}
 
