@@ -160,13 +160,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row a document row: id, n_words, runs (list of [first word, end)), items (ids found, sorted as strings),
-    n_hit, n_items, items_sha256, contaminated, and the columns named in `keep`."""
+    n_hit, n_items, items_sha256, contaminated."""
+    out = _found(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("own0")), benchmark, item_col, item_text_col, window, gram, block_words)
+    return out.drop("text").withColumnRenamed("own0", id_col).select(id_col, "n_words", "runs", "items", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, gram: int, block_words: int) -> DataFrame:
+    """docs has the text as `text`, and other columns as own0, own1, ...; they stay."""
     spark: SparkSession = docs.sparkSession
-    run_type = "array<struct<a:long,b:long>>"
-    kept = [c for c in keep if c not in (id_col, text_col)]
-    out = docs.select(F.col(id_col), F.col(text_col), *kept).withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast(run_type), "items": F.array().cast("array<string>")})
+    text_col, run_type = "text", "array<struct<a:long,b:long>>"
+    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast(run_type), "items": F.array().cast("array<string>")})
     for part in _blocks(benchmark, item_col, item_text_col, block_words):
         block = Block([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window, gram)
         sent = spark.sparkContext.broadcast(block)
@@ -191,8 +196,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         out = out.mapInArrow(step, out.schema)
 
-    if text_col not in keep:
-        out = out.drop(text_col)
     # Runs are sorted: each adds what lies beyond the end so far.
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("end"))
     hit = F.aggregate(
@@ -216,5 +219,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not contaminated."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.filter("not contaminated").select(*docs.columns)
+    names = [c for c in docs.columns if c != "text"]
+    own = docs.select("text", *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(names)])
+    found = _found(own, table(spark, sf_dir, "benchmark"), "item_id", "text", WINDOW, GRAM, BLOCK_WORDS)
+    kept = {c: F.col(f"own{i}") for i, c in enumerate(names)} | {"text": F.col("text")}
+    return found.filter("not contaminated").select(*[kept[c].alias(c) for c in docs.columns])

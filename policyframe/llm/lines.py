@@ -46,18 +46,21 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """A row a line with words: joined (its words, one space between them), two hashes, and ref, its place in the order of all
-    lines: id, line number, and some bits of the text's key, which tell texts of one id apart. A number of 38 digits keeps
-    aggregation in hash tables."""
+    """A row a line with words: joined (its words, one space between them), and two hashes."""
     out = texts.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     # Only lines with other white space than single spaces between words are taken apart.
     odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
     for blank in ("  ", "\t", "\x0b", "\f", "\r"):
         odd |= F.contains("raw", F.lit(blank))
     out = out.withColumn("joined", F.when(odd, F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
+    return out.select("id", "key", "line", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
+
+
+def _ref() -> Column:
+    """A line's place in the order of all lines: id, line number, and some bits of the text's key, which tell texts of one id
+    apart. A number of 38 digits keeps aggregation in hash tables."""
     ref = F.col("id").cast("decimal(20,0)") * F.lit(_LINE * _TEXT) + (F.col("line").cast("long") * _TEXT + _bits("key"))
-    out = out.withColumn("ref", ref.cast("decimal(38,0)"))
-    return out.select("id", "key", "line", "ref", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
+    return ref.cast("decimal(38,0)")
 
 
 def _halves() -> list[Column]:
@@ -87,7 +90,7 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     return out.select("ref", "at", F.xxhash64(size, *sums).alias("variant"))
 
 
-def _without(words: str, at: str) -> str:
+def _less(words: str, at: str) -> str:
     return f"CASE WHEN {at} = 0 THEN {words} ELSE concat(slice({words}, 1, {at} - 1), slice({words}, {at} + 1, size({words}))) END"
 
 
@@ -95,7 +98,7 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
     """Links (ref, at, other, other_at), with `same`: whether the words without the words named are the same."""
     a = words.select("ref", F.col("words").alias("wa"))
     b = words.select(F.col("ref").alias("other"), F.col("words").alias("wb"))
-    return links.join(a, "ref").join(b, "other").withColumn("same", F.expr(f"{_without('wa', 'at')} = {_without('wb', 'other_at')}")).drop("wa", "wb")
+    return links.join(a, "ref").join(b, "other").withColumn("same", F.expr(f"{_less('wa', 'at')} = {_less('wb', 'other_at')}")).drop("wa", "wb")
 
 
 def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
@@ -139,19 +142,26 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
     sized = lines.withColumn("n", F.char_length("joined") - F.char_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    distinct = sized.select("h1", "h2", "n", "ref", *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
+    distinct = sized.select("h1", "h2", "n", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
     own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
     distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.count("*").alias("times"), *own)
     distinct = cut(distinct, "distinct")
     near = cut(_near(lines, distinct, fuzzy_words, texts), "near").withColumn("near", F.lit(True))
     matter = distinct.select("h1", "h2", "first", "times").join(near, "first", "left").filter("near or times > 1")
     matter = cut(matter.select("h1", "h2", "first", "near"), "matter")
-    going = lines.select("h1", "h2", "id", "key", "line", "ref").join(matter.hint("merge"), ["h1", "h2"]).filter("near or ref != first")
+    going = lines.select("h1", "h2", "id", "key", "line").join(matter.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (_ref() != F.col("first")))
     return cut(going.groupBy("id", "key").agg(F.collect_list("line").alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """Every row of docs with its columns, the text without the lines that go, n_lines and n_removed."""
+    """Every row of docs with its columns, the text without the lines that go, n_lines and n_removed (in place of columns of
+    these names)."""
+    out = _without(docs, id_col, text_col, fuzzy_words)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[f"`{c}`" for c in own], F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, fuzzy_words: int) -> DataFrame:
     removed = removed_lines(docs, id_col=id_col, text_col=text_col, fuzzy_words=fuzzy_words)
     own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key": F.xxhash64(text_col)})
     joined = own.join(removed.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed")).hint("merge"), ["_id", "_key"], "left")
@@ -161,8 +171,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long")}
     counts["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines"])
     counts["n_removed"] = F.when(F.col("_removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_removed"])
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts]
-    return joined.select(*columns, *[v.alias(k) for k, v in counts.items()])
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *[v.alias(f"_{k}") for k, v in counts.items()])
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +210,7 @@ GROUP BY l.doc_id
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, without the lines that go; n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = _without(docs, "doc_id", "text", FUZZY_WORDS)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

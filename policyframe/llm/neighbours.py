@@ -188,8 +188,10 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     rows = usable(vectors, id_col, vector_col)
     n = max(1, rows.count())
     fitted = rows.filter(_share("id", sample / n, 1)).select("id", "v").toPandas().sort_values("id")
-    if not len(fitted):
+    if not len(fitted):  # no rows, or so few that the hash chose none
         fitted = rows.limit(1).toPandas()
+    if not len(fitted):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.array(fitted["v"].tolist(), np.float64).reshape(len(fitted), -1), n, branches, leaf)
     sent = spark.sparkContext.broadcast(tree)
 

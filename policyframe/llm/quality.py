@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = cut(texts.select("text", "y", fold("id").cast("int").alias("fold")).mapInArrow(measured, "x array<double>, y int, fold int"), "statistics")
     n = rows.count()
     ones = (rows.agg(F.sum("y")).first()[0] or 0) / n if n else 0.5
-    if not 0 < ones < 1:
+    if not n or not 0 < ones < 1:
         model = Model(np.zeros(1), np.ones(1), 1)
         model.weights[-1] = ones
         return model

@@ -49,6 +49,8 @@ def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = batch.column(0).to_numpy()
             rolled, own, owner, number = [], [], [], []
             for k, group in text_groups(batch.column(1)):
@@ -124,6 +126,8 @@ def _windows(texts: DataFrame, window: int, block: int) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, keys, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             parts = []
             for k, group in text_groups(batch.column(3)):
@@ -188,6 +192,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             text, starts, lengths = (batch.column(k) for k in (1, 2, 3))
             rows = []
             for value, a, n in zip(text.cast(pa.large_binary()), starts, lengths, strict=True):

@@ -15,7 +15,7 @@ texts are scored whole. Labels serve in training alone.
 
 Edge cases: a null or empty text has no features and gets the score of the bias; without toxic labels, or documents, the score
 is the prior (0 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); repeated
-rows each get their row; an empty table gives an empty result; extra columns are ignored but for `keep`.
+rows each get their row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,22 +154,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(model.hashes, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, score, predicted for every row of docs, and the columns named in `keep`."""
-    kept = [c for c in keep if c not in (id_col, text_col)]
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted for every row of docs."""
+    out = _scored(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("own0"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("own1")), model)
+    out = out.select(F.col("own0").alias(id_col), F.col("own1").alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _scored(docs: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+    """docs has the text as `text`, first, and other columns as own0, own1, ...; they stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), F.col(text_col), *kept, F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.scores(texts) for _, texts in text_groups(batch.column(1))]
-            columns = [c for k, c in enumerate(batch.columns) if k != 1 or text_col in keep]
-            names = [c for k, c in enumerate(batch.schema.names) if k != 1 or text_col in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*names, "score"])
+            found = [sent.value.scores(texts) for _, texts in text_groups(batch.column(0))]
+            first = 0 if with_text else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*batch.schema.names[first:], "score"])
 
-    out = rows if text_col in keep else rows.drop(text_col)
-    schema = out.withColumn("score", F.lit(0.0).cast("double")).schema
-    return rows.mapInArrow(step, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = docs if with_text else docs.drop("text")
+    return docs.mapInArrow(step, out.withColumn("score", F.lit(0.0).cast("double")).schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,4 +183,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not predicted to be toxic. Trained on the stage's own documents."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    names = [c for c in docs.columns if c != "text"]
+    own = docs.select("text", *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(names)])
+    kept = {c: F.col(f"own{i}") for i, c in enumerate(names)} | {"text": F.col("text")}
+    return _scored(own, model, True).filter("score < 0.5").select(*[kept[c].alias(c) for c in docs.columns])
