@@ -47,12 +47,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _lines(texts: DataFrame) -> DataFrame:
     """A row a line with words: joined (its words, one space between them), and two hashes."""
-    out = texts.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    # Only lines with other white space than single spaces between words are taken apart.
-    odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
-    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd |= F.contains("raw", F.lit(blank))
-    out = out.withColumn("joined", F.when(odd, F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
+    # Only in texts with other white space than single spaces between words are lines taken apart.
+    odd = F.col("text").rlike("[\\t\\x0B\\f\\r]| [ \\n]|\\n ") | F.col("text").startswith(" ") | F.col("text").endswith(" ")
+    out = texts.select("id", "key", odd.alias("odd"), F.split("text", "\n", -1).alias("all"))  # once a text, before its lines
+    out = out.select("id", "key", "odd", F.posexplode("all").alias("line", "raw"))
+    out = out.withColumn("joined", F.when(F.col("odd"), F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
     return out.select("id", "key", "line", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
 
 
@@ -141,7 +140,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, key, removed): numbers of the lines to remove, for each text with any; key is xxhash64(text)."""
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
-    sized = lines.withColumn("n", F.char_length("joined") - F.char_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
+    sized = lines.withColumn("n", F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
     distinct = sized.select("h1", "h2", "n", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
     own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
     distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.count("*").alias("times"), *own)
