@@ -48,10 +48,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _lines(texts: DataFrame) -> DataFrame:
     """A row a line with words: joined (its words, one space between them), and two hashes."""
     # Only in texts with other white space than single spaces between words are lines taken apart.
-    odd = F.col("text").rlike("[\\t\\x0B\\f\\r]| [ \\n]|\\n ") | F.col("text").startswith(" ") | F.col("text").endswith(" ")
+    odd = F.contains("text", F.lit("  "))
+    for blank in ("\t", "\x0b", "\f", "\r"):
+        odd |= F.contains("text", F.lit(blank))
     out = texts.select("id", "key", odd.alias("odd"), F.split("text", "\n", -1).alias("all"))  # once a text, before its lines
     out = out.select("id", "key", "odd", F.posexplode("all").alias("line", "raw"))
-    out = out.withColumn("joined", F.when(F.col("odd"), F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
+    out = out.withColumn("joined", F.when(F.col("odd") | F.col("raw").startswith(" ") | F.col("raw").endswith(" "), F.array_join(_words(F.col("raw")), " ")).otherwise(F.col("raw"))).filter("joined != ''")
     return out.select("id", "key", "line", "joined", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"))
 
 
