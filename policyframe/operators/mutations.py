@@ -29,9 +29,20 @@ class Writer(Reader):
 
     def _checked(self, df: DataFrame, name: str, action: str, touched: Column) -> DataFrame:
         """Touched rows that the policy does not grant make the write fail when it runs."""
+        if self.policies is None:
+            return df
         model, own = self.catalog.model(name), df.columns
         df, granted = flagged(df, self._condition(name, action), model, self.catalog, "_g")
-        return df.filter(F.assert_true(~touched | granted, F.lit(f"{action} {name} is denied")).isNull()).select(*[f"`{c}`" for c in own])
+        return self._sure(df, own, name, ~touched | granted, f"{action} {name} is denied")
+
+    def _sure(self, df: DataFrame, own: list[str], name: str, ok: Column, words: str) -> DataFrame:
+        """df's columns `own`; rows that are not ok raise. A filter alone would not do: one that drops the row may be moved
+        before it. So the values that later steps need, `_hit` and a field that every full write has, hold the test too."""
+        model = self.catalog.model(name)
+        held = {(model.key or tuple(model.fields))[0], *[c for c in ("_hit",) if c in own]}
+        raised = F.raise_error(F.lit(words))
+        columns = [F.when(ok, F.col(f"`{c}`")).otherwise(raised.cast(df.schema[c].dataType)).alias(c) if c in held else F.col(f"`{c}`") for c in own]
+        return df.filter(F.assert_true(ok, F.lit(words)).isNull()).select(*columns)
 
     def _facts(self, df: DataFrame, name: str, action: Column | str) -> DataFrame:
         key = F.to_json(F.struct(*[f"`{k}`" for k in self.catalog.model(name).key]))
@@ -59,12 +70,14 @@ class Writer(Reader):
     def upsert_many(self, name: str, rows: DataFrame, **assign: str) -> Change:
         """New keys are created as they are; known ones are updated by `assign`, where `new.` is the given row."""
         model = self.catalog.model(name)
-        old, new = self.catalog.rows(name).alias("old"), rows.alias("new")
+        before, may = flagged(self.catalog.rows(name), self._condition(name, "update"), model, self.catalog, "_o") if self.policies else (self.catalog.rows(name), F.lit(True))
+        old, new = before.select(*[f"`{c}`" for c in model.fields], may.alias("_may")).alias("old"), rows.alias("new")
         both = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in model.key], "full")
         known, given = F.col(f"old.{model.key[0]}").isNotNull(), F.col(f"new.{model.key[0]}").isNotNull()
         fields = [F.when(known & given, F.expr(assign.get(f, f"old.{f}"))).when(known, F.col(f"old.{f}")).otherwise(F.col(f"new.{f}")).cast(kind).alias(f) for f, kind in model.fields.items()]
-        after = both.select(*fields, (known & given).alias("_up"), (~known).alias("_new"))
-        after = self._checked(self._checked(after, name, "create", F.col("_new")), name, "update", F.col("_up")) if self.policies else after
+        after = both.select(*fields, (known & given).alias("_up"), (~known).alias("_new"), F.coalesce("_may", F.lit(True)).alias("_may"))
+        after = self._sure(after, after.columns, name, ~F.col("_up") | F.col("_may"), f"update {name} is denied") if self.policies else after
+        after = self._checked(self._checked(after.drop("_may"), name, "create", F.col("_new")), name, "update", F.col("_up"))
         facts = self._facts(after.filter("_up or _new"), name, F.when(F.col("_new"), "created").otherwise("updated"))
         return Change(after.drop("_up", "_new"), facts)
 

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from policyframe.operators import semantic
 from policyframe.operators.analytics import Analyst, avg_, count_, count_all, count_distinct, max_, min_, sum_
+from policyframe.operators.fields import Batched, Computed, capped, with_alias, with_computed
 from policyframe.operators.mutations import Writer
 from policyframe.operators.reads import Args
 from policyframe.operators.scoped import ScopedQuery
+from policyframe.operators.units import OnDelete, Unit
 from policyframe.plans.policy import Policies, Rules
 from policyframe.plans.predicate import ALL, Field, Rel, any_of, from_dict
+from policyframe.sources.stores import drift
 from policyframe.sources.tables import MODELS, catalog
 from policyframe.streaming.changes import change_feed, deduplicated
+from policyframe.streaming.outbox import claim, decoded, from_changes, settle, waiting
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -373,6 +377,133 @@ def _(a: Analyst) -> DataFrame:
     return Writer(a.catalog, rules).create_many("Region", a.catalog.spark.sql("SELECT 50 AS r_regionkey, 'OK' AS r_name")).after
 
 
+# --- units of work --------------------------------------------------------------------------------------------------------
+def _unit(a: Analyst, **more) -> Unit:
+    return Unit(a.catalog, **more)
+
+
+NATION_LINKS = (OnDelete("Customer", "nation", "cascade"), OnDelete("Supplier", "nation", "set_null"), OnDelete("Order", "customer", "cascade"), OnDelete("Lineitem", "order", "no_action"))
+
+
+@query("unit_cascade", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a, on_delete=NATION_LINKS)
+    u.delete("Nation", f("n_nationkey").eq(3))
+    return u.rows("Order").select("o_orderkey")
+
+
+@query("unit_set_null", "SELECT s_suppkey, CASE WHEN s_nationkey NOT IN (3, 4, 5) THEN s_nationkey END AS s_nationkey FROM supplier")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a, on_delete=NATION_LINKS)
+    u.delete("Nation", f("n_nationkey").in_(3, 4, 5))
+    return u.rows("Supplier").select("s_suppkey", "s_nationkey")
+
+
+@query("unit_facts_in_order", "SELECT 'Nation' AS model, 'updated' AS action, 0 AS ordinal, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Nation', 'deleted', 1, count(*) FROM nation WHERE n_regionkey = 1")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a)
+    u.update("Nation", f("n_regionkey").eq(1), n_name="concat(n_name, '!')")
+    u.delete("Nation", f("n_name").ends_with("!"))  # sees the write before it
+    return u.facts().groupBy("model", "action", "ordinal").agg(F.count("*").alias("n"))
+
+
+@query("nested_create_connect", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 3 THEN 2 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 90, 'NEW', 2")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a)
+    asia = u.nested("Region", {"r_regionkey": 2}, "nations")
+    asia.create(a.catalog.spark.sql("SELECT 90 AS n_nationkey, 'NEW' AS n_name")).connect(f("n_nationkey").lt(3))
+    return u.rows("Nation")
+
+
+@query("nested_set", "SELECT n_nationkey, CASE WHEN n_nationkey IN (0, 1) THEN 2 WHEN n_regionkey <> 2 THEN n_regionkey END AS n_regionkey FROM nation")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a)
+    u.nested("Region", {"r_regionkey": 2}, "nations").set(f("n_nationkey").in_(0, 1))
+    return u.rows("Nation").select("n_nationkey", "n_regionkey")
+
+
+@query("nested_update_delete", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE NOT (n_regionkey = 2 AND n_nationkey > 15)")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a)
+    u.nested("Region", {"r_regionkey": 2}, "nations").update(ALL, n_name="lower(n_name)").delete(f("n_nationkey").gt(15))
+    return u.rows("Nation").select("n_nationkey", "n_name")
+
+
+@query("nested_connect_or_create", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 0 THEN 2 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 91, 'Y', 2")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a)
+    u.nested("Region", {"r_regionkey": 2}, "nations").connect_or_create(a.catalog.spark.sql("SELECT * FROM VALUES (0, 'X'), (91, 'Y') AS t(n_nationkey, n_name)"))
+    return u.rows("Nation")
+
+
+@query("versioned_update", "SELECT p_partkey, CASE WHEN p_partkey <= 10 THEN p_size + 1 ELSE p_size END AS p_size FROM part")
+def _(a: Analyst) -> DataFrame:
+    u = _unit(a, versions={"Part": "p_size"})
+    u.update("Part", f("p_partkey").lte(10), p_name="upper(p_name)")
+    return u.rows("Part").select("p_partkey", "p_size")
+
+
+# --- fields, caps, drift ---------------------------------------------------------------------------------------------------
+@query("computed_field", f"SELECT c_custkey, c_name || '/' || c_mktsegment AS label, length(c_mktsegment) AS size FROM customer WHERE {BALANCE} > 0")
+def _(a: Analyst) -> DataFrame:
+    fields = {"label": Computed(("c_name", "c_mktsegment"), "concat(c_name, '/', c_mktsegment)"), "size": Batched(("c_mktsegment",), lambda pdf: pdf["c_mktsegment"].str.len(), "bigint")}
+    return with_computed(a, "Customer", fields, select=("c_custkey", "label", "size"), where=f("c_acctbal").gt(0))
+
+
+@query("alias_occurrences", "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    loads = {s: ("orders", Args(where=f("o_orderstatus").eq(v), select=("o_orderkey",))) for s, v in (("opened", "O"), ("closed", "F"))}
+    out = with_alias(a, "Customer", loads, select=("c_custkey",))
+    return out.select("c_custkey", *[F.size(s).cast("bigint").alias(s) for s in loads])
+
+
+@query("result_cap", "SELECT n_nationkey FROM nation")
+def _(a: Analyst) -> DataFrame:
+    return capped(a.find_many("Nation", select=("n_nationkey",)), 25)
+
+
+@query("schema_drift", "SELECT 'Customer' AS model, 'c_acctbal' AS field, 'cast' AS state UNION ALL SELECT 'Customer', 'rich', 'derived'")
+def _(a: Analyst) -> DataFrame:
+    return drift(a.catalog).filter("model = 'Customer' and state <> 'same'").select("model", "field", "state")
+
+
+# --- outbox ----------------------------------------------------------------------------------------------------------------
+_AT = "timestamp'2024-01-01 00:00:00'"
+
+
+def _outbox(a: Analyst) -> DataFrame:
+    facts = a.catalog.rows("Event").select(F.col("event_id").cast("string").alias("event_id"), (F.col("user_id") % 100).alias("causation"), F.col("event_id").alias("ordinal"))
+    return waiting(facts, F.expr(_AT))
+
+
+_FIRSTS = "SELECT user_id % 100 AS causation, min(event_id) AS e FROM events GROUP BY 1"
+
+
+@query("outbox_claim", f"SELECT CAST(e AS VARCHAR) AS event_id FROM ({_FIRSTS})")
+def _(a: Analyst) -> DataFrame:
+    return claim(_outbox(a), "w", F.expr(_AT), 60).filter("state = 'claimed'").select("event_id")
+
+
+@query("outbox_settle", f"WITH c AS ({_FIRSTS}) SELECT CASE WHEN e % 3 = 0 THEN 'delivered' ELSE 'waiting' END AS state, 1 AS attempts, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'waiting', 0, (SELECT count(*) FROM events) - (SELECT count(*) FROM c)")
+def _(a: Analyst) -> DataFrame:
+    held = claim(_outbox(a), "w", F.expr(_AT), 60)
+    results = held.filter("state = 'claimed'").select("event_id", (F.col("ordinal") % 3 == 0).alias("sent"))
+    return settle(held, results, "w", F.expr(_AT)).groupBy("state", "attempts").agg(F.count("*").alias("n"))
+
+
+@query("cdc_facts", "SELECT action, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'deleted' END AS action FROM events) GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    log = a.catalog.rows("Event").selectExpr("event_id AS lsn", "user_id AS id", "element_at(array('c', 'u', 'd'), CAST(event_id % 3 AS int) + 1) AS op")
+    return from_changes(log.unionByName(log), "shop", position="lsn", key=["id"], op="op").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("fact_decode", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(props ->> '$.k' AS BIGINT) END AS k FROM events")
+def _(a: Analyst) -> DataFrame:
+    facts = a.catalog.rows("Event").selectExpr("event_id", "CAST(event_id % 3 + 1 AS int) AS fact_version", "CASE WHEN event_id % 3 = 0 THEN replace(props, '\"k\"', '\"old_k\"') ELSE props END AS payload")
+    out = decoded(facts, {1: ("old_k string", {"k": "CAST(old.old_k AS bigint)"}), 2: ("k bigint", {"k": "old.k"})})
+    return out.select("event_id", "body.k")
+
+
 # --- flagship -------------------------------------------------------------------------------------------------------------
 @query("flagship_open_orders", f"SELECT o_orderkey, {TOTAL} AS o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 20")
 def _(a: Analyst) -> DataFrame:

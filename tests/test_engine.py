@@ -74,6 +74,13 @@ def test_writes(tables):
         w.create_many("Region", spark.sql("SELECT 51 AS r_regionkey, 'BAD' AS r_name")).after.collect()
     with pytest.raises(Exception, match="denied"):
         w.update_many("Region", f("r_regionkey").gte(0), r_name="'Z'").after.collect()
+    with pytest.raises(Exception, match="denied"):
+        w.upsert_many("Region", spark.sql("SELECT 2 AS r_regionkey, 'x' AS r_name"), r_name="'granted after, not before'").after.collect()
+    kept = Writer(tables, Policies(OPEN | {"Region": Rules().can("read").can("delete", f("r_name").ne("ASIA"))}))
+    with pytest.raises(Exception, match="denied"):
+        kept.delete_many("Region", f("r_regionkey").gte(0)).after.collect()
+    with pytest.raises(Exception, match="denied"):
+        kept.delete_many("Region", f("r_regionkey").gte(0)).after.select("r_name").collect()
     changed = w.delete_many("Region", f("r_regionkey").eq(1))
     assert changed.after.count() == 4 and [r["action"] for r in changed.facts.collect()] == ["deleted"]
 
