@@ -5,15 +5,17 @@ streams agree the wrapper keeps the token; a run of like tokens becomes a repeat
 becomes an optional group; texts become slots. Groups nest, so a wrapper is a regular expression without unions over
 tokens, held as a tree: each node has a label, a kind (one, optional, repeated, or both) and an ordered list of nodes.
 
-1. Each page is folded to its own wrapper. Equal ones of a host are one row, with counts, before anything is shuffled, and
-   each text slot sums its characters, its links' characters and the smallest and largest hash of its texts: a slot with
-   one text on all pages is a fixed part. All pages count.
+1. Each page is folded to its own wrapper. Equal ones of a host are one row before anything is shuffled. All pages count.
 2. Wrappers of a host are aligned in two steps (by salt, then by host), so that a host with a third of all pages has no
    large group.
-3. In the host's wrapper the main part is found: the article or main element if it has one, else the deepest group that
-   holds nearly all text of slots that vary and are not mostly links. Menus, headers, footers, sidebars, notices, adverts,
-   forms and comments are told by their tags, classes and ids.
-4. Each page is read against its host's wrapper, and the main part's texts are given out, block by block.
+3. Each page is read against its host's wrapper: every tag and text goes to the node that covers it, a repeated group
+   again, an optional one or none. A text slot sums its characters, its links' characters and the smallest and largest hash
+   of its texts: a slot with one text on all pages is a fixed part.
+4. The wrapper's main part is found: what is marked as article or main, unless it holds less than a tenth of the text of
+   slots that vary and are not mostly links; else the deepest group that holds nearly all of that text. Menus, headers,
+   footers, sidebars, notices, adverts, forms and comments are told by their tags, classes and ids.
+5. Each page is read against the wrapper again, and the texts of its main part are given out, block by block. A page
+   without its host's main part is read against its own wrapper.
 
 A block is the text between block-level tags. Character references are decoded, white space becomes one space, blocks are
 trimmed, empty ones left out, and the rest joined by a line feed in page order.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyframe.llm.shared import cut, table
@@ -44,6 +46,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _CLASS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are not markup, or nothing in them is shown.
 _RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noframes".split())
@@ -61,8 +64,9 @@ _OUT_NAMES = frozenset(
     " popup modal newsletter subscribe signup share sharing social related recommended toolbar login search pagination pager widget".split()
 )
 _HEADERS, _OWN_HEADERS = frozenset(["header", "masthead"]), frozenset("article entry post content story title".split())
-_MAIN_NAMES = frozenset("articlebody main".split())
 _DEPTH = 60
+#: Hosts whose wrappers a task holds at once.
+_KNOWN = 1000
 
 
 def _names(attributes: str) -> list[str]:
@@ -80,14 +84,15 @@ def _is_out(tag: str, names: list[str]) -> bool:
 
 
 class Node:
-    __slots__ = ("label", "tag", "items", "out", "main")
+    __slots__ = ("label", "tag", "items", "out")
 
     def __init__(self, tag: str, attributes: str = ""):
         names = _names(attributes) if attributes else []
+        if _ROLE.search(attributes):
+            names = sorted({*names, "articlebody"})
         self.tag, self.items = tag, []
         self.label = f"{tag}.{'.'.join(names)}" if names else tag
         self.out = _is_out(tag, names)
-        self.main = tag in ("article", "main") or "articlebody" in "".join(names) or (not _MAIN_NAMES.isdisjoint(names) and "role" in attributes)
 
 
 def parse(page: str) -> Node:
@@ -206,66 +211,135 @@ def _aligned_lists(x: list, y: list) -> list:
     return _folded(out)
 
 
-def slots_of(root: Node) -> dict[str, tuple[int, int, int]]:
-    """By path of labels: characters, characters in links, a hash of the texts."""
-    out: dict[str, list] = {}
-    stack = [(root, "", 0)]
+def flat(wrapper: list) -> str:
+    """A wrapper as JSON: its nodes in order, each as depth, label, optional, repeated."""
+    out, stack = [], [(wrapper, 0)]
     while stack:
-        node, path, depth = stack.pop()
-        link = False
+        (label, optional, repeated, children), depth = stack.pop()
+        out.append([depth, label, optional, repeated])
+        stack += [(c, depth + 1) for c in reversed(children)]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unflat(text: str) -> list:
+    above: list = []
+    for depth, label, optional, repeated in json.loads(text):
+        node = [label, optional, repeated, []]
+        if depth:
+            above[depth - 1][3].append(node)
+        above[depth:] = [node]
+    return above[0]
+
+
+class Reading:
+    """A wrapper whose nodes are numbered in order; verdict: of each node, none, MAIN or OUT; marked: whether tags name the main part."""
+
+    def __init__(self, text: str, verdict: list[int] | None = None, marked: bool = False):
+        nodes, above = json.loads(text), []
+        self.labels, self.repeated = [x[1] for x in nodes], [x[3] for x in nodes]
+        self.parent, self.children = [-1] * len(nodes), [[] for _ in nodes]
+        self.verdict, self.marked = verdict or [0] * len(nodes), marked
+        for k, (depth, *_) in enumerate(nodes):
+            above[depth:] = [k]
+            if depth:
+                self.parent[k] = above[depth - 1]
+                self.children[above[depth - 1]].append(k)
+
+    def next(self, k: int, at: int, label: str) -> int:
+        """The place, from `at` on, of the child of k that covers a token; -1 if none does. A page is covered by its host's
+        wrapper, so the first that can is taken: a repeated group again, an optional one passed over."""
+        if k >= 0:
+            children = self.children[k]
+            for j in range(max(at, 0), len(children)):
+                if self.labels[children[j]] == label:
+                    return j
+        return -1
+
+
+MAIN, OUT = 1, 2
+
+
+def slots_of(root: Node, wrapper: Reading) -> dict[int, tuple[int, int, int]]:
+    """By text slot of the wrapper: characters, characters in links, a hash of the texts."""
+    out: dict[int, list] = {}
+    stack = [(root, 0)]
+    while stack:
+        node, k = stack.pop()
+        link, at = False, 0
         for x in node.items:
             if isinstance(x, bool):
                 link = x
-            elif isinstance(x, str):
-                if x.strip():
-                    slot = out.setdefault(path, [0, 0, 0])
-                    slot[0] += len(x)
-                    slot[1] += len(x) * link
-                    slot[2] = zlib.crc32(x.encode("utf-8", "surrogatepass"), slot[2])
-            elif depth < _DEPTH:
-                stack.append((x, f"{path}/{x.label}", depth + 1))
+                continue
+            text = isinstance(x, str)
+            if text and not x.strip():
+                continue
+            j = wrapper.next(k, at, "#" if text else x.label)
+            at = max(at, j)
+            number = wrapper.children[k][j] if j >= 0 else -1
+            if not text:
+                stack.append((x, number))
+            elif j >= 0:
+                slot = out.setdefault(number, [0, 0, 0])
+                slot[0] += len(x)
+                slot[1] += len(x) * link
+                slot[2] = zlib.crc32(x.encode("utf-8", "surrogatepass"), slot[2])
     return {k: tuple(v) for k, v in out.items()}
 
 
-def main_path(wrapper: list, slots: dict[str, tuple[int, int, int, bool]]) -> str:
-    """The path of the deepest group that holds nine tenths of the text of slots that vary and are not mostly links;
-    slots: by path, pages, characters, characters in links, whether all pages agree. Used where no element is marked."""
-    varying = {p: c for p, (n, c, link, fixed) in slots.items() if not _marked_out(p) and 2 * link <= c and not (fixed and n > 2)}
-    total, path, node = sum(varying.values()), "", wrapper
-    while total:
-        inside = {f"{path}/{c[0]}": c for c in node[3] if c[0] != "#"}
-        share = {q: sum(v for p, v in varying.items() if p == q or p.startswith(q + "/")) for q in inside}
-        top = max(share, key=share.get, default=None)
-        # A repeated group is a list of blocks: its parent is the article.
-        if top is None or share[top] < 0.9 * total or inside[top][2] or inside[top][0].split(".")[0] in ("p", "li", "td", "pre", "blockquote"):
-            break
-        path, node = top, inside[top]
-    return path
-
-
-def _marked_out(path: str) -> bool:
-    for label in path.split("/"):
-        tag, *names = label.split(".")
-        if tag == "header" or _is_out(tag, names):
-            return True
-    return False
-
-
-def has_main(wrapper: list) -> bool:
-    stack = [wrapper]
-    while stack:
-        label, _, _, children = stack.pop()
-        tag, *names = label.split(".")
-        if _is_out(tag, names):
-            continue
-        if tag in ("article", "main") or "articlebody" in "".join(names):
-            return True
-        stack += children
-    return False
+def _is_marked(tag: str, names: list[str]) -> bool:
+    return tag in ("article", "main") or "articlebody" in "".join(names)
+
+
+def decide(wrapper: Reading, slots: dict[int, tuple[int, int, int, bool]]) -> None:
+    """Finds the wrapper's main part, and what is none of it. slots: by text slot, pages, characters, characters in links,
+    whether all pages agree.
+
+    The text of slots that vary and are not mostly links is weighed (where none does, of all slots). The main part is what
+    is marked as article or main, if that holds a tenth of it; else the deepest group that holds nine tenths."""
+    n, parent = len(wrapper.labels), wrapper.parent
+    parts = [x.split(".") for x in wrapper.labels]
+    marked = [_is_marked(t, names) for t, *names in parts]
+    under = [False] * n  # a marked node
+    for k in range(1, n):
+        under[k] = under[parent[k]] or marked[parent[k]]
+    listed = [_is_out(t, names) or (t == "header" and not under[k]) for k, (t, *names) in enumerate(parts)]
+    listed[0] = False
+    weight, some = [0] * n, [0] * n
+    for k, (pages, chars, links, fixed) in slots.items():
+        some[k] = chars
+        weight[k] = chars if 2 * links <= chars and not (fixed and pages > 2) else 0
+    if not any(weight):
+        weight = list(some)
+
+    def summed(values: list[int], left_out: list[bool]) -> list[int]:
+        out = [0 if x else v for v, x in zip(values, left_out, strict=True)]
+        for k in range(n - 1, 0, -1):
+            out[parent[k]] += out[k]
+        return out
+
+    out = list(listed)
+    for k in range(1, n):
+        out[k] = out[k] or out[parent[k]]
+    seen, chars = summed(weight, out), summed(some, out)
+    main = [k for k in range(n) if marked[k] and not under[k] and not out[k] and chars[k]]
+    wrapper.marked = bool(main) and 10 * sum(seen[k] for k in main) >= seen[0]
+    if not wrapper.marked:
+        top = 0
+        while seen[0]:
+            best = max((k for k in wrapper.children[top] if wrapper.labels[k] != "#"), key=seen.__getitem__, default=None)
+            # A repeated group is a list of blocks: its parent is the article.
+            if best is None or seen[best] < 0.9 * seen[0] or wrapper.repeated[best] or parts[best][0] in ("p", "li", "td", "pre", "blockquote"):
+                break
+            top = best
+        main = [top]
+        listed = [x or parts[k][0] == "header" for k, x in enumerate(listed)]
+    wrapper.verdict = [OUT * x for x in listed]
+    for k in main:
+        wrapper.verdict[k] = MAIN
 
 
-def text_of(root: Node, path: str | None) -> str:
-    """The main part's blocks. path: of the main group; None where elements are marked as the article."""
+def text_of(root: Node, wrapper: Reading) -> str | None:
+    """The blocks of the main part of a page that is read against the wrapper; None if the page has no such part."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -275,121 +349,144 @@ def text_of(root: Node, path: str | None) -> str:
         if block:
             blocks.append(block)
 
-    inside0 = path == "" and path is not None
-    stack: list = [(root, "", inside0, iter(root.items))]
+    verdict = wrapper.verdict
+    found = verdict[0] == MAIN
+    stack: list = [[root, 0, 0, found, iter(root.items)]]
     while stack:
-        node, at, inside, rest = stack[-1]
+        top = stack[-1]
+        node, k, at, inside, rest = top
         for x in rest:
             if isinstance(x, Node):
-                if x.out or (x.tag == "header" and not (inside and path is None)):
-                    if inside and x.tag in _BLOCK:
-                        flush()
-                    continue
+                j = wrapper.next(k, at, x.label)
+                at = top[2] = max(at, j)
+                below = wrapper.children[k][j] if j >= 0 else -1
+                says = verdict[below] if j >= 0 else OUT * x.out
                 if inside and x.tag in _BLOCK:
                     flush()
-                below = f"{at}/{x.label}"
-                now = inside or (x.main if path is None else below == path)
-                stack.append((x, below, now, iter(x.items)))
+                if says == OUT:
+                    continue
+                found = found or says == MAIN
+                stack.append([x, below, 0, inside or says == MAIN, iter(x.items)])
                 break
-            if inside and isinstance(x, str):
-                held.append(x)
+            if isinstance(x, str):
+                if inside:
+                    held.append(x)
+                if x.strip():
+                    at = top[2] = max(at, wrapper.next(k, at, "#"))
         else:
             stack.pop()
-            if inside and node.tag in _BLOCK or (inside and not (stack and stack[-1][2])):
+            if inside and node.tag in _BLOCK or (inside and not (stack and stack[-1][3])):
                 flush()
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks) if found else None
 
 
-def extract(page: str | None, known: tuple[bool, str] | None) -> str:
-    """known: of the page's host, whether its wrapper marks the article, and the main group's path if not."""
+def extract(page: str | None, wrapper: Reading | None) -> str:
+    """wrapper: of the page's host, decided."""
     if not page:
         return ""
     root = parse(page)
-    own = wrapper_of(root)
-    if has_main(own):
-        return text_of(root, None)
-    marked, path = known or (False, "")
-    if marked or (path and not any(p == path or p.startswith(path + "/") for p in slots_of(root))):
-        # A page without the main group of its host stands for itself.
-        path = main_path(own, {p: (1, c, link, False) for p, (c, link, _) in slots_of(root).items()})
-    return text_of(root, path)
+    text = None if wrapper is None else text_of(root, wrapper)
+    if text is None or not (text or wrapper.marked):
+        # A page without the main part of its host stands for itself.
+        own = Reading(flat(wrapper_of(root)))
+        decide(own, {k: (1, c, link, False) for k, (c, link, _) in slots_of(root, own).items()})
+        text = text_of(root, own)
+    return text or ""
 
 
 # --- Spark --------------------------------------------------------------------------------------------------------------
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-    return m[1].lower() if m else ""
+def _host(url_col: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def _folds(pages: DataFrame) -> DataFrame:
-    """Of each batch: (host, wrapper, path, pages, characters, links, low, high); path is null for a wrapper's row."""
-    names = ["host", "wrapper", "path", "pages", "chars", "links", "low", "high"]
+    """(host, wrapper): pages' own wrappers, once a batch."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrappers = {(host, flat(wrapper_of(parse(page or "")))): None for host, page in zip(*[c.to_pylist() for c in batch.columns], strict=True)}
+            if wrappers:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in zip(*wrappers, strict=True)], names=["host", "wrapper"])
+
+    return pages.mapInArrow(step, "host string, wrapper string")
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """Of each batch of (host, html, wrapper): (host, slot, pages, chars, links, low, high)."""
+    names = ["host", "slot", "pages", "chars", "links", "low", "high"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Reading] = {}
         for batch in batches:
-            wrappers: dict = {}
             slots: dict = {}
-            for url, page in zip(batch.column(0), batch.column(1), strict=True):
-                host, root = _host(url.as_py()), parse(page.as_py() or "")
-                key = host, json.dumps(wrapper_of(root), separators=(",", ":"))
-                wrappers[key] = wrappers.get(key, 0) + 1
-                for path, (c, link, h) in slots_of(root).items():
-                    old = slots.get((host, path), (0, 0, 0, h, h))
-                    slots[host, path] = (old[0] + 1, old[1] + c, old[2] + link, min(old[3], h), max(old[4], h))
-            rows = [(h, w, None, n, 0, 0, 0, 0) for (h, w), n in wrappers.items()] + [(h, None, p, *v) for (h, p), v in slots.items()]
-            if rows:
-                kinds = [pa.string()] * 3 + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for host, page, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not page:
+                    continue
+                if text not in known:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[text] = Reading(text)
+                for k, (c, link, h) in slots_of(parse(page), known[text]).items():
+                    old = slots.get((host, k), (0, 0, 0, h, h))
+                    slots[host, k] = (old[0] + 1, old[1] + c, old[2] + link, min(old[3], h), max(old[4], h))
+            if slots:
+                rows = [(*key, *v) for key, v in slots.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), [pa.string()] + [pa.int64()] * 6, strict=True)], names=names)
 
-    return pages.mapInArrow(step, "host string, wrapper string, path string, pages long, chars long, links long, low long, high long")
+    return pages.mapInArrow(step, "host string, slot long, pages long, chars long, links long, low long, high long")
 
 
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, marked, path): each host's wrapper as JSON, whether it marks the article, the main group if not."""
-    folds = _folds(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")))
-    folds = cut(folds.groupBy("host", "wrapper", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high")), "folds")
+    """(host, wrapper, marked, verdict): each host's wrapper as JSON, whether tags name its main part, its nodes' verdicts."""
+    pages = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
+    own = _folds(pages).distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
         for text in sorted(pdf["wrapper"]):
-            wrapper = json.loads(text) if wrapper is None else aligned(wrapper, json.loads(text))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
+            wrapper = unflat(text) if wrapper is None else aligned(wrapper, unflat(text))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [flat(wrapper)]})
 
-    own = folds.filter("wrapper is not null").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(32)).alias("salt"))
     parts = own.groupBy("host", "salt").applyInPandas(merged, "host string, wrapper string")
     whole = cut(parts.groupBy("host").applyInPandas(merged, "host string, wrapper string"), "wrappers")
-    slots = folds.filter("path is not null").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "links", (F.col("low") == F.col("high")).alias("fixed"))).alias("slots"))
+    slots = _read(pages.join(whole, "host").select("host", "html", "wrapper"))
+    slots = slots.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], (F.min("low") == F.max("high")).alias("fixed"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "chars", "links", "fixed")).alias("slots"))
 
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            marked, paths = [], []
-            for text, slots in zip(pdf["wrapper"], pdf["slots"], strict=True):
-                wrapper = json.loads(text)
-                marked.append(has_main(wrapper))
-                found = {s["path"]: (s["pages"], s["chars"], s["links"], s["fixed"]) for s in ([] if slots is None else slots)}
-                paths.append("" if marked[-1] else main_path(wrapper, found))
-            yield pdf[["host", "wrapper"]].assign(marked=marked, path=paths)
+            readings = [Reading(text) for text in pdf["wrapper"]]
+            for reading, found in zip(readings, pdf["slots"], strict=True):
+                decide(reading, {s["slot"]: (s["pages"], s["chars"], s["links"], s["fixed"]) for s in ([] if found is None else found)})
+            yield pdf[["host", "wrapper"]].assign(marked=[x.marked for x in readings], verdict=[bytes(x.verdict) for x in readings])
 
-    return cut(whole.join(slots, "host", "left").mapInPandas(chosen, "host string, wrapper string, marked boolean, path string"), "chosen")
+    return cut(whole.join(slots, "host", "left").mapInPandas(decided, "host string, wrapper string, marked boolean, verdict binary"), "decided")
 
 
 def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages."""
-    known = infer_wrappers(pages, url_col=url_col, html_col=html_col).select("host", "marked", "path")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).join(known, "host", "left")
+    wrappers = infer_wrappers(pages, url_col=url_col, html_col=html_col)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = rows.withColumn("host", _host("url")).join(wrappers, "host", "left")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Reading] = {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[2:]]
-            texts = [extract(h, None if m is None else (m, p)) for h, m, p in zip(*columns, strict=True)]
+            texts = []
+            for page, *key in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                key = tuple(key)
+                if page and key[0] is not None and key not in known:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[key] = Reading(key[0], list(key[2]), key[1])
+                texts.append(extract(page, known.get(key)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "marked", "path").mapInArrow(step, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "wrapper", "marked", "verdict").mapInArrow(step, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

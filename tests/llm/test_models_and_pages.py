@@ -135,3 +135,22 @@ def test_wrappers_align():
     (div,) = w[3]
     assert [(c[0], c[1], c[2]) for c in div[3]] == [("h1", 1, 0), ("p", 0, 1), ("hr", 1, 0)]
     assert html.aligned(w, a) == w and html.aligned(w, b) == w
+
+
+def texts_of(spark, *pages):
+    df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract_main(df).orderBy("page_id").collect()]
+
+
+def test_pages_are_read_against_the_aligned_wrapper(spark):
+    names = ["alpha", "beta", "gamma", "delta"]
+    # The marked element is a teaser: the text that varies is elsewhere.
+    teaser = "<body><article><p>See {0}</p></article><div class=body><h2>{0}</h2><p>Of {0} there is a lot to be said, and all of it is said here, at length and in {0} words.</p></div></body>"
+    assert texts_of(spark, *[teaser.format(n) for n in names]) == [f"{n}\nOf {n} there is a lot to be said, and all of it is said here, at length and in {n} words." for n in names]
+    # Of two groups of one label, the place in the wrapper tells which is the main one; optional groups are passed over.
+    twice = "<body><div><b>{0}</b></div>{1}<hr><div><h2>{0}</h2><p>Of {0} there is a lot to be said, and all of it is said here, at length and in {0} words.</p></div></body>"
+    found = texts_of(spark, *[twice.format(n, "<section>new</section>" * (k % 2)) for k, n in enumerate(names)])
+    assert found == [f"{n}\nOf {n} there is a lot to be said, and all of it is said here, at length and in {n} words." for n in names]
+    # Both kinds of fixed and varying slots of an article stay, whatever its host's other pages lack.
+    marked = "<body><div>{0}</div><article><p>{0}</p>{1}<p>Fixed</p></article></body>"
+    assert texts_of(spark, *[marked.format(n, "<hr><p>More</p>" * (k % 2)) for k, n in enumerate(names)]) == [f"{n}\n" + "More\n" * (k % 2) + "Fixed" for k, n in enumerate(names)]
