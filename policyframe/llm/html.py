@@ -13,7 +13,8 @@ tokens, held as a tree: each node has a label, a kind (one, optional, repeated,
    of its texts: a slot with one text on all pages is a fixed part.
 4. The wrapper's main part is found: what is marked as article or main, unless it holds less than a tenth of the text of
    slots that vary and are not mostly links; else the deepest group that holds nearly all of that text. Menus, headers,
-   footers, sidebars, notices, adverts, forms and comments are told by their tags, classes and ids.
+   footers, sidebars, notices, adverts, forms and comments are told by their tags, classes and ids; these never leave out
+   html, body, an article, what holds the main part, or nearly all of the text.
 5. Each page is read against the wrapper again, and the texts of its main part are given out, block by block. A page
    without its host's main part is read against its own wrapper.
 
@@ -46,6 +47,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _CLASS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: They tell what else a page has, not what the element is.
+_STATES = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[-_]+[a-z0-9_-]+", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are not markup, or nothing in them is shown.
@@ -63,6 +66,8 @@ _OUT_NAMES = frozenset(
     " breadcrumb breadcrumbs comment comments discussion disqus replies respond cookie cookies consent notice notices banner"
     " popup modal newsletter subscribe signup share sharing social related recommended toolbar login search pagination pager widget".split()
 )
+#: No list of words leaves these out.
+_KEPT_TAGS = frozenset("root html body article main".split())
 _HEADERS, _OWN_HEADERS = frozenset(["header", "masthead"]), frozenset("article entry post content story title".split())
 _DEPTH = 60
 #: Hosts whose wrappers a task holds at once.
@@ -72,11 +77,18 @@ _KNOWN = 1000
 def _names(attributes: str) -> list[str]:
     out = []
     for _, a, b, c in _CLASS.findall(attributes):
-        out += re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower())
+        out += re.split(r"[^a-z0-9]+", _STATES.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c)).lower())
     return sorted({re.sub(r"\d+", "#", x) for x in out if x})
 
 
 def _is_out(tag: str, names: list[str]) -> bool:
+    """A hint; the host's wrapper may say otherwise."""
+    if tag in _KEPT_TAGS:
+        return False
+    return _is_listed(tag, names)
+
+
+def _is_listed(tag: str, names: list[str]) -> bool:
     if tag in _OUT_TAGS or not _OUT_NAMES.isdisjoint(names):
         return True
     # A header that is named after the article is a part of it.
@@ -290,20 +302,30 @@ def _is_marked(tag: str, names: list[str]) -> bool:
     return tag in ("article", "main") or "articlebody" in "".join(names)
 
 
+def _above(wrapper: Reading, k: int) -> set[int]:
+    """k and what it is in."""
+    out = set()
+    while k >= 0:
+        out.add(k)
+        k = wrapper.parent[k]
+    return out
+
+
 def decide(wrapper: Reading, slots: dict[int, tuple[int, int, int, bool]]) -> None:
     """Finds the wrapper's main part, and what is none of it. slots: by text slot, pages, characters, characters in links,
     whether all pages agree.
 
     The text of slots that vary and are not mostly links is weighed (where none does, of all slots). The main part is what
-    is marked as article or main, if that holds a tenth of it; else the deepest group that holds nine tenths."""
+    is marked as article or main, if that holds a tenth of it; else the deepest group that holds nine tenths. Elements on the
+    lists of tags and words are left out, but never html, body, an article or main element, what holds the main part, or what
+    holds nine tenths of the text."""
     n, parent = len(wrapper.labels), wrapper.parent
     parts = [x.split(".") for x in wrapper.labels]
     marked = [_is_marked(t, names) for t, *names in parts]
     under = [False] * n  # a marked node
     for k in range(1, n):
         under[k] = under[parent[k]] or marked[parent[k]]
-    listed = [_is_out(t, names) or (t == "header" and not under[k]) for k, (t, *names) in enumerate(parts)]
-    listed[0] = False
+    listed = [not marked[k] and (_is_out(t, names) or (t == "header" and not under[k])) for k, (t, *names) in enumerate(parts)]
     weight, some = [0] * n, [0] * n
     for k, (pages, chars, links, fixed) in slots.items():
         some[k] = chars
@@ -317,11 +339,35 @@ def decide(wrapper: Reading, slots: dict[int, tuple[int, int, int, bool]]) -> No
             out[parent[k]] += out[k]
         return out
 
-    out = list(listed)
-    for k in range(1, n):
-        out[k] = out[k] or out[parent[k]]
-    seen, chars = summed(weight, out), summed(some, out)
-    main = [k for k in range(n) if marked[k] and not under[k] and not out[k] and chars[k]]
+    every = summed(weight, [False] * n)
+    # What may hold the main part: with a heading, a marked element or a listed one in it; of listed tags, a form only.
+    holds = summed([int(x or y or bool(re.fullmatch("h[1-6]", t[0]))) for x, y, t in zip(marked, listed, parts, strict=True)], [False] * n)
+    holder = [listed[k] and holds[k] > 1 and (t == "form" or t not in _OUT_TAGS) for k, (t, *_) in enumerate(parts)]
+    while True:
+        out = list(listed)
+        for k in range(1, n):
+            out[k] = out[k] or out[parent[k]]
+        seen, chars = summed(weight, out), summed(some, out)
+        main = [k for k in range(n) if marked[k] and not under[k] and not out[k] and chars[k]]
+        if main:
+            break
+        # Elements on the lists that hold nearly all text, or a marked one with more text than all the rest, are kept.
+        kept = {k for k in range(n) if holder[k] and listed[k] and every[0] and every[k] >= 0.9 * every[0] and not out[parent[k]]}
+        for k in range(n):
+            if not kept and marked[k] and not under[k] and every[k] > seen[0]:
+                above = _above(wrapper, k)
+                # Repeated ones are comments or teasers.
+                if not any(wrapper.repeated[x] for x in above):
+                    kept = {x for x in above if listed[x]}
+        if not kept:
+            break
+        listed = [x and k not in kept for k, x in enumerate(listed)]
+    # A marked element with a name on the lists is one of several: a teaser, if another holds more.
+    named = {k for k in main if _is_listed(parts[k][0], parts[k][1:])}
+    most = max((seen[k] for k in main if k not in named), default=0)
+    teasers = {k for k in named if seen[k] < most}
+    main = [k for k in main if k not in teasers]
+    listed = [x or k in teasers for k, x in enumerate(listed)]
     wrapper.marked = bool(main) and 10 * sum(seen[k] for k in main) >= seen[0]
     if not wrapper.marked:
         top = 0
@@ -332,7 +378,8 @@ def decide(wrapper: Reading, slots: dict[int, tuple[int, int, int, bool]]) -> No
                 break
             top = best
         main = [top]
-        listed = [x or parts[k][0] == "header" for k, x in enumerate(listed)]
+        above = _above(wrapper, top)
+        listed = [x or (parts[k][0] == "header" and k not in above) for k, x in enumerate(listed)]
     wrapper.verdict = [OUT * x for x in listed]
     for k in main:
         wrapper.verdict[k] = MAIN

@@ -154,3 +154,28 @@ def test_pages_are_read_against_the_aligned_wrapper(spark):
     # Both kinds of fixed and varying slots of an article stay, whatever its host's other pages lack.
     marked = "<body><div>{0}</div><article><p>{0}</p>{1}<p>Fixed</p></article></body>"
     assert texts_of(spark, *[marked.format(n, "<hr><p>More</p>" * (k % 2)) for k, n in enumerate(names)]) == [f"{n}\n" + "More\n" * (k % 2) + "Fixed" for k, n in enumerate(names)]
+
+
+def test_words_do_not_leave_the_article_out(spark):
+    article = "<div class=menu>Menu</div><{1}><h1>{0}</h1><p>Of {0} there is a lot to be said, and all of it is said here.</p><div class=share>Share {0}</div></{2}><div class=sidebar>Side {0}</div>"
+    names = ["alpha", "beta", "gamma"]
+    expected = [f"{n}\nOf {n} there is a lot to be said, and all of it is said here." for n in names]
+    for around, tag in [
+        ("<body class='page has-sidebar'>", "article"),
+        ("<body class='page has-sidebar'>", "div class=text"),
+        ("<body class='cookie-banner-open'>", "div class=text"),
+        ("<body>", "article class=social-story"),
+        ("<body><div class='content with-sidebar'>", "article"),
+        ("<body><div class='content with-sidebar'>", "div class=text"),
+        ("<body><div class='page cookie-banner-open'>", "article"),
+        ("<body><div class='page cookie-banner-open'>", "div class=text"),
+        ("<body><form id=aspnetForm>", "article"),
+    ]:
+        assert texts_of(spark, *[f"<html>{around}{article.format(n, tag, tag.split()[0])}" for n in names]) == expected, (around, tag)
+    # Comments stay out, even if they are marked as articles; so do teasers.
+    page = "<body><div class=text><h1>{0}</h1><p>Of {0} there is a lot to be said, and all of it is said here.</p></div><section id=comments><article>{0}? No.</article><article>Yes.</article></section>"
+    assert texts_of(spark, *[page.format(n) for n in names]) == expected
+    page = "<body><article class=related>See {0}</article><hr><article><h1>{0}</h1><p>Of {0} there is a lot to be said, and all of it is said here.</p></article>"
+    assert texts_of(spark, *[page.format(n) for n in names]) == expected
+    # A page with nothing else has no main part.
+    assert texts_of(spark, *["<body><div class=ad><p>Buy {0}</p></div><footer>By {0}</footer>".format(n) for n in names]) == [""] * 3
