@@ -32,7 +32,7 @@ import html as references
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -69,7 +69,6 @@ _OUT_NAMES = frozenset(
 #: No list of words leaves these out.
 _KEPT_TAGS = frozenset("root html body article main".split())
 _HEADERS, _OWN_HEADERS = frozenset(["header", "masthead"]), frozenset("article entry post content story title".split())
-_DEPTH = 60
 #: Hosts whose wrappers a task holds at once.
 _KNOWN = 1000
 
@@ -165,30 +164,42 @@ def parse(page: str) -> Node:
 def wrapper_of(root: Node) -> list:
     """A page's own wrapper: runs of like nodes folded into repeated groups."""
     done: dict[int, list] = {}
-    stack = [(root, 0, False)]
+    stack = [(root, False)]
     while stack:
-        node, depth, seen = stack.pop()
+        node, seen = stack.pop()
         if not seen:
-            stack.append((node, depth, True))
-            if depth < _DEPTH:
-                stack += [(x, depth + 1, False) for x in node.items if isinstance(x, Node)]
+            stack.append((node, True))
+            stack += [(x, False) for x in node.items if isinstance(x, Node)]
             continue
         children: list = []
         for x in node.items:
             if isinstance(x, str):
                 if x.strip() and not (children and children[-1][0] == "#"):
                     children.append(["#", 0, 0, []])
-            elif isinstance(x, Node) and depth < _DEPTH:
+            elif isinstance(x, Node):
                 children.append(done.pop(id(x)))
-        done[id(node)] = [node.label, 0, 0, _folded(children)]
+        done[id(node)] = [node.label, 0, 0, _run(_folded(children))]
     return done[id(root)]
 
 
-def _folded(children: list) -> list:
+def _run(steps: Generator) -> list:
+    """The result of steps that yield the steps whose results they need: trees may be deeper than Python's stack."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _folded(children: list) -> Generator:
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
-            merged = aligned(out[-1], c)
+            merged = yield _aligned(out[-1], c)
             merged[2] = int(c[0] != "#")
             out[-1] = merged
         else:
@@ -198,13 +209,21 @@ def _folded(children: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """The wrapper of what a and b, of one label, both cover. Levels are aligned by their longest common run of labels."""
-    if a == b:
-        return a
-    return [a[0], a[1] | b[1], a[2] | b[2], _aligned_lists(a[3], b[3])]
+    return _run(_aligned(a, b))
 
 
-def _aligned_lists(x: list, y: list) -> list:
+def _aligned(a: list, b: list) -> Generator:
+    children = (yield _aligned_lists(a[3], b[3])) if a[3] or b[3] else []
+    return [a[0], a[1] | b[1], a[2] | b[2], children]
+
+
+def _aligned_lists(x: list, y: list) -> Generator:
     n, m = len(x), len(y)
+    if [c[0] for c in x] == [c[0] for c in y]:
+        out = []
+        for a, b in zip(x, y, strict=True):
+            out.append((yield _aligned(a, b)))
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -212,7 +231,7 @@ def _aligned_lists(x: list, y: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i][0] == y[j][0]:
-            out.append(aligned(x[i], y[j]))
+            out.append((yield _aligned(x[i], y[j])))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([x[i][0], 1, x[i][2], x[i][3]])
@@ -220,7 +239,7 @@ def _aligned_lists(x: list, y: list) -> list:
         else:
             out.append([y[j][0], 1, y[j][2], y[j][3]])
             j += 1
-    return _folded(out)
+    return (yield _folded(out))
 
 
 def flat(wrapper: list) -> str:

@@ -179,3 +179,11 @@ def test_words_do_not_leave_the_article_out(spark):
     assert texts_of(spark, *[page.format(n) for n in names]) == expected
     # A page with nothing else has no main part.
     assert texts_of(spark, *["<body><div class=ad><p>Buy {0}</p></div><footer>By {0}</footer>".format(n) for n in names]) == [""] * 3
+
+
+def test_pages_of_any_depth(spark):
+    for depth in (70, 3000):
+        page = "<body><div class=tagline>Of {0} and so on</div>" + "<div>" * depth + "<article><h1>{0}</h1><p>Of {0}<p>End</article>"
+        assert texts_of(spark, *[page.format(n) for n in ("alpha", "beta")]) == [f"{n}\nOf {n}\nEnd" for n in ("alpha", "beta")]
+    a, b = (html.wrapper_of(html.parse("<div>" * 5000 + x)) for x in ("<p>x</p>", "<hr>"))
+    assert html.flat(html.unflat(html.flat(a))) == html.flat(a) and len(html.flat(html.aligned(a, b))) > 5000
