@@ -190,8 +190,8 @@ class Reader:
         df = df.join(rows, [df[f"`{own}`"] == rows[k] for k, (own, _) in zip(keys, relation.pairs, strict=True)], "left").drop(*keys)
         return df.withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
 
-    def order_by_relation(self, name: str, relation: str, by: str, down: bool, take: int) -> DataFrame:
-        """A page ordered by a field of a to-one target, or, with by '_count', by how many targets there are."""
+    def order_by_relation(self, name: str, relation: str, by: str, down: bool, take: int | None = None) -> DataFrame:
+        """All rows, or the first `take`, ordered by a field of a to-one target, or, with by '_count', by how many targets there are."""
         model = self.catalog.model(name)
         r = model.relation(relation)
         df = self.scope(name)
@@ -201,4 +201,5 @@ class Reader:
             target = self.scope(r.target).select(*[F.col(f"`{t}`").alias(f"_o{i}") for i, (_, t) in enumerate(r.pairs)], F.col(f"`{by}`").alias("_by"))
             df = df.join(target, [df[f"`{own}`"] == target[f"_o{i}"] for i, (own, _) in enumerate(r.pairs)], "left")
         order = columns([("_by", down, not down), *[(k, False, True) for k in model.key]])
-        return df.orderBy(*order).limit(take).withColumn("ordinal", F.row_number().over(Window.orderBy(*order))).select(*model.key, F.col("_by").alias("by"), "ordinal")
+        df = df if take is None else df.orderBy(*order).limit(take)
+        return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order))).select(*model.key, F.col("_by").alias("by"), "ordinal")

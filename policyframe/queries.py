@@ -100,6 +100,7 @@ PAGE = "row_number() OVER (ORDER BY {0}) AS ordinal FROM (SELECT * FROM {1} ORDE
 find("find_unique_key", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7", "Order", where=f("o_orderkey").eq(7), select=("o_orderkey", "o_orderstatus"))
 find("find_first", f"SELECT o_orderkey, {PAGE.format(f'{TOTAL} DESC, o_orderkey', 'orders', 1, 0)}", "Order", order_by=(("o_totalprice", "desc"),), take=1, select=KEY, ordinal="ordinal")
 find("order_nulls", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM (SELECT * FROM customer ORDER BY {RICH} NULLS FIRST, c_custkey LIMIT 1000)", "Customer", order_by=("rich",), take=1000, select=("c_custkey",), ordinal="ordinal")
+find("order_nulls_all", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM customer", "Customer", order_by=("rich",), select=("c_custkey",), ordinal="ordinal")
 find("take_skip", f"SELECT o_orderkey, {PAGE.format('o_orderdate, o_orderkey', 'orders', 20, 30)}", "Order", order_by=("o_orderdate",), skip=30, take=20, select=KEY, ordinal="ordinal")
 find("take_negative", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 15)", "Order", order_by=("o_orderdate",), take=-15, select=KEY, ordinal="ordinal")
 find("cursor_inclusive", f"WITH a AS (SELECT {TOTAL} AS p, o_orderkey AS k FROM orders WHERE o_orderkey = 100) SELECT o_orderkey, row_number() OVER (ORDER BY t DESC, o_orderkey) AS ordinal FROM (SELECT o_orderkey, {TOTAL} AS t FROM orders, a WHERE {TOTAL} < p OR ({TOTAL} = p AND o_orderkey >= k) ORDER BY t DESC, o_orderkey LIMIT 25)", "Order", order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, take=25, select=KEY, ordinal="ordinal")
@@ -156,6 +157,16 @@ def _(a: Analyst) -> DataFrame:
     return a.order_by_relation("Customer", "orders", "_count", True, 30)
 
 
+@query("order_by_relation_all", "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(a: Analyst) -> DataFrame:
+    return a.order_by_relation("Order", "customer", "c_name", True)
+
+
+@query("order_by_count_all", "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def _(a: Analyst) -> DataFrame:
+    return a.order_by_relation("Customer", "orders", "_count", True)
+
+
 # --- policy ---------------------------------------------------------------------------------------------------------------
 _EUROPE = "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment <> 'BUILDING'"
 find("policy_row_constraint", f"SELECT c_custkey, c_mktsegment {_EUROPE}", "Customer", EUROPE_NOT_BUILDING, select=("c_custkey", "c_mktsegment"))

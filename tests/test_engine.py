@@ -103,3 +103,12 @@ def test_stream(spark, tables, tmp_path):
 def test_scoped_rows_alone(tables):
     seen = {r["c_mktsegment"] for r in ScopedQuery.of(Analyst(tables, EUROPE_NOT_BUILDING), "Customer", "c").select(c_mktsegment="c.c_mktsegment").frame().collect()}
     assert "BUILDING" not in seen
+
+
+def test_whole_orders(tables):
+    a = Analyst(tables)
+    assert a.order_by_relation("Order", "customer", "c_name", True).count() == a.count("Order").first()["n"]
+    assert a.order_by_relation("Customer", "orders", "_count", True).count() == a.count("Customer").first()["n"]
+    rich = [r["rich"] for r in a.find_many("Customer", order_by=("rich",), select=("c_custkey", "rich"), ordinal="ordinal").orderBy("ordinal").collect()]
+    known = [x for x in rich if x is not None]
+    assert known and rich == [None] * (len(rich) - len(known)) + sorted(known)
