@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,17 +154,22 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
     return work.mapInArrow(step, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int) -> DataFrame:
+    """(id, fp, root, component_id) for every row of docs; root is a component's own fingerprint."""
     prints = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = cut(components(links(nodes.select("fp"), nodes.count(), radius, tile)), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    named = cut(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(id, fingerprint, component_id) for every row of docs."""
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, radius, tile).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +177,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component; rows without an id stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumn("_first", F.lit(True)), "doc_id", "left").filter("_first or doc_id is null")
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    once = kept.filter("doc_id is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return once.select(*docs.columns).unionByName(kept.filter("doc_id is null").select(*docs.columns))
+    """Pipeline stage: of each component one row, with its smallest id (of several such rows, the first by the other
+    columns); rows without an id stay. Where rows of one id are in several components, each row counts in its own."""
+    rows = cut(_grouped(docs, "doc_id", "text", RADIUS, TILE).filter("id is not null"), "grouped")
+    ids = rows.groupBy("id").agg((F.min("root") != F.max("root")).alias("_mixed"), F.max(F.col("id") == F.col("component_id")).alias("_first")).filter("_first")
+    ids = cut(ids.select(F.col("id").alias("doc_id"), "_mixed"), "ids")
+    # Of rows whose id doesn't tell the component, the text's fingerprint does.
+    mixed = ids.filter("_mixed").select(F.col("doc_id").alias("id"))
+    told = cut(rows.filter("id = component_id").join(mixed, "id").select(F.col("id").alias("doc_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct(), "told")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([0 if t is None else fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64))
+
+    once = docs.filter("doc_id is not null").join(ids, "doc_id").withColumn("_fp", F.when(F.col("_mixed"), print_of(F.when(F.col("_mixed"), F.col("text")))))
+    once = once.join(told, ["doc_id", "_fp"], "left").filter("not _mixed or _root is not null")
+    order = Window.partitionBy("doc_id", "_root").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    once = once.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -198,3 +198,10 @@ def test_stages_keep_columns_and_empty_tables_work(spark, corpus, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for made in (substrings.remove_repeats(empty), lines.dedup_lines(empty), simhash.near_duplicates(empty), pack.pack(empty), decontaminate.decontaminate(empty, spark.createDataFrame([], "item_id long, text string"))):
         assert made.count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    long = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, long("b")), (5, long("c")), (5, long("d")), (5, long("d")), (7, long("e")), (7, long("e")), (9, None), (9, long("f")), (None, long("a")), (None, long("g"))]
+    got = found(simhash.one_of_each_group(spark, frame(spark, rows), "").select("doc_id", "text"))
+    assert got == sorted([(1, long("a")), (2, long("b")), (5, long("c")), (5, long("d")), (7, long("e")), (9, None), (9, long("f")), (None, long("a")), (None, long("g"))], key=repr)
