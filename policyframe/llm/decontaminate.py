@@ -11,7 +11,8 @@ The benchmark is split by item hash into blocks of at most `block_words` words (
 checked); each block is broadcast, and documents stream through one narrow step a block. No document is shuffled.
 
 Edge cases: null or empty texts have no words, no hits and are not contaminated; items without words match nothing;
-repeated items with one item_id count once; repeated document rows each get their row; an empty benchmark hits nothing;
+repeated items with one item_id count once; items without an item_id count for n_hit and contaminated, but not for n_items
+and items_sha256; repeated document rows each get their row; an empty benchmark hits nothing;
 an empty document table gives an empty result; extra columns are ignored.
 """
 
@@ -59,7 +60,7 @@ def _sliding(x: np.ndarray, span: int, best) -> np.ndarray:
 class Block:
     """Fingerprints and words of some items, as arrays that are sorted by fingerprint."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int, gram: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int, gram: int):
         self.window, self.gram = window, gram
         same: dict[bytes, int] = {}
         self.ids: list[set[str]] = []
@@ -72,7 +73,8 @@ class Block:
                     same[key] = len(sequences)
                     sequences.append(words.hashes[a:b])
                     self.ids.append(set())
-                self.ids[same[key]].add(item_id)
+                if item_id is not None:
+                    self.ids[same[key]].add(item_id)
         self.first = np.cumsum([0, *map(len, sequences)])
         self.words = np.concatenate(sequences) if sequences else np.zeros(0, np.uint64)
         prints, owner, place = [], [], []
@@ -154,7 +156,7 @@ def find(texts: list[bytes], block: Block) -> tuple[np.ndarray, list[tuple[int,
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
     """The benchmark in parts whose size has been checked: a text has at most half as many words as bytes, and one."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1).alias("n")).first()["n"] or 0
     n = max(1, -(-int(size) // block_words))
     return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]

@@ -205,3 +205,11 @@ def test_one_row_of_each_component(spark):
     rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, long("b")), (5, long("c")), (5, long("d")), (5, long("d")), (7, long("e")), (7, long("e")), (9, None), (9, long("f")), (None, long("a")), (None, long("g"))]
     got = found(simhash.one_of_each_group(spark, frame(spark, rows), "").select("doc_id", "text"))
     assert got == sorted([(1, long("a")), (2, long("b")), (5, long("c")), (5, long("d")), (7, long("e")), (9, None), (9, long("f")), (None, long("a")), (None, long("g"))], key=repr)
+
+
+def test_items_without_an_id_contaminate(spark):
+    passage = " ".join(f"w{k}" for k in range(15))
+    bench = spark.createDataFrame([(None, passage), (None, "one"), (4, None)], "item_id long, text string")
+    docs = frame(spark, [(1, f"a {passage} b"), (2, "x one"), (3, "nothing of it")])
+    got = found(decontaminate.decontaminate(docs, bench).select("doc_id", "n_hit", "n_items", "items_sha256", "contaminated"))
+    assert got == [(1, 15, 0, sha(b""), True), (2, 1, 0, sha(b""), True), (3, 0, 0, sha(b""), False)]
