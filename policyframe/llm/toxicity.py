@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Features are hashes of words, A-Z lower-cased, and of the words' first 4 to 7 bytes. Those that set confirmed toxic texts
-apart from unlabelled ones most surely (by a two-sample z of the texts that have them) are chosen by counts over both
-samples; a feature's value is the logarithm of its share of the text's words. A linear classifier is trained in numpy on the
+apart from unlabelled ones most surely (by a two-sample z of the texts that have them) are chosen by counts over the sample
+of toxic texts and over all documents that are not held out; a feature's value is the logarithm of its share of the text's words. A linear classifier is trained in numpy on the
 risk
 
     prior * E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_toxic[loss(-)])
@@ -10,8 +10,8 @@ risk
 with the sigmoid loss and the class prior taken from the training labels. Where the second part falls below zero it has no
 gradient, which keeps the classifier from explaining away the toxic texts among the unlabelled.
 
-Training reads at most about `positives` toxic and `unlabelled` other texts, chosen by hash; both bounds are parameters. All
-texts are scored whole. Labels serve in training alone.
+The classifier is fitted on at most about `positives` toxic and `unlabelled` other texts, chosen by hash; both bounds are
+parameters. All texts are scored whole. Labels serve in training alone.
 
 Edge cases: a null or empty text has no features and gets the score of the bias; without toxic labels, or documents, the score
 is the prior (0 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); repeated
@@ -117,24 +117,38 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            positive = batch.column(1).to_numpy(zero_copy_only=False)
-            for k, texts in text_groups(batch.column(0)):
+            for _, texts in text_groups(batch.column(0)):
                 row, value, _ = features(texts)
                 order = np.lexsort((row, value))
                 row, value = row[order], value[order]
                 once = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])) if len(row) else np.zeros(0, bool)
-                row, value = row[once], value[once]
-                first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(row) else np.zeros(0, int)
-                yes = np.add.reduceat(positive[k + row].astype(np.int64), first) if len(row) else first
-                every = np.diff(np.append(first, len(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(value[first].view(np.int64)), pa.array(yes), pa.array(every - yes)], names=["f", "p", "u"])
-
-    sums = both.mapInArrow(counted, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    a, b = F.col("p") / n_p, F.col("u") / n_u
-    mean = (F.col("p") + F.col("u")) / (n_p + n_u)
-    z = (a - b) / F.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = sums.filter(F.col("p") >= LEAST_DOCUMENTS).filter(a > 2 * b).filter(z >= LEAST_Z).orderBy(F.desc(z), "f").limit(n_features)
-    hashes = np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64)
+                found, n = np.unique(value[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["f", "p"])
+
+    toxic_texts = both.filter("positive").select("text")
+    often = toxic_texts.mapInArrow(counted, "f long, p long").groupBy("f").agg(F.sum("p").alias("p")).filter(F.col("p") >= LEAST_DOCUMENTS).toPandas()  # of a bounded sample
+    often = often.assign(f=often["f"].to_numpy(np.int64).view(np.uint64)).sort_values("f")
+    hashes, p = often["f"].to_numpy(np.uint64), often["p"].to_numpy(np.int64)
+    if not len(hashes):
+        return nothing
+    wanted = docs.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(len(hashes)), 0.0))
+
+    def counted_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(wanted.value.hashes), np.int64)
+        for batch in batches:
+            for _, texts in text_groups(batch.column(0)):
+                total += np.bincount(wanted.value.values(texts)[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["k", "u"])
+
+    u = np.zeros(len(hashes), np.int64)
+    every = texts.select("text").mapInArrow(counted_all, "k long, u long").groupBy("k").agg(F.sum("u").alias("u")).toPandas()  # as many as hashes
+    u[every["k"].to_numpy(np.int64)] = every["u"].to_numpy(np.int64)
+    a, b = p / n_p, u / size
+    mean = (p + u) / (n_p + size)
+    z = (a - b) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / size) + 1e-12)
+    sure = np.flatnonzero((a > 2 * b) & (z >= LEAST_Z))
+    hashes = hashes[sure[np.lexsort((hashes[sure].view(np.int64), -z[sure]))][:n_features]]
     if not len(hashes):
         return nothing
     model = Model(hashes, np.zeros(len(hashes)), 0.0)

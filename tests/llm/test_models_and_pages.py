@@ -187,3 +187,13 @@ def test_pages_of_any_depth(spark):
         assert texts_of(spark, *[page.format(n) for n in ("alpha", "beta")]) == [f"{n}\nOf {n}\nEnd" for n in ("alpha", "beta")]
     a, b = (html.wrapper_of(html.parse("<div>" * 5000 + x)) for x in ("<p>x</p>", "<hr>"))
     assert html.flat(html.unflat(html.flat(a))) == html.flat(a) and len(html.flat(html.aligned(a, b))) > 5000
+
+
+def test_features_are_chosen_over_all_documents(spark):
+    # Words of all toxic texts and of about half of the others: counts alone tell which are in over half of all.
+    rnd = random.Random(5)
+    words = [f"{chr(97 + k)}zq" for k in range(20)]
+    rows = [(i, " ".join(words if i < 40 else [w for w in words if rnd.random() < 0.43] or ["x"]), "en", "s", 0) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 0, int(i < 40)) for i in range(80)], "doc_id long, quality int, toxic int")
+    full, few = (toxicity.train(docs, labels, unlabelled=n).hashes.tolist() for n in (10_000, 60))
+    assert full and full == few
