@@ -3,9 +3,10 @@ r"""Benchmark decontamination by winnowing.
 A document and a benchmark item share a passage if `window` consecutive item words occur in the document; an item with
 fewer words is one passage as a whole. Both sides keep the smallest hash of each sliding window of k-grams (k = 5 and
 window - k + 1 = 9 k-grams by default), which guarantees that every shared run of `window` words has a fingerprint in
-common at the same place of the run. Fingerprints are joined, and each hit is extended word by word to the longest common
-run; runs of at least `window` words count. Items shorter than `window` keep one hash of the whole item, which is looked
-up among all runs of that length.
+common at the same place of the run. Fingerprints are joined, and each hit is extended to all windows around it that are an
+item's, word by word; hit windows that meet or overlap form a run. Items shorter than `window` keep one hash of the whole item,
+which is looked up among all runs of that length. Windows that repeat, in a text or in items, are one passage with one list of
+its items, so that texts and items of one word over and over cost no more than others.
 
 The benchmark is split by item hash into blocks of at most `block_words` words (one block if it is small, which is
 checked); each block is broadcast, and documents stream through one narrow step a block. No document is shuffled.
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyframe.llm.shared import FOLDED_ALNUM, grams, hash_words, table, text_groups
+from policyframe.llm.shared import FOLDED_ALNUM, grams, hash_words, mix, table, text_groups
 
 WINDOW, GRAM = 13, 5
 #: Words of one broadcast block: some 100 MB in each Python worker.
 BLOCK_WORDS = 4_000_000
+_BASE, _GOLD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: A document is contaminated if 20 * hit words >= words.
 SHARE = 20
 
@@ -57,8 +59,25 @@ def _sliding(x: np.ndarray, span: int, best) -> np.ndarray:
     return out
 
 
+def _runs_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        out = mix((out + _GOLD) * _BASE + words[at + k])
+    return out
+
+
+def _lists(groups: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct groups, and of each an id of its set of members: groups with the same members share it. Groups are sorted."""
+    edges = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+    known: dict[bytes, int] = {}
+    ends = np.append(edges[1:], len(groups))
+    return edges, np.array([known.setdefault(members[a:b].tobytes(), len(known)) for a, b in zip(edges.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
 class Block:
-    """Fingerprints and words of some items, as arrays that are sorted by fingerprint."""
+    """Some items: the fingerprints of the long ones, and all distinct passages (windows, and items shorter than one), by their
+    length, as arrays sorted by hash. A passage has one place of its words, and the number of the set of items that hold it."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, gram: int):
         self.window, self.gram = window, gram
@@ -75,82 +94,98 @@ class Block:
                     self.ids.append(set())
                 if item_id is not None:
                     self.ids[same[key]].add(item_id)
-        self.first = np.cumsum([0, *map(len, sequences)])
+        first = np.cumsum([0, *map(len, sequences)])
         self.words = np.concatenate(sequences) if sequences else np.zeros(0, np.uint64)
-        prints, owner, place = [], [], []
-        short: dict[int, tuple[list, list]] = {}
+        prints = [np.zeros(0, np.uint64)]
+        places: dict[int, tuple[list, list]] = {}
         for i, s in enumerate(sequences):
-            if len(s) < window:
-                hashes, of = short.setdefault(len(s), ([], []))
-                hashes.append(grams(s, len(s))[0])
-                of.append(i)
-            else:
+            n = min(len(s), window)
+            at, of = places.setdefault(n, ([], []))
+            at.append(first[i] + np.arange(len(s) - n + 1))
+            of.append(np.full(len(s) - n + 1, i))
+            if n == window:
                 h = grams(s, gram)
-                at = winnow(h, window - gram + 1)
-                prints.append(h[at])
-                owner.append(np.full(len(at), i))
-                place.append(at)
-        order = np.argsort(p := np.concatenate(prints), kind="stable") if prints else None
-        self.prints = p[order] if prints else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner)[order] if prints else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if prints else np.zeros(0, np.int64)
-        self.short = {}
-        for n, (hashes, of) in short.items():
-            order = np.argsort(h := np.array(hashes, np.uint64))
-            self.short[n] = (h[order], np.array(of)[order])
-
-
-def _joined(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) with values[i] == keys[j]; keys are sorted."""
-    low = np.searchsorted(keys, values)
-    some = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == values)) if len(keys) else np.zeros(0, np.int64)
-    low, high = low[some], np.searchsorted(keys, values[some], "right")
-    n = high - low
-    i = np.repeat(some, n)
-    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-
-
-def _extend(a: np.ndarray, a_at: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_end: np.ndarray, step: int) -> np.ndarray:
-    """How many words from a_at and b_at on are the same, going by `step`, before a_end or b_end."""
-    n = np.zeros(len(a_at), np.int64)
-    alive = np.arange(len(a_at))
-    while len(alive):
-        x, y = a_at[alive] + step * n[alive], b_at[alive] + step * n[alive]
-        alive, x, y = (v[(x != a_end[alive]) & (y != b_end[alive])] for v in (alive, x, y))
-        alive = alive[a[x] == b[y]]
-        n[alive] += 1
-    return n
+                prints.append(h[winnow(h, window - gram + 1)])
+        self.prints = np.unique(np.concatenate(prints))
+        self.passages = {}
+        self.sets: list[np.ndarray] = []
+        for n, (at, of) in places.items():
+            at, of = np.concatenate(at), np.concatenate(of)
+            hashes = _runs_hash(self.words, at, n)
+            order = np.lexsort((at, of, hashes))
+            hashes, at, of = hashes[order], at[order], of[order]
+            # An item that holds a passage several times holds it once.
+            once = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))
+            hashes, at, of = hashes[once], at[once], of[once]
+            edges, sets = _lists(hashes, of)
+            base = len(self.sets)
+            ends = np.append(edges[1:], len(of))
+            known: dict[int, np.ndarray] = {}
+            for k, a, b in zip(sets.tolist(), edges.tolist(), ends.tolist(), strict=True):
+                known.setdefault(k, of[a:b])
+            self.sets += [known[k] for k in range(len(known))]
+            self.passages[n] = (hashes[edges], at[edges], sets + base)
+
+    def passage(self, n: int, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places `at` begin a passage of n words, by the words themselves, and its set of items."""
+        keys, places, sets = self.passages[n]
+        hashes = _runs_hash(words, at, n)
+        k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        some = np.flatnonzero(keys[k] == hashes)
+        k = k[some]
+        for step in range(n):
+            same = words[at[some] + step] == self.words[places[k] + step]
+            some, k = some[same], k[same]
+        return some, sets[k]
 
 
 def find(texts: list[bytes], block: Block) -> tuple[np.ndarray, list[tuple[int, int, int]], list[set[str]]]:
-    """Words of each text; hit runs as (text, first word, end); for each text, the ids of the items found."""
+    """Words of each text; runs of hit words as (text, first word, end); for each text, the ids of the items found.
+
+    Work is in proportion to the words, however often they repeat: fingerprints name the places whose windows are looked up,
+    each place is looked up once, and of each text every set of items is taken once."""
     words = hash_words(texts, FOLDED_ALNUM)
     first, hashes = words.first, words.hashes
     runs, found = [], [set() for _ in texts]
     if not len(hashes):
         return words.counts, runs, found
     owners = words.owners()
-    h = grams(hashes, block.gram)
-    at = winnow(h, block.window - block.gram + 1)
-    i, j = _joined(h[at], block.prints)
-    x, item = at[i], block.owner[j]
-    y = block.first[item] + block.place[j]
-    doc = owners[x]
-    right = _extend(hashes, x, first[doc + 1], block.words, y, block.first[item + 1], 1)
-    left = _extend(hashes, x - 1, first[doc] - 1, block.words, y - 1, block.first[item] - 1, -1)
-    whole = left + right >= block.window
-    hits = list({*zip(doc[whole].tolist(), (x - left)[whole].tolist(), (x + right)[whole].tolist(), item[whole].tolist(), strict=True)})
-    for n, (keys, of) in block.short.items():
-        if len(hashes) < n:
+    steps = np.zeros(len(hashes) + 1, np.int64)
+    doc_sets = []
+
+    def hit(n: int, at: np.ndarray) -> None:
+        at = at[at + n <= first[owners[at] + 1]] if len(at) else at
+        some, sets = block.passage(n, hashes, at)
+        np.add.at(steps, at[some], 1)
+        np.add.at(steps, at[some] + n, -1)
+        doc_sets.append(np.stack([owners[at[some]], sets], 1))
+
+    for n in block.passages:
+        if n > len(hashes):
             continue
-        x, j = _joined(grams(hashes, n), keys)
-        item, doc = of[j], owners[x]
-        same = np.flatnonzero(x + n <= first[doc + 1])
-        same = same[_extend(hashes, x[same], x[same] + n, block.words, block.first[item[same]], block.first[item[same] + 1], 1) == n]
-        hits += zip(doc[same].tolist(), x[same].tolist(), (x[same] + n).tolist(), item[same].tolist(), strict=True)
-    for d, a, b, k in hits:
+        if n < block.window:
+            hit(n, np.arange(len(hashes) - n + 1))
+            continue
+        h = grams(hashes, block.gram)
+        at = winnow(h, n - block.gram + 1)
+        k = np.minimum(np.searchsorted(block.prints, h[at]), len(block.prints) - 1)
+        at = at[block.prints[k] == h[at]]
+        # Every window around a fingerprint in common.
+        near = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(near, np.maximum(at - (n - block.gram), 0), 1)
+        np.add.at(near, at + 1, -1)
+        hit(n, np.flatnonzero(np.cumsum(near[:-1])[: len(hashes) - n + 1] > 0))
+    covered = np.cumsum(steps[:-1]) > 0
+    if not covered.any():
+        return words.counts, runs, found
+    begins = covered & ~np.append(False, covered[:-1] & (owners[1:] == owners[:-1]))
+    ends = covered & ~np.append(covered[1:] & (owners[1:] == owners[:-1]), False)
+    for a, b in zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist(), strict=True):
+        d = int(owners[a])
         runs.append((d, int(a - first[d]), int(b - first[d])))
-        found[d] |= block.ids[k]
+    for d, k in np.unique(np.concatenate(doc_sets), axis=0).tolist():
+        for i in block.sets[k].tolist():
+            found[d] |= block.ids[i]
     return words.counts, runs, found
 
 
