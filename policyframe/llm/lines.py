@@ -3,38 +3,47 @@ r"""Line deduplication with a deletion-neighbourhood join, in DataFrame function
 A line is its words [^\x20\x09\x0B-\x0D]+ between line feeds; lines without words are kept and count for nothing. A line goes if
 an earlier line (smaller doc_id, then smaller line number) has the same words, or if both have at least `fuzzy_words` words
 and one inserted, deleted or replaced word makes them equal (with five words or more, four fifths agree). Lines are judged
-on the input, not on what is left.
+on the input, not on what is left. `edits` is the bound: 1, or 0 for equal lines alone; larger ones are refused, as a line's
+neighbourhood would then grow with the square of its words.
 
 1. Equal lines are grouped by a 128-bit hash; each group keeps its earliest place.
 2. Two lines one edit apart share the first or the last half of the shorter one. Lines whose halves, with their length,
    occur in no other line are out; this loses nothing.
 3. Every other line emits its deletion neighbourhood: the line itself and each variant with one word left out, as hashed
-   keys. A key is a sum over neighbouring words, so that a line's variants cost time in proportion to its words. Variants
-   that lack the same word number are a replacement apart; a variant and a whole line are an insertion apart.
+   keys. A key sums hashes of words with their places, as running sums, so that a line's variants cost time in proportion to its
+   words, and lines with the same words in another order have other keys. Variants that lack the same word number are a
+   replacement apart; a variant and a whole line are an insertion apart.
 4. Of each key only the earliest line matters; a line and the earliest of its keys are joined, and the edit is verified on
-   the words. Where the earliest is a false friend, all earlier lines of that key are verified instead.
+   the words. Where the earliest is a false friend (equal hashes of other words), all earlier lines of that key are verified instead.
 
-Texts meet lists of line numbers by sort and merge at every size. No pairs within a key are formed (but for such collisions), so a line in a third of all documents costs what others cost.
+Texts meet lists of line numbers by sort and merge at every size, and Spark splits keys that many rows share. No pairs within a
+key are formed (but for such collisions), so a line in a third of all documents costs what others cost.
 
 Edge cases: a null text has no lines and stays null; an empty text stays empty; rows that repeat an id and text are one
-document; a null id counts as larger than any other; an empty table gives an empty result; extra columns pass through.
+document; rows of one id with other texts are told apart by the text's hash, and their lines are ordered by number, then by
+that hash; a null id counts as larger than any other, and rows without one are ordered by the text's hash; an empty table
+gives an empty result; extra columns of any name pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyframe.llm.shared import cut, table
 
 FUZZY_WORDS = 5
-_LAST = (1 << 63) - 1
-#: A line's place in the order of all lines is id * _LINE * _TEXT + line number * _TEXT + some bits of its text's key.
-_LINE, _TEXT = 1 << 31, 1 << 24
+#: A line's place in the order of all lines is a number of 38 digits, which keeps aggregation in hash tables: the id (rows without
+#: one follow, told apart by their text's hash), and 62 bits for the line's number and its text's hash.
+_REST, _AFTER = 1 << 62, 1 << 63
+#: (lines below, bits for the hash): a line number needs few bits in most texts; two bits name the row of this list.
+_SIZES = [(1 << 8, 52), (1 << 16, 44), (1 << 24, 36), (1 << 31, 29)]
 
 
-def _bits(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(_TEXT))
+def _id(id_col: str, key: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(Decimal(_AFTER)).cast("decimal(20,0)") + F.pmod(F.col(key), F.lit(_AFTER - 1)).cast("decimal(20,0)"))
 
 
 def _words(line: Column) -> Column:
@@ -42,7 +51,8 @@ def _words(line: Column) -> Column:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    out = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return out.select(_id("own", "key").alias("id"), "key", "text")
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -58,10 +68,12 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _ref() -> Column:
-    """A line's place in the order of all lines: id, line number, and some bits of the text's key, which tell texts of one id
-    apart. A number of 38 digits keeps aggregation in hash tables."""
-    ref = F.col("id").cast("decimal(20,0)") * F.lit(_LINE * _TEXT) + (F.col("line").cast("long") * _TEXT + _bits("key"))
-    return ref.cast("decimal(38,0)")
+    line, out = F.col("line").cast("long"), F.lit(None).cast("long")
+    for k, (below, bits) in reversed(list(enumerate(_SIZES))):
+        low = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+        number = F.lit(k << 60) + F.shiftleft(line, bits) + low
+        out = number if k == len(_SIZES) - 1 else F.when(line < below, number).otherwise(out)
+    return (F.col("id") * F.lit(_REST).cast("decimal(19,0)") + out.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def _halves() -> list[Column]:
@@ -76,19 +88,22 @@ def _halves() -> list[Column]:
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """(ref, at, variant): at is the number of the word left out, 0 for the line itself."""
-    # Words with a sign before the first and after the last; sums of two 36-bit parts of each neighbouring pair's hash.
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(1).cast("long")))
-    out = lines.select("ref", "n", ends.alias("e"))
-    out = out.withColumn("pair", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.xxhash64(F.get("e", i), F.get("e", i + 1))))
-    out = out.withColumn("skip", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.get("e", i - 1), F.get("e", i + 1))))
+    # Hashes of each word with its place, and with the place that it has when a word before it is left out, in two parts of 36
+    # bits, whose sums fit a long. A variant's sum is that of the words before, at their places, and of those behind, at the others.
     low = F.lit((1 << 36) - 1)
-    parts = {"s1": lambda g: F.shiftrightunsigned(g, 28), "s2": lambda g: g.bitwiseAND(low)}
+    parts = {"1": lambda g: F.shiftrightunsigned(g, 28), "2": lambda g: g.bitwiseAND(low)}
+    out = lines.select("ref", "n", F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("g"), F.transform("words", lambda w, i: F.xxhash64(w, i - 1)).alias("h"))
     for name, part in parts.items():
-        out = out.withColumn(name, F.aggregate(F.transform("pair", part), F.lit(0).cast("long"), lambda s, g: s + g))
-    out = out.select("ref", "n", "s1", "s2", "pair", "skip", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
-    sums = [F.when(F.col("at") == 0, F.col(name)).otherwise(F.col(name) - part(F.get("pair", F.col("at") - 1)) - part(F.get("pair", F.col("at"))) + part(F.get("skip", F.col("at") - 1))) for name, part in parts.items()]
-    size = F.when(F.col("at") == 0, F.col("n")).otherwise(F.col("n") - 1)
-    return out.select("ref", "at", F.xxhash64(size, *sums).alias("variant"))
+        out = out.withColumn(f"all{name}", F.aggregate(F.transform("h", part), F.lit(0).cast("long"), lambda s, x: s + x))
+    out = out.repartition("ref").select("ref", "n", "all1", "all2", F.posexplode(F.arrays_zip("g", "h")).alias("at", "w"))
+    running = Window.partitionBy("ref").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(part(F.col(f"w.{c}"))).over(running).alias(f"{c}{name}") for name, part in parts.items() for c in ("g", "h")]
+    own = [part(F.col("w.g")).alias(f"own{name}") for name, part in parts.items()]
+    out = out.select("ref", "n", "at", "all1", "all2", *own, *sums)
+    left = F.struct((F.col("at") + 1).alias("at"), (F.col("n") - 1).alias("n"), *[(F.col(f"g{k}") - F.col(f"own{k}") + F.col(f"all{k}") - F.col(f"h{k}")).alias(f"s{k}") for k in parts])
+    whole = F.struct(F.lit(0).alias("at"), F.col("n"), *[F.col(f"g{k}").alias(f"s{k}") for k in parts])
+    out = out.select("ref", F.explode(F.when(F.col("at") == F.col("n") - 1, F.array(left, whole)).otherwise(F.array(left))).alias("v"))
+    return out.select("ref", "v.at", F.xxhash64("v.n", "v.s1", "v.s2").alias("variant"))
 
 
 def _less(words: str, at: str) -> str:
@@ -102,16 +117,15 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
     return links.join(a, "ref").join(b, "other").withColumn("same", F.expr(f"{_less('wa', 'at')} = {_less('wb', 'other_at')}")).drop("wa", "wb")
 
 
-def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
+def _near(distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
     """(ref) of the distinct lines that an earlier one is one edit from."""
-    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
+    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", "id", "key", "line", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
     shared = long.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half")
-    chosen = cut(long.join(cut(shared, "halves").hint("merge"), "half").select("first").distinct(), "chosen")
+    chosen = long.join(cut(shared, "halves").hint("merge"), "half").select(F.col("first").alias("ref"), "id", "key", "line")
+    chosen = cut(chosen.dropDuplicates(["ref"]), "chosen")
     # Words are read again for the chosen lines alone: texts meet lists of places.
-    place = chosen.select(F.col("first").alias("ref"), F.expr(f"(first - pmod(first, {_TEXT * _LINE})) div {_TEXT * _LINE}").alias("id"), F.expr(f"cast(pmod(first, {_TEXT * _LINE}) AS bigint)").alias("rest"))
-    place = place.select("ref", "id", F.expr(f"cast(rest div {_TEXT} AS int)").alias("line"), F.pmod("rest", F.lit(_TEXT)).alias("bits"))
-    places = cut(place.groupBy("id", "bits").agg(F.collect_list(F.struct("line", "ref")).alias("places")), "places")
-    found = texts.withColumn("bits", _bits("key")).join(places.hint("merge"), ["id", "bits"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
+    places = chosen.groupBy("id", "key").agg(F.collect_list(F.struct("line", "ref")).alias("places"))
+    found = texts.join(cut(places, "places").hint("merge"), ["id", "key"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
     words = found.select("p.ref", _words(F.get("all", F.col("p.line"))).alias("words")).withColumn("n", F.size("words"))
     words = cut(words.dropDuplicates(["ref"]), "words")
 
@@ -138,42 +152,42 @@ def _near(lines: DataFrame, distinct: DataFrame, fuzzy_words: int, texts: DataFr
     return links.filter("same").select(F.col("ref").alias("first")).distinct()
 
 
-def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(id, key, removed): numbers of the lines to remove, for each text with any; key is xxhash64(text)."""
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS, edits: int = 1) -> DataFrame:
+    """(id, key, removed): numbers of the lines to remove, for each text with any; id as it orders the texts, key is xxhash64(text)."""
+    if edits not in (0, 1):
+        raise ValueError(f"edits must be 0 or 1, not {edits}")
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
     sized = lines.withColumn("n", F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    distinct = sized.select("h1", "h2", "n", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
-    own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
+    distinct = sized.select("h1", "h2", "n", "key", "line", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
+    own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")] + [F.min_by(c, "ref").alias(c) for c in ("key", "line")]
     distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.count("*").alias("times"), *own)
+    # What is left after the remainder is a multiple: the division is exact.
+    distinct = distinct.withColumn("id", F.expr(f"CAST((first - pmod(first, CAST({_REST} AS decimal(38,0)))) / CAST({_REST} AS decimal(38,0)) AS decimal(20,0))"))
     distinct = cut(distinct, "distinct")
-    near = cut(_near(lines, distinct, fuzzy_words, texts), "near").withColumn("near", F.lit(True))
-    matter = distinct.select("h1", "h2", "first", "times").join(near, "first", "left").filter("near or times > 1")
-    matter = cut(matter.select("h1", "h2", "first", "near"), "matter")
+    matter = distinct.select("h1", "h2", "first", "times")
+    if edits:
+        near = cut(_near(distinct, fuzzy_words, texts), "near").withColumn("near", F.lit(True))
+        matter = matter.join(near, "first", "left")
+    else:
+        matter = matter.withColumn("near", F.lit(False))
+    matter = cut(matter.filter("near or times > 1").select("h1", "h2", "first", "near"), "matter")
     going = lines.select("h1", "h2", "id", "key", "line").join(matter.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (_ref() != F.col("first")))
-    return cut(going.groupBy("id", "key").agg(F.collect_list("line").alias("removed")), "removed")
+    return cut(going.groupBy("id", "key").agg(F.collect_set("line").alias("removed")), "removed")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fuzzy_words: int = FUZZY_WORDS, edits: int = 1) -> DataFrame:
     """Every row of docs with its columns, the text without the lines that go, n_lines and n_removed (in place of columns of
     these names)."""
-    out = _without(docs, id_col, text_col, fuzzy_words)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[f"`{c}`" for c in own], F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
-
-
-def _without(docs: DataFrame, id_col: str, text_col: str, fuzzy_words: int) -> DataFrame:
-    removed = removed_lines(docs, id_col=id_col, text_col=text_col, fuzzy_words=fuzzy_words)
-    own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key": F.xxhash64(text_col)})
-    joined = own.join(removed.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed")).hint("merge"), ["_id", "_key"], "left")
-    joined = joined.withColumn("_lines", F.split(text_col, "\n", -1))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get("_lines", i)), "\n"))
-    counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long")}
-    counts["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines"])
-    counts["n_removed"] = F.when(F.col("_removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_removed"])
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, *[v.alias(f"_{k}") for k, v in counts.items()])
+    removed = removed_lines(docs, id_col=id_col, text_col=text_col, fuzzy_words=fuzzy_words, edits=edits)
+    # Own columns go by number: no name of theirs can meet one of ours.
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(docs.columns)])
+    joined = own.withColumn("id", _id("id", "key")).join(removed.hint("merge"), ["id", "key"], "left").withColumn("lines", F.split("text", "\n", -1))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("lines", i)), "\n"))
+    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")), "n_removed": F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed"))}
+    columns = [text.alias(c) if c == text_col else F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns) if c not in counts]
+    return joined.select(*columns, *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +225,9 @@ GROUP BY l.doc_id
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, without the lines that go; n_chars follows the text."""
-    out = _without(docs, "doc_id", "text", FUZZY_WORDS)
+    # The table's own columns of the counts' names stay as they are.
+    own = {c: f"own {c}" for c in docs.columns if c in ("n_lines", "n_removed")}
+    out = dedup_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])
