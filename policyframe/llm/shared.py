@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are hashed in groups of about so many bytes; a longer text is a group of its own.
 GROUP_BYTES = 1_000_000
@@ -58,9 +59,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     schema = df.schema
     del df
+    # The only way to have the shuffle files of finished steps deleted from executors' disks: Spark does it when the driver's JVM
+    # finds their plans unreachable, and by itself looks every half an hour.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._cut_path)
+
+
+#: A key is hot if it has more than one in so many rows; there are fewer hot keys than that, whatever the rows.
+HOT = 1024
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, total: int, times: str = "times") -> DataFrame:
+    """rows.join(one, key). `one` has each key once, and how many rows have it as `times` (which goes). Hot keys are fewer than
+    HOT, so that their part of `one` is broadcast; the others meet by shuffle, where no key gives a task more than its share."""
+    hot = one.filter(F.col(times) > total / HOT).drop(times)
+    cold = one.filter(F.col(times) <= total / HOT).drop(times)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,13 +4,15 @@ A text, A-Z lower-cased, is cut into words [^\x20\x09-\x0D]+ and shingles of fou
 over half of the shingles' XXH64 values (seed 42). Fingerprints that differ in at most `radius` bits are linked, and
 linked documents form components.
 
-Equal fingerprints are one node. Two fingerprints within the radius agree in at least m - radius of any m bit blocks, so
-the grid of tiles is laid out by the values of m - radius blocks (m = radius + 1 at first, more blocks when there are more
-fingerprints): a tile holds the fingerprints with one such value, and only there can links lie. A tile is split further
-into tiles of at most `tile` fingerprints, every pair of which is a piece of work of its own; hot values spread over many
-tasks in this way. Inside, fingerprints are sorted by population count: parts whose counts differ by more than the radius
-are skipped, the others are compared with numpy exclusive-or and bit counts. A task emits a spanning star for each
-group it finds, not all pairs; no link between different fingerprints is lost.
+Equal fingerprints are one node. The grid of tiles is laid out by population count, in bands of radius + 1 counts: counts of
+bands that are not neighbours differ beyond the radius, so only a band's tiles with each other and with those of the next band
+are paired, and all other tile pairs are skipped. That alone leaves about half of all pairs, which grows with the square of the
+documents; so, as a second filter, tiles are cut by bit blocks too: two fingerprints within the radius agree in at least
+m - radius of any m blocks (m = radius + 1 at first, more when there are more fingerprints), so a tile holds those of one band
+with one value of m - radius blocks. Tiles of more than `tile` fingerprints are split by a hash, and every pair of the parts is
+a piece of work of its own: hot values spread over many tasks in this way. Inside, fingerprints are sorted by population
+count, parts whose counts differ beyond the radius are skipped, and the others are compared with numpy exclusive-or and bit
+counts. A task emits a spanning star for each group it finds, not all pairs; no link between different fingerprints is lost.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; texts of one to three words are one
 shingle; repeated rows each get their row, with the same component; an empty table gives an empty result; rows with a null
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyframe.llm.components import components
-from policyframe.llm.shared import cut, table
+from policyframe.llm.shared import cut, done, joined, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE, PART = 1024, 256
@@ -119,36 +121,52 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
     for k, bits in enumerate(sets):
         mask = sum(1 << b for b in bits)
         keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
-    spread = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = cut(spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
-    parts = spread.join(hot, "key", "left").withColumn("s", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
-    parts = parts.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-    parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    work = parts.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "fp")
-    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    own = F.floor(F.bit_count("fp") / (radius + 1)).cast("int")
+    spread = nodes.select("fp", own.alias("band"), F.explode(F.array(*keys)).alias("key"))
+    # Tiles beyond `tile` fingerprints, which are fewer than 1 in `tile` of the rows, and how many parts each has.
+    hot = cut(spread.groupBy("key", "band").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
+    hot = hot.select("key", "band", F.ceil(F.col("n") / tile).cast("int").alias("s"))
+    below = hot.select("key", (F.col("band") + 1).alias("band"), F.col("s").alias("s_below"))
+    above = hot.select("key", (F.col("band") - 1).alias("band"), F.col("s").alias("s_above"))
+    parts = spread
+    for other in (hot, below, above):
+        parts = parts.join(other, ["key", "band"], "left")
+    s = {c: F.coalesce(F.col(c), F.lit(1)) for c in ("s", "s_below", "s_above")}
+    parts = parts.select("key", "band", "fp", F.pmod(F.xxhash64("fp"), s["s"]).cast("int").alias("mine"), s["s"].alias("s"), s["s_below"].alias("s_below"), s["s_above"].alias("s_above"))
+    # Of each piece of work (key, band, i, j): side 0 is part i of the band; side 1 is part j of the same band, or, with j
+    # below zero, part -1 - j of the next.
+    within = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda k: F.struct(F.col("band").alias("band"), F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j"), (F.col("mine") > k).cast("int").alias("side")))
+    upward = F.transform(F.sequence(F.lit(0), F.col("s_above") - 1), lambda k: F.struct(F.col("band").alias("band"), F.col("mine").alias("i"), (-1 - k).alias("j"), F.lit(0).alias("side")))
+    downward = F.transform(F.sequence(F.lit(0), F.col("s_below") - 1), lambda k: F.struct((F.col("band") - 1).alias("band"), k.alias("i"), (-1 - F.col("mine")).alias("j"), F.lit(1).alias("side")))
+    work = parts.select("key", "fp", F.explode(F.concat(within, upward, downward)).alias("w")).select("key", "w.*", "fp")
+    work = work.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "side")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(job: list[np.ndarray]) -> pa.RecordBatch | None:
-            i, j, mine, fp = job
+            i, j, side, fp = job
             if len(fp) < 2:
                 return None
             fp = np.ascontiguousarray(fp).view(np.uint64)
-            a, b = _stars(fp, None, radius) if i[0] == j[0] else _stars(fp[mine == i], fp[mine == j], radius)
+            if i[0] == j[0]:
+                a, b = _stars(fp, None, radius)
+            elif side[0] == side[-1]:
+                return None
+            else:
+                a, b = _stars(fp[side == 0], fp[side == 1], radius)
             return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a, b)], names=["a", "b"]) if len(a) else None
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if held is not None:
                 columns = [np.concatenate(p) for p in zip(held, columns, strict=True)]
-            key, i, j = columns[:3]
-            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:4]])) + 1
             edges = [0, *new.tolist()]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if out := compared([c[a:b] for c in columns[1:]]) if b - a > 1 else None:
+                if out := compared([c[a:b] for c in columns[2:]]) if b - a > 1 else None:
                     yield out
             held = [c[edges[-1] :] for c in columns]
-        if held is not None and (out := compared(held[1:])):
+        if held is not None and (out := compared(held[2:])):
             yield out
 
     return work.mapInArrow(step, "a long, b long").distinct()
@@ -157,13 +175,15 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int) -> DataFrame:
     """(id, fp, root, component_id) for every row of docs; root is a component's own fingerprint."""
     prints = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = cut(components(links(nodes.select("fp"), nodes.count(), radius, tile)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "rooted")
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    named = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
-    return prints.join(named, "fp").select("id", "fp", "root", "component_id")
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("times")), "nodes")
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    roots = cut(components(links(nodes.select("fp"), n, radius, tile)), "roots")
+    rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "times", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "components")
+    named = cut(joined(rooted.select("fp", "root", F.col("times").alias("copies")), least, "root", n, "members"), "named")
+    done(nodes, roots, rooted, least)
+    # A fingerprint that a large part of all rows has meets them by broadcast.
+    return joined(prints, named, "fp", rows, "copies").select("id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -177,21 +197,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component one row, with its smallest id (of several such rows, the first by the other
-    columns); rows without an id stay. Where rows of one id are in several components, each row counts in its own."""
+    """Pipeline stage: of each component one row, with its smallest id (of several such rows, the first by text, then by the
+    other columns as JSON); rows without an id stay. Where rows of one id are in several components, each row counts in its own."""
     rows = cut(_grouped(docs, "doc_id", "text", RADIUS, TILE).filter("id is not null"), "grouped")
-    ids = rows.groupBy("id").agg((F.min("root") != F.max("root")).alias("_mixed"), F.max(F.col("id") == F.col("component_id")).alias("_first")).filter("_first")
-    ids = cut(ids.select(F.col("id").alias("doc_id"), "_mixed"), "ids")
+    ids = rows.groupBy("id").agg((F.min("root") != F.max("root")).alias("mixed"), F.max(F.col("id") == F.col("component_id")).alias("first")).filter("first")
+    ids = cut(ids.select("id", "mixed"), "ids")
     # Of rows whose id doesn't tell the component, the text's fingerprint does.
-    mixed = ids.filter("_mixed").select(F.col("doc_id").alias("id"))
-    told = cut(rows.filter("id = component_id").join(mixed, "id").select(F.col("id").alias("doc_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct(), "told")
+    mixed = ids.filter("mixed").select("id")
+    told = cut(rows.filter("id = component_id").join(mixed, "id").select("id", "fp", "root").distinct(), "told")
+    done(rows)
 
     @F.pandas_udf("long")
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([0 if t is None else fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64))
 
-    once = docs.filter("doc_id is not null").join(ids, "doc_id").withColumn("_fp", F.when(F.col("_mixed"), print_of(F.when(F.col("_mixed"), F.col("text")))))
-    once = once.join(told, ["doc_id", "_fp"], "left").filter("not _mixed or _root is not null")
-    order = Window.partitionBy("doc_id", "_root").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    once = once.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    # Own columns go by number: no name of theirs can meet one of ours.
+    names = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    once = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in names.items()], F.col("doc_id").alias("id"), F.col("text").alias("text")).filter("id is not null").join(ids, "id")
+    once = once.withColumn("fp", F.when(F.col("mixed"), print_of(F.when(F.col("mixed"), F.col("text")))))
+    once = once.join(told, ["id", "fp"], "left").filter("not mixed or root is not null")
+    rest = [F.col(o).alias(c) for c, o in names.items() if c not in ("doc_id", "text")]
+    order = Window.partitionBy("id", "root").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else []))
+    once = once.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return once.select(*[F.col(o).alias(c) for c, o in names.items()]).unionByName(docs.filter("doc_id is null"))
