@@ -5,7 +5,8 @@ lengths alone, and there are at most `capacity` different lengths: their counts
 driver, a whole pattern of lengths at a time. A bin is filled greedily with the longest document that still fits; then its
 smallest document is replaced with the two unpacked ones that fill the widened gap most tightly, if they fill it better.
 Every piece then finds its place from its rank among the pieces of its length; ranks come from counts of (bucket,
-length), so no length's pieces meet in one task.
+length), so no length's pieces meet in one task, however many rows are alike. The patterns' places are broadcast: some 6,000
+for a capacity of 2,048, for a hundred thousand documents as for a hundred million; their number is checked.
 
 Words that consist of common Latin characters are tokenized once each and remembered (the tokenizer splits texts into
 words first); any other text goes through the tokenizer as a whole.
@@ -31,6 +32,9 @@ from policyframe.llm.shared import cut, partitions, table
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words a Python worker remembers; then it starts anew.
 REMEMBERED = 700_000
+#: Of 32 bytes each. Their number is bounded by the capacity, not by the documents: a pattern is used until one of its lengths
+#: has fewer pieces left than a bin of it holds, which can happen to a length only as often as that number shrinks.
+MOST_PLACES = 2_000_000
 
 #: Characters for which Python's classes and lower-casing agree with the tokenizer's, and which have no decompositions.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]")
@@ -92,6 +96,8 @@ def encoder(path: str | None) -> Encoder:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str | None) -> DataFrame:
+    """Pieces without their places; `row` numbers the rows of a batch, and so tells rows apart that are alike."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path).encode, END_ID.to_bytes(4, "little")
         for batch in batches:
@@ -103,10 +109,10 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
                         part = found[a : a + 4 * capacity]
                         rows.append((i, n, a // 4, len(part) // 4, zlib.crc32(part)))
                 i, n, start, length, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(n, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))], names=["id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(n, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc, [k + x for x in i]))], names=["id", "piece", "start", "length", "ids_crc32", "row"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(step, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(step, f"id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def _best_two(left: np.ndarray, room: int, over: int) -> tuple[int, int] | None:
@@ -174,14 +180,18 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     spark = docs.sparkSession
     cuts = cut(pieces(docs, id_col, text_col, capacity, tokenizer_path), "pieces")
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    sent = spark.sparkContext.broadcast(_places(best_two_fit(counts, capacity)))
+    places = _places(best_two_fit(counts, capacity))
+    if (n := sum(map(len, places.values()))) > MOST_PLACES:  # not met by any table: they depend on the capacity alone
+        raise ValueError(f"{n} places for patterns of {capacity} tokens are too many to broadcast; take a smaller capacity")
+    sent = spark.sparkContext.broadcast(places)
     buckets = max(64, partitions(spark))
-    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", "row"), F.lit(buckets)))
     sizes = dealt.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("bucket", "length").orderBy("id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("own", F.row_number().over(own)).join(cut(sizes, "sizes"), ["bucket", "length"])
+    # Ranks are dealt by bucket and length anyway: the sizes come to them.
+    ranked = dealt.withColumn("own", F.row_number().over(own)).join(cut(sizes, "sizes").hint("merge"), ["bucket", "length"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
