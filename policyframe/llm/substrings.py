@@ -5,8 +5,9 @@ window whose words also start earlier: in a document of smaller id, or earlier i
 
 1. Anchors. Each text's non-overlapping blocks of window / 2 words are the index; every window of repeated words holds at
    least one of its own text's blocks. Every rolling run of that many words probes the index. Blocks and probes travel
-   as packed 32-bit hash fragments, dealt by hash range into buckets, so a frequent passage is a few bytes more in
-   its bucket. A block is an anchor if it occurs anywhere besides its own place in exact copies of its text.
+   as packed 32-bit hash fragments, dealt by hash range into buckets; a batch sends each fragment once, and what it can tell by
+   itself to be an anchor doesn't go through a bucket, so a passage in a third of all documents is one fragment a batch.
+   A block is an anchor if it occurs anywhere besides its own place in exact copies of its text.
 2. Extension. Around the anchors of each text (of exact copies, the one with the smallest id), every window that holds
    the anchor is compared by its 128-bit hash; windows that repeat are merged into maximal exact repeats. Within
    each batch all but the earliest of equal windows are known to go, so that only one a batch meets the others: a
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from policyframe.llm.shared import BLANK_SEPARATED, cut, grams, hash_words, inside_one_text, mix, partitions, table, text_groups
+from policyframe.llm.shared import BLANK_SEPARATED, cut, done, grams, hash_words, inside_one_text, mix, partitions, table, text_groups
 
 WINDOW = 20
 _LAST = (1 << 63) - 1
@@ -43,7 +44,9 @@ def _bytes(values: np.ndarray, edges: np.ndarray) -> list[bytes]:
 
 
 def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
-    """Of each batch, a row a bucket: fragments of all rolling runs; of the blocks, fragments, text keys and numbers."""
+    """Of each batch, a row a bucket of hashes: `probes`, fragments that occur outside the blocks named or in several of them;
+    `blocks`, fragments that the batch has in one block alone, with its text's key (`owners`) and number. Each fragment is in a
+    row once, however often the batch has it. Blocks that the batch itself shows to be anchors are rows of buckets below zero."""
     n_buckets = 1 << bits
     names = ["bucket", "probes", "blocks", "owners", "numbers"]
 
@@ -52,7 +55,7 @@ def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            rolled, own, owner, number = [], [], [], []
+            rolled, places, owner, number, size = [], [], [], [], 0
             for k, group in text_groups(batch.column(1)):
                 words = hash_words(group, BLANK_SEPARATED)
                 hashes, whole = grams(words.hashes, block), inside_one_text(words, block)
@@ -60,22 +63,41 @@ def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
                 place = np.arange(len(hashes)) - words.first[text]
                 aligned = whole & (place % block == 0)
                 rolled.append(hashes[whole])
-                own.append(hashes[aligned])
+                places.append(size + np.flatnonzero(aligned[whole]))
                 owner.append(keys[k + text[aligned]])
                 number.append((place[aligned] // block).astype(np.int32))
-            hashes, own, owner, number = (np.concatenate(v) for v in (rolled, own, owner, number))
+                size += len(rolled[-1])
+            hashes, places, owner, number = (np.concatenate(v) for v in (rolled, places, owner, number))
+            order = np.argsort(hashes)
+            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]]) if len(order) else np.zeros(0, bool)
+            values = hashes[order[new]]
+            group = np.empty(len(hashes), np.int64)
+            group[order] = np.cumsum(new) - 1
+            # Of each value: how often it occurs, in blocks and at all, and in how many different blocks.
+            named = group[places]
+            once = np.lexsort((number, owner, named))
+            g, o, m = named[once], owner[once], number[once]
+            single = np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1]) | (m[1:] != m[:-1])) if len(g) else np.zeros(0, bool)
+            g, o, m = g[single], o[single], m[single]
+            elsewhere = np.bincount(group, minlength=len(values)) > np.bincount(named, minlength=len(values))
+            sure = elsewhere | (np.bincount(g, minlength=len(values)) > 1)
+            probes, rest = values[sure], ~sure[g]
             shift = np.uint64(64 - bits)
             columns = [pa.array(np.arange(n_buckets, dtype=np.int32))]
-            for values, carried in ((hashes, [hashes.astype(np.uint32)]), (own, [own.astype(np.uint32), owner, number])):
-                bucket = (values >> shift).astype(np.uint16 if bits <= 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n_buckets))])
-                columns += [pa.array(_bytes(v[order], edges), pa.binary()) for v in carried]
+            for hashed, carried in ((probes, [probes.astype(np.uint32)]), (values[g[rest]], [values[g[rest]].astype(np.uint32), o[rest], m[rest]])):
+                edges = np.searchsorted(hashed >> shift, np.arange(n_buckets + 1, dtype=np.uint64))
+                columns += [pa.array(_bytes(v, edges), pa.binary()) for v in carried]
             out = pa.RecordBatch.from_arrays(columns, names=names)
             for a in range(0, n_buckets, 512):
                 yield out.slice(a, 512)
+            o, m = o[~rest], m[~rest]
+            for a in range(0, len(o), 50_000):
+                part = [b"", b"", o[a : a + 50_000].tobytes(), m[a : a + 50_000].tobytes()]
+                spread = -1 - (int(o[a]) + a) % n_buckets
+                yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), *(pa.array([v], pa.binary()) for v in part)], names=names)
 
-    return texts.select("key", "text").mapInArrow(step, "bucket int, probes binary, blocks binary, owners binary, numbers binary").filter(F.length("probes") > 0)
+    found = texts.select("key", "text").mapInArrow(step, "bucket int, probes binary, blocks binary, owners binary, numbers binary")
+    return found.filter((F.length("probes") > 0) | (F.length("owners") > 0))
 
 
 def _anchors_of(probes: np.ndarray, blocks: np.ndarray, owners: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +110,9 @@ def _anchors_of(probes: np.ndarray, blocks: np.ndarray, owners: np.ndarray, numb
     new_block = new_value | np.append(True, (owners[1:] != owners[:-1]) | (numbers[1:] != numbers[:-1]))
     value = np.cumsum(new_value) - 1
     known = blocks[new_value]
+    repeated = np.bincount(value, new_block, len(known)) > 1
     at = np.minimum(np.searchsorted(known, probes), len(known) - 1)
-    rolled = np.bincount(at[known[at] == probes], minlength=len(known))
-    repeated = (np.bincount(value, new_block, len(known)) > 1) | (rolled > np.bincount(value, minlength=len(known)))
+    repeated[at[known[at] == probes]] = True
     chosen = new_block & repeated[value]
     return owners[chosen], numbers[chosen]
 
@@ -109,7 +131,7 @@ def _anchors(probes: DataFrame) -> DataFrame:
         last = None
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is not None and bucket != last:
+                if last is not None and (bucket != last or bucket < 0):  # sure ones aren't held
                     yield found()
                 last = bucket
                 for v, part in zip(held, row, strict=True):
@@ -173,8 +195,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     anchors = cut(_anchors(_probes(texts, block, bits)), "anchors")
     named = texts.select("id", "key", F.md5("text").alias("same"))
     firsts = cut(named.groupBy("same", "key").agg(F.min("id").alias("first")), "firsts")
-    lists = anchors.groupBy("key").agg(F.collect_list("number").alias("numbers"))
+    lists = anchors.groupBy("key").agg(F.collect_set("number").alias("numbers"))
     chosen = cut(firsts.join(lists, "key").select(F.col("first").alias("id"), "key", "numbers"), "chosen")
+    done(anchors)
     windows = _windows(texts.join(chosen, ["id", "key"]), window, block)
     order = Window.partitionBy("h1", "h2").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, 0)
     earliest = F.first(F.struct("id", "start")).over(order)
@@ -186,9 +209,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row of docs: id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256."""
     runs = cut(repeats(docs, id_col=id_col, text_col=text_col, window=window), "repeats")
-    runs = cut(runs.groupBy("id", "key").agg(F.collect_list(F.struct("start", "words")).alias("runs")), "runs")
+    by_text = cut(runs.groupBy("id", "key").agg(F.collect_list(F.struct("start", "words")).alias("runs")), "runs")
+    done(runs)
     texts = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    joined = texts.join(runs, ["id", "key"], "left").select("own", "text", F.col("runs.start").alias("starts"), F.col("runs.words").alias("lengths"))
+    joined = texts.join(by_text, ["id", "key"], "left").select("own", "text", F.col("runs.start").alias("starts"), F.col("runs.words").alias("lengths"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
