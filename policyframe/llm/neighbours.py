@@ -6,7 +6,7 @@
    and takes the nearest of them next, leaf after leaf.
 3. How many leaves a search visits is calibrated: for `calibration` vectors (by a hash of the id) the true neighbours among
    all vectors are found by brute force, and visits are widened until `recall` of them lie in visited leaves.
-4. Leaves of more than `leaf` vectors are split by a hash of the id into parts; queries meet each part of their
+4. Leaves of more than `part` vectors are split by a hash of the id into parts; queries meet each part of their
    leaves, distances are exact (double precision, original vectors), and the best of each part are merged.
 
 Nothing but the sample, the calibration and the tree is on the driver; each is bounded. No leaf or part is cut off.
@@ -14,7 +14,8 @@ Nothing but the sample, the calibration and the tree is on the driver; each is b
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do vectors of another
 length than the most common one (the smaller of two equally common ones); a query's own row is left out by its id, so rows that
 repeat an id are not each other's neighbours; ties go to the smaller id; with fewer candidates than `k`, leaves are visited
-until all are found; an empty table gives an empty result; extra columns are ignored.
+until all are found; vectors so large or small that squares leave the range of doubles are scaled for the search, and a
+distance beyond that range is infinite; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from policyframe.llm.shared import cut, table
 
-K, BRANCHES, LEAF, SAMPLE, CALIBRATION, RECALL = 10, 8, 96, 20_000, 100, 0.95
+K, BRANCHES, LEAF, PART, SAMPLE, CALIBRATION, RECALL = 10, 8, 96, 4096, 20_000, 100, 0.95
+#: Squares of components within these bounds neither overflow nor vanish.
+SMALL, LARGE = 1e-100, 1e100
 #: Rows found that a task holds before it keeps the best of each query.
 HELD = 400_000
 _SPAN = 1 << 40
@@ -132,21 +135,43 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+def _scale(largest: float) -> float:
+    """A power of two that brings components near one, where their squares would leave the range of doubles; else one."""
+    return 1.0 if not largest or SMALL < largest < LARGE else float(2.0 ** -np.floor(np.log2(largest)))
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows; beyond the range of doubles they are infinite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        diff = x - y
+        out = np.sqrt((diff**2).sum(axis=1))
+        most = np.abs(diff).max(axis=1, initial=0.0)
+        odd = np.flatnonzero((most > LARGE) | ((most < SMALL) & (most > 0)))
+        if len(odd):
+            # Halves cannot overflow in the difference.
+            half = x[odd] / 2 - y[odd] / 2
+            most = np.maximum(np.abs(half).max(axis=1, keepdims=True), np.finfo(float).tiny)
+            out[odd] = np.sqrt(((half / most) ** 2).sum(axis=1)) * most[:, 0] * 2
+    return out
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of x, the k best for each query at least: (query's row, row, distance); rows of the query's own id are left out.
     Products of matrices choose the rows, with room for their rounding; distances are taken from the vectors themselves."""
     out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    scale = _scale(max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0)))
+    near = (x, q) if scale == 1 else (x * scale, q * scale)
     for a in range(0, len(x), 4096):
-        part, part_ids = x[a : a + 4096], ids[a : a + 4096]
+        part, part_ids = near[0][a : a + 4096], ids[a : a + 4096]
         sizes = (part**2).sum(axis=1)
         for b in range(0, len(q), 256):
-            some = q[b : b + 256]
+            some = near[1][b : b + 256]
             d = sizes - 2 * some @ part.T
             room = 1e-9 * (sizes.max() + (some**2).sum(axis=1)[:, None])
             d[part_ids[None, :] == query_ids[b : b + 256, None]] = np.inf
             top = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(some), 1), np.inf)
             i, rows = np.nonzero((d <= top + room) & np.isfinite(d))
-            out.append((i + b, rows + a, np.sqrt(((part[rows] - some[i]) ** 2).sum(axis=1))))
+            out.append((i + b, rows + a, _exact(x[rows + a], q[i + b])))
     return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
@@ -167,7 +192,7 @@ def _brute(assigned: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) ->
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
 
 
-def calibrated(tree: Tree, assigned: DataFrame, n: int, k: int, calibration: int, recall: float) -> int:
+def calibrated(tree: Tree, assigned: DataFrame, n: int, k: int, calibration: int, recall: float, scale: float) -> int:
     """The least number of visits at which `recall` of the calibration's true neighbours are found."""
     rows = assigned.filter(_share("id", calibration / n, 2)).select("id", "v").toPandas().sort_values("id")
     if not len(rows):
@@ -176,34 +201,35 @@ def calibrated(tree: Tree, assigned: DataFrame, n: int, k: int, calibration: int
     truth = _brute(assigned, rows["id"].to_numpy(), q, k).select("query", "leaf").toPandas()
     at = []
     for i, leaves in truth.groupby("query")["leaf"]:
-        rank = {leaf: r for r, leaf in enumerate(tree.visits(q[i]), 1)}
+        rank = {leaf: r for r, leaf in enumerate(tree.visits(scale * q[i]), 1)}
         at += [rank[leaf] for leaf in leaves]
     at.sort()
     return at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)] if at else tree.leaves
 
 
-def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, branches: int = BRANCHES, leaf: int = LEAF, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, branches: int = BRANCHES, leaf: int = LEAF, part: int = PART, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query; is_query is a condition on `id`."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    n = max(1, rows.count())
+    n, largest = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    n, scale = max(1, n), _scale(largest or 0.0)
     fitted = rows.filter(_share("id", sample / n, 1)).select("id", "v").toPandas().sort_values("id")
     if not len(fitted):  # no rows, or so few that the hash chose none
         fitted = rows.limit(1).toPandas()
     if not len(fitted):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(np.array(fitted["v"].tolist(), np.float64).reshape(len(fitted), -1), n, branches, leaf)
+    tree = Tree(scale * np.array(fitted["v"].tolist(), np.float64).reshape(len(fitted), -1), n, branches, leaf)
     sent = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = sent.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int32)
+            leaves = sent.value.assign(scale * _matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaves), batch.column(1)], names=["id", "leaf", "v"])
 
     assigned = cut(rows.mapInArrow(assign, "id long, leaf int, v array<double>"), "assigned")
-    visits = calibrated(tree, assigned, n, k, calibration, recall)
+    visits = calibrated(tree, assigned, n, k, calibration, recall, scale)
     sizes = {r["leaf"]: r["n"] for r in assigned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as leaves
-    parts = {x: -(-size // leaf) for x, size in sizes.items()}
+    parts = {x: -(-size // part) for x, size in sizes.items()}
     split = spark.sparkContext.broadcast((sizes, parts))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +239,7 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
             x, rows = _matrix(batch.column(1)) if batch.num_rows else (), []
             for i, q in enumerate(x):
                 found = 0
-                for r, at in enumerate(sent.value.visits(q), 1):
+                for r, at in enumerate(sent.value.visits(scale * q), 1):
                     rows += [(i, at, p) for p in range(parts.get(at, 0))]
                     found += sizes.get(at, 0)
                     if r >= visits and found > k:
@@ -222,8 +248,14 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
             i = pa.array(i, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(p, pa.int32()), pa.array(np.ones(len(at), np.int32)), batch.column(0).take(i), batch.column(1).take(i)], names=["leaf", "part", "side", "id", "v"])
 
-    own_parts = F.get(F.array(*[F.lit(parts.get(x, 1)) for x in range(tree.leaves)]), F.col("leaf"))
-    members = assigned.select("leaf", F.pmod(F.xxhash64("id"), own_parts).cast("int").alias("part"), F.lit(0).alias("side"), "id", "v")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to its part of its leaf."""
+        own = np.array([split.value[1].get(x, 1) for x in range(sent.value.leaves)], np.int64)
+        for batch in batches:
+            part = batch.column(1).to_numpy() % own[batch.column(0).to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(part), np.int32)), *batch.columns[2:]], names=["leaf", "part", "side", "id", "v"])
+
+    members = assigned.select("leaf", F.xxhash64("id"), "id", "v").mapInArrow(placed, "leaf int, part int, side int, id long, v array<double>")
     asked = assigned.filter(is_query).select("id", "v").mapInArrow(spread, "leaf int, part int, side int, id long, v array<double>")
     work = members.union(asked).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side")
 
