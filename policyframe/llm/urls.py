@@ -6,13 +6,16 @@ is blocked if, when it was fetched, an entry was active for its host, a parent d
 under that host ("example.org/en" covers "example.org/en/1"; "www." belongs to the host like any label). Of several, the longest
 pattern is reported, then the first category.
 
-Each distinct capture is turned into its possible patterns; these meet the intervals in an equi-join on the pattern with
-the fetch time in the interval. Spark broadcasts the list while it is under its broadcast threshold and otherwise
-sorts and merges, splitting hot hosts; the captures' other columns never take part.
+Each distinct capture is turned into its possible patterns, and patterns that never were on the list are dropped; the rest meet
+the intervals in an as-of join: an equi-join on the pattern with the fetch time in the interval. A pattern that more than one
+capture in 1,024 has, such as a top-level domain or the host of a third of all captures, meets the list by broadcast; there are
+fewer than 1,024 times as many of them as patterns a capture. The others meet it by shuffle. The captures' other columns never
+take part.
 
 Edge cases: captures with null or unparsable URLs or null fetch times are not blocked; events with a null pattern, time or
-unknown action count for nothing; of events of a pattern and category at one instant, 'remove' wins; repeated captures each
-get their row; empty tables give empty results or none blocked; extra columns of captures pass through.
+unknown action count for nothing; of events of a pattern and category at one instant, 'remove' wins; a null category is a
+category, and comes first; repeated captures each get their row; empty tables give empty results or none blocked; extra columns
+of captures, of any name, pass through.
 """
 
 from __future__ import annotations
@@ -20,27 +23,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from policyframe.llm.shared import table
-
-#: The list that op7 applies: (pattern, category, action, day).
-EVENTS = [
-    ("casino-win.example.org", "gambling", "add", "2024-01-10"),
-    ("free-bets.example.com", "gambling", "add", "2024-02-01"),
-    ("free-bets.example.com", "gambling", "remove", "2024-06-15"),
-    ("free-bets.example.com", "gambling", "add", "2024-09-01"),
-    ("cheap-pills.example.com", "pharma", "add", "2024-03-05"),
-    ("cheap-pills.example.com", "pharma", "remove", "2025-01-20"),
-    ("adult-x.example.net", "adult", "add", "2023-11-11"),
-    ("spam-farm.example.org", "spam", "add", "2024-04-01"),
-    ("spam-farm.example.org", "seo", "add", "2024-08-01"),
-    ("spam-farm.example.org", "spam", "remove", "2024-10-01"),
-    ("ads-track.example.org", "tracking", "add", "2024-01-01"),
-    ("ads-track.example.org/en", "tracking", "remove", "2024-05-01"),
-    ("blog.tionsh.example.net/es", "copyright", "add", "2024-05-20"),
-    ("blog.tionsh.example.net/es", "copyright", "remove", "2024-11-20"),
-]
+from policyframe.llm.shared import HOT, cut, table
+
 #: pages has no fetch times: page n counts as fetched n % 730 days after this day.
 FIRST_DAY, DAYS = "2023-10-01", 730
+#: No table has a list either: the one that op7 applies is drawn from the pages' own hosts, and the first parts of their paths, by
+#: the first digits of their MD5. One in LISTED is added on a day by digits 3 to 5; half of those go some days later, by digits 6
+#: and 7, and half of these come back after as many days again.
+LISTED, CATEGORIES = 3, ("adult", "gambling", "malware", "spam")
+
+
+def drawn_list(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(pattern, category, action, effective_at), as told above."""
+    url = F.col(url_col)
+    first = F.lower(F.regexp_extract(url, r"^[^/?#]*//[^/?#]*/([^/?#]+)/", 1))
+    places = pages.select(F.explode(F.array(host(url), F.concat(host(url), F.lit("/"), first))).alias("pattern")).filter("pattern != '' and not endswith(pattern, '/')").distinct()
+    digits = lambda a, n: F.conv(F.substring(F.md5("pattern"), a, n), 16, 10).cast("int")
+    places = places.select("pattern", digits(1, 2).alias("d"), (digits(3, 3) % DAYS).alias("day"), (digits(6, 2) % 180 + 20).alias("days")).filter(F.col("d") % LISTED == 0)
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("days") % len(CATEGORIES) + 1)
+    steps = F.array(F.struct(F.lit("add").alias("action"), F.col("day").alias("day")))
+    steps = F.when(F.col("d") % 2 == 0, F.concat(steps, F.array(F.struct(F.lit("remove").alias("action"), (F.col("day") + F.col("days")).alias("day"))))).otherwise(steps)
+    steps = F.when(F.col("d") % 4 == 0, F.concat(steps, F.array(F.struct(F.lit("add").alias("action"), (F.col("day") + 2 * F.col("days")).alias("day"))))).otherwise(steps)
+    out = places.select("pattern", category.alias("category"), F.explode(steps).alias("s"))
+    return out.select("pattern", "category", "s.action", F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("s.day")).cast("timestamp").alias("effective_at"))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -66,40 +71,53 @@ def patterns(url: Column) -> Column:
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
-    """Every row of captures with its columns, and blocked, entry, category."""
-    keys = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).filter("_url is not null and _at is not null").distinct()
-    keys = keys.withColumn("_pattern", F.explode(patterns(F.col("_url"))))
-    active = intervals(events)
-    found = keys.join(active, (F.col("_pattern") == F.col("pattern")) & (F.col("_at") >= F.col("from")) & (F.col("to").isNull() | (F.col("_at") < F.col("to"))))
-    best = F.min(F.struct((-F.char_length("pattern")).alias("n"), "pattern", "category")).alias("_best")
-    found = found.groupBy("_url", "_at").agg(best)
-    joined = captures.join(found, (captures[url_col] == F.col("_url")) & (captures[time_col] == F.col("_at")), "left")
-    added = {"blocked": F.col("_best").isNotNull(), "entry": F.col("_best.pattern"), "category": F.col("_best.category")}
-    return joined.select(*[captures[f"`{c}`"] for c in captures.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    """Every row of captures with its columns, and blocked, entry, category (in place of columns of these names). events:
+    (pattern, category, action, effective_at)."""
+    # Own columns go by number: no name of theirs can meet one of ours.
+    own = captures.select(F.col(f"`{url_col}`").alias("u"), F.col(f"`{time_col}`").alias("at"), *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(captures.columns)])
+    keys = own.select("u", "at").filter("u is not null and at is not null").groupBy("u", "at").agg(F.count("*").alias("rows"))
+    spread = keys.select("u", "at", F.explode(patterns(F.col("u"))).alias("pattern"))
+    active = cut(intervals(events), "intervals")
+    # Patterns that never were on the list go; of the others, those of many captures are told.
+    listed = spread.groupBy("pattern").agg(F.count("*").alias("times")).join(active.select("pattern").distinct(), "pattern", "left_semi")
+    listed = cut(listed, "listed")
+    hot = listed.filter(F.col("times") > keys.count() / HOT).select("pattern")  # under HOT a level of a URL
+    when = (F.col("at") >= F.col("from")) & (F.col("to").isNull() | (F.col("at") < F.col("to")))
+    near = spread.join(F.broadcast(hot), "pattern", "left_semi").join(F.broadcast(active.join(F.broadcast(hot), "pattern", "left_semi")), "pattern")
+    far = spread.join(F.broadcast(hot), "pattern", "left_anti").join(active.join(F.broadcast(hot), "pattern", "left_anti"), "pattern")
+    found = near.unionByName(far).filter(when)
+    found = found.groupBy("u", "at").agg(F.min(F.struct((-F.char_length("pattern")).alias("n"), "pattern", "category")).alias("best"))
+    rows = own.join(found, ["u", "at"], "left")
+    added = {"blocked": F.col("best").isNotNull(), "entry": F.col("best.pattern"), "category": F.col("best.category")}
+    return rows.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(captures.columns) if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
     at = F.expr(f"timestamp_seconds(unix_seconds(timestamp'{FIRST_DAY} 00:00:00') + pmod(page_id, {DAYS}) * 86400)")
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at"))
-    rows = ", ".join(str(e) for e in EVENTS)
-    events = spark.sql(f"SELECT pattern, category, action, to_timestamp(day) AS effective_at FROM VALUES {rows} AS t(pattern, category, action, day)")
-    return filter_urls(captures, events).select("page_id", "url", "blocked", "entry", "category")
+    captures = pages.select("page_id", "url", at.alias("fetched_at"))
+    return filter_urls(captures, drawn_list(pages)).select("page_id", "url", "blocked", "entry", "category")
 
 
-OP7_SQL = (
-    "WITH events(pattern, category, action, day) AS (VALUES "
-    + ", ".join(f"('{p}', '{c}', '{a}', DATE '{d}')" for p, c, a, d in EVENTS)
-    + f"""), active AS (
-  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY pattern, category ORDER BY day) AS until FROM events) WHERE action = 'add'
-), captures AS (
+OP7_SQL = f"""WITH parts AS (
   SELECT page_id, url, DATE '{FIRST_DAY}' + CAST(page_id % {DAYS} AS INTEGER) AS day,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
-         lower(regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1)) AS path FROM pages
+         lower(regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1)) AS path,
+         lower(regexp_extract(url, '^[^/?#]*//[^/?#]*/([^/?#]+)/', 1)) AS first FROM pages
+), drawn AS (
+  SELECT pattern, ('0x' || md5(pattern)[1:2])::INTEGER AS d, ('0x' || md5(pattern)[3:5])::INTEGER % {DAYS} AS start, ('0x' || md5(pattern)[6:7])::INTEGER % 180 + 20 AS days
+  FROM (SELECT DISTINCT unnest([host, CASE WHEN first <> '' THEN host || '/' || first END]) AS pattern FROM parts) WHERE pattern <> ''
+), listed AS (SELECT *, {list(CATEGORIES)}[days % {len(CATEGORIES)} + 1] AS category FROM drawn WHERE d % {LISTED} = 0),
+events AS (
+  SELECT pattern, category, 'add' AS action, DATE '{FIRST_DAY}' + start AS day FROM listed
+  UNION ALL SELECT pattern, category, 'remove', DATE '{FIRST_DAY}' + start + days FROM listed WHERE d % 2 = 0
+  UNION ALL SELECT pattern, category, 'add', DATE '{FIRST_DAY}' + start + 2 * days FROM listed WHERE d % 4 = 0
+), active AS (
+  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY pattern, category ORDER BY day) AS until FROM events) WHERE action = 'add'
 ), found AS (
   SELECT page_id, pattern, category, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern, category) AS n
-  FROM captures JOIN active ON day >= active.day AND (until IS NULL OR captures.day < until)
+  FROM parts JOIN active ON parts.day >= active.day AND (until IS NULL OR parts.day < until)
    AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || path || '/', pattern || '/') AND contains(pattern, '/'))
 )
-SELECT page_id, url, pattern IS NOT NULL AS blocked, pattern AS entry, category FROM captures LEFT JOIN (SELECT * FROM found WHERE n = 1) USING (page_id)
-""".replace("day >= active.day", "captures.day >= active.day")
-)
+SELECT page_id, url, pattern IS NOT NULL AS blocked, pattern AS entry, category FROM parts LEFT JOIN (SELECT * FROM found WHERE n = 1) USING (page_id)
+"""
