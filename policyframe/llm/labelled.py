@@ -31,3 +31,13 @@ def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame
     """(id, y) of the labels 0 and 1 outside fold 0; of labels that differ for one id, the larger."""
     out = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     return out.filter(fold("id") != 0).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def bounded(texts: DataFrame, bound: int, salt: int) -> DataFrame:
+    """Rows of (id, text, ...), those that repeat an id and text once, and about `bound` of them at most, by a hash of both:
+    an id may stand in any number of rows. `key` is the text's hash."""
+    rows = texts.withColumn("key", F.xxhash64("text"))
+    n = rows.select("id", "key").distinct().count()
+    if n > bound:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id", "key"), F.lit(_SPAN)) < int(bound / n * _SPAN))
+    return rows.dropDuplicates(["id", "key"])

@@ -5,23 +5,26 @@ are standardized and mapped to `n_fourier` random Fourier features, whose inner
 of the training rows sums its part of the normal equations; the sums are solved once. Scores of a fold that the
 ridge has not seen are calibrated by isotonic regression (pool adjacent violators, linear between the pools).
 
-Training reads at most about `bound` labelled texts, chosen by hash; the bound is a parameter. All texts are scored whole.
+Training reads at most about `bound` labelled texts, chosen by a hash of id and text; the bound is a parameter and holds for rows,
+not ids. Sums are taken in an order that the values give, and equal scores are calibrated as one, so that scores are a function of
+the tables' rows alone. All texts are scored whole.
 
 Edge cases: null and empty texts have the statistics of an empty text; without labels of both kinds all scores are the share of
-label 1 (0.5 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); repeated rows
-each get their row; an empty table gives an empty result; extra columns are ignored.
+label 1 (0.5 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); rows that
+repeat an id and text train once, and each get their row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyframe.llm.labelled import FOLDS, fold, sample, training_labels
+from policyframe.llm.labelled import FOLDS, bounded, fold, sample, training_labels
 from policyframe.llm.shared import BLANK_SEPARATED, cut, hash_words, table, text_groups
 
 BOUND, FOURIER, RIDGE, THRESHOLD = 20_000, 512, 1e-3, 0.3
@@ -87,11 +90,12 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y on x by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
+    """Knots of the non-decreasing fit of y on x by pooling adjacent violators. Rows of one x are one pool from the start, so
+    that their order counts for nothing."""
+    values, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # sum of y, rows, sum of x
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([b, 1, a])
+    for a, b, rows in zip(values, np.bincount(at, y), np.bincount(at), strict=True):
+        pools.append([b, rows, a * rows])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, t = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + t]
@@ -113,7 +117,8 @@ class Model:
         return np.c_[np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), np.ones(len(z), np.float32)]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.fourier(x).astype(np.float64) @ self.weights
+        # Rounded: how products of matrices round depends on how many rows a batch has.
+        return np.round(self.fourier(x).astype(np.float64) @ self.weights, 5)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.knots is None:
@@ -131,32 +136,47 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).tolist(), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "fold"])
 
+    texts = bounded(texts, bound, 5)
     rows = cut(texts.select("text", "y", fold("id").cast("int").alias("fold")).mapInArrow(measured, "x array<double>, y int, fold int"), "statistics")
-    n = rows.count()
-    ones = (rows.agg(F.sum("y")).first()[0] or 0) / n if n else 0.5
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    ones = ones / n if n else 0.5
     if not n or not 0 < ones < 1:
         model = Model(np.zeros(1), np.ones(1), 1)
         model.weights[-1] = ones
         return model
-    width = rows.select(F.size("x")).first()[0]
-    moments = rows.agg(*[f(F.get("x", F.lit(k))) for k in range(width) for f in (F.avg, F.stddev_pop)]).first()
-    model = Model(np.array(moments[0::2]), np.maximum(np.array(moments[1::2]), 1e-6), n_fourier)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((n_fourier + 1, n_fourier + 1)), np.zeros(n_fourier + 1)
-        for batch in batches:
-            z = sent.value.fourier(np.array(batch.column(0).to_pylist())).astype(np.float64)
-            a += z.T @ z
-            b += z.T @ batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
-
-    fitted = rows.filter(F.col("fold") != CALIBRATION_FOLD).select("x", "y").repartition(PARTS)
-    parts = fitted.mapInArrow(summed, "a binary, b binary").collect()  # PARTS rows of 2 MB
-    a = sum(np.frombuffer(p["a"]) for p in parts).reshape(n_fourier + 1, -1)
-    b = sum(np.frombuffer(p["b"]) for p in parts)
+    def parts(of: DataFrame, summed: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        """Sums over PARTS parts, added up in order. A part's rows are told by their values and come sorted, so that sums of
+        floating-point numbers are the same whenever, and wherever, they are taken."""
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[pa.RecordBatch]] = {}
+            for batch in batches:
+                for part in np.unique(batch.column(2).to_numpy()).tolist():
+                    held.setdefault(part, []).append(batch.filter(pa.compute.equal(batch.column(2), part)))
+            for part, own in held.items():  # of at most about `bound` rows
+                rows = pa.Table.from_batches(own).combine_chunks()
+                sums = summed(np.array(rows.column(0).to_pylist()), rows.column(1).to_numpy().astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([[t.astype(float).tobytes() for t in sums]], pa.list_(pa.binary()))], names=["part", "sums"])
+
+        dealt = of.select("x", "y", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int").alias("part")).repartition(PARTS, "part").sortWithinPartitions("part", "x", "y")
+        found = sorted(dealt.mapInArrow(step, "part int, sums array<binary>").collect())  # at most PARTS rows of 2 MB
+        return [sum(np.frombuffer(v) for v in vs) for vs in zip(*[p["sums"] for p in found], strict=True)]
+
+    total, count = parts(rows, lambda x, y: (x.sum(axis=0), np.array([len(x)])))
+    mean = total / count
+    (spread,) = parts(rows, lambda x, y: (((x - mean) ** 2).sum(axis=0),))
+    model = Model(mean, np.maximum(np.sqrt(spread / count), 1e-6), n_fourier)
+
+    def equations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = model.fourier(x).astype(np.float64)
+        return (z.T @ z).ravel(), z.T @ y
+
+    fitted = rows.filter(F.col("fold") != CALIBRATION_FOLD)
+    a, b = parts(fitted if fitted.limit(1).count() else rows, equations)
+    a = a.reshape(n_fourier + 1, -1)
     model.weights = np.linalg.solve(a + ridge * n * np.eye(len(a)) / len(a), b)
-    rest = rows.filter(F.col("fold") == CALIBRATION_FOLD).select("x", "y").toPandas()
+    rest = rows.filter(F.col("fold") == CALIBRATION_FOLD).select("x", "y").toPandas()  # of at most about `bound` rows
     if not len(rest):
         rest = rows.select("x", "y").toPandas()
     model.knots = isotonic(model.raw(np.array(rest["x"].tolist())), rest["y"].to_numpy(float))

@@ -10,12 +10,12 @@ risk
 with the sigmoid loss and the class prior taken from the training labels. Where the second part falls below zero it has no
 gradient, which keeps the classifier from explaining away the toxic texts among the unlabelled.
 
-The classifier is fitted on at most about `positives` toxic and `unlabelled` other texts, chosen by hash; both bounds are
-parameters. All texts are scored whole. Labels serve in training alone.
+The classifier is fitted on at most about `positives` toxic and `unlabelled` other texts, chosen by a hash of id and text; both
+bounds are parameters and hold for rows, not ids. All texts are scored whole. Labels serve in training alone.
 
 Edge cases: a null or empty text has no features and gets the score of the bias; without toxic labels, or documents, the score
-is the prior (0 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); repeated
-rows each get their row; an empty table gives an empty result; extra columns are ignored.
+is the prior (0 if unknown); a null id is held out if crc32's fold says so, else not (null counts as not held out); rows
+that repeat an id and text train once, and each get their row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyframe.llm.labelled import fold, sample, share, training_labels
+from policyframe.llm.labelled import bounded, fold, sample, training_labels
 from policyframe.llm.shared import FOLDED_ALNUM, cut, mix, table, text_groups, word_prefixes
 
 POSITIVES, UNLABELLED, FEATURES = 8_000, 16_000, 384
@@ -107,8 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = sample(known.filter("y = 1"), "id", positives, 3).select("id")  # at most about `positives` ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (fold("id") != 0))
     size = texts.count()
-    confirmed = texts.join(F.broadcast(chosen), "id").select("text", F.lit(True).alias("positive"))
-    others = texts.filter(share("id", unlabelled / max(1, size), 4)).select("text", F.lit(False).alias("positive"))
+    confirmed = bounded(texts.join(F.broadcast(chosen), "id"), positives, 3).select("text", F.lit(True).alias("positive"))
+    others = bounded(texts, unlabelled, 4).select("text", F.lit(False).alias("positive"))
     both = cut(confirmed.union(others), "training")
     counts = {r["positive"]: r["n"] for r in both.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = counts.get(True, 0), counts.get(False, 0)
