@@ -1,13 +1,15 @@
 """HTML extraction with union-free wrappers, inferred per host.
 
 A page is a stream of tokens: tags with their class and id, and texts. Pages of one host are aligned one after the other: where
-streams agree the wrapper keeps the token; a run of like tokens becomes a repeated group; a token that one side lacks
-becomes an optional group; texts become slots. Groups nest, so a wrapper is a regular expression without unions over
+streams agree the wrapper keeps the token; a run of like tokens, or of the same few tokens, becomes a repeated group; a token
+that one side lacks becomes an optional group; texts become slots. Groups nest, so a wrapper is a regular expression without unions over
 tokens, held as a tree: each node has a label, a kind (one, optional, repeated, or both) and an ordered list of nodes.
 
 1. Each page is folded to its own wrapper. Equal ones of a host are one row before anything is shuffled. All pages count.
-2. Wrappers of a host are aligned in two steps (by salt, then by host), so that a host with a third of all pages has no
-   large group.
+2. Wrappers of a host are aligned in two steps (by salt, then by host), one after the other as they stream by, so that a host
+   with a third of all pages has no large group. Levels are aligned by their longest common run of labels, or, where two levels
+   have over 250,000 pairs of nodes, by a run that takes the first places that fit: it covers both as well. A host whose pages
+   give more than 4,096 nodes, as many templates or ever new names do, gets a wrapper that tells nodes by their tags alone.
 3. Each page is read against its host's wrapper: every tag and text goes to the node that covers it, a repeated group
    again, an optional one or none. A text slot sums its characters, its links' characters and the smallest and largest hash
    of its texts: a slot with one text on all pages is a fixed part.
@@ -32,6 +34,7 @@ import html as references
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
 
 import pandas as pd
@@ -39,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyframe.llm.shared import cut, table
+from policyframe.llm.shared import cut, partitions, table
 
+#: A tag's quotes may hold ">". Each step is possessive: a match takes time in proportion to its length.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S,
 )
+#: For the rest of a page with a tag whose quotes never close.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+_TAG = re.compile(r"</?[A-Za-z]")
 _CLASS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: They tell what else a page has, not what the element is.
 _STATES = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[-_]+[a-z0-9_-]+", re.I)
@@ -71,6 +77,10 @@ _KEPT_TAGS = frozenset("root html body article main".split())
 _HEADERS, _OWN_HEADERS = frozenset(["header", "masthead"]), frozenset("article entry post content story title".split())
 #: Hosts whose wrappers a task holds at once.
 _KNOWN = 1000
+#: Nodes that may repeat together as a group; pairs of nodes for which the longest common run is sought; nodes of a wrapper
+#: beyond which names go; tests of nodes of one label a page.
+_GROUP, _CELLS, _MOST, _TRIED = 8, 250_000, 4096, 20_000
+_BODY, _PLAIN = "articlebody", "root-plain"
 
 
 def _names(attributes: str) -> list[str]:
@@ -100,51 +110,84 @@ class Node:
     def __init__(self, tag: str, attributes: str = ""):
         names = _names(attributes) if attributes else []
         if _ROLE.search(attributes):
-            names = sorted({*names, "articlebody"})
+            names = sorted({*names, _BODY})
         self.tag, self.items = tag, []
         self.label = f"{tag}.{'.'.join(names)}" if names else tag
         self.out = _is_out(tag, names)
 
 
+def _tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text before, tag); in time in proportion to the page, whatever it leaves open."""
+    at, last, token = 0, page.rfind(">"), _TOKEN
+    while True:
+        begin = page.find("<", at)
+        while begin >= 0:
+            m = token.match(page, begin)
+            if m is None and token is _TOKEN and begin < last and _TAG.match(page, begin):
+                # No ">" outside of quotes follows: from here on quotes count for nothing.
+                token = _LOOSE
+                m = token.match(page, begin)
+            if m or begin > last:
+                break
+            begin = page.find("<", begin + 1)
+        else:
+            m = None
+        if not m:
+            yield page[at:], None
+            return
+        yield page[at:begin], m
+        at = m.end()
+        if (m[2] or "").lower() in _RAW and not m[1]:
+            end = re.compile(f"</{re.escape(m[2])}\\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of block-level tags; items are nodes, texts (str) and, around links, the marks True and False."""
     root = Node("root")
-    stack, at = [root], 0
+    stack: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # of each tag, where it is open in the stack
 
-    def add(text: str) -> None:
-        if text:
-            stack[-1].items.append(text)
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut_to(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def nearest(tags: set) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags: set, upto: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in upto:
-                return
-
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if (k := nearest(tags)) > nearest(upto):
+            cut_to(k)
+
+    for text, m in _tokens(page):
+        if text:
+            stack[-1].items.append(text)
+        if m is None or not m[2]:
             continue
-        ending, attributes = m[1] or m[4], m[3] or m[6] or ""
+        tag, ending, attributes = m[2].lower(), m[1], m[3] or ""
         if tag in _RAW and not ending:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            add(" ")
+            stack[-1].items.append(" ")
         elif tag == "a":
             stack[-1].items.append(not ending)
         elif tag in ("br", "wbr", "img"):
-            add(" " if tag == "br" else "")
-        elif tag not in _BLOCK and not (not ending and not _OUT_NAMES.isdisjoint(_names(attributes))) and tag not in _OUT_TAGS:
-            if ending and tag == "span" and stack[-1].tag == "span":
-                stack.pop()
+            if tag == "br":
+                stack[-1].items.append(" ")
+        elif tag not in _BLOCK and tag not in _OUT_TAGS:
+            # Other tags are nodes if their names are on the list, and those of their kind inside them, so that ends find their own.
+            if ending:
+                if stack[-1].tag == tag:
+                    cut_to(len(stack) - 1)
+            elif (stack[-1].tag == tag or not _OUT_NAMES.isdisjoint(_names(attributes))) and tag not in _VOID:
+                node = Node(tag, attributes)
+                stack[-1].items.append(node)
+                push(node)
         elif ending:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if places.get(tag):
+                cut_to(places[tag][-1])
         else:
             if tag in _BLOCK:
                 close({"p"}, {"td", "th", "li", "table", "button", "div", "section", "article"})
@@ -153,12 +196,12 @@ def parse(page: str) -> Node:
             node = Node(tag, attributes)
             stack[-1].items.append(node)
             if tag not in _VOID:
-                stack.append(node)
-    add(page[at:])
+                push(node)
     return root
 
 
-# --- wrappers: [label, optional, repeated, [children]]; a text slot is the label "#" ------------------------------------
+# --- wrappers: [label, optional, repeated, [children]]; a text slot is the label "#", and a group of several nodes that repeats
+# together the label "(a b)" of their labels ------------------------------------------------------------------------------
 
 
 def wrapper_of(root: Node) -> list:
@@ -196,6 +239,7 @@ def _run(steps: Generator) -> list:
 
 
 def _folded(children: list) -> Generator:
+    """Runs of one label, and then runs of the same few labels, as repeated groups."""
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
@@ -204,6 +248,39 @@ def _folded(children: list) -> Generator:
             out[-1] = merged
         else:
             out.append(c)
+    labels, folded, i = [c[0] for c in out], [], 0
+    while i < len(out):
+        n = next((n for n in range(2, _GROUP + 1) if labels[i : i + n] == labels[i + n : i + 2 * n]), 0)
+        if not n or any(x[0] == "(" for x in labels[i : i + n]):
+            folded.append(out[i])
+            i += 1
+            continue
+        group = _group(out[i : i + n])
+        i += n
+        while labels[i : i + n] == [c[0] for c in group[3]]:
+            group = yield _aligned(group, _group(out[i : i + n]))
+            i += n
+        group[2] = 1
+        folded.append(group)
+    return folded
+
+
+def _group(nodes: list) -> list:
+    return [f"({' '.join(c[0] for c in nodes)})", 0, 0, nodes]
+
+
+def _grouped(x: list, groups: dict[str, list]) -> list:
+    """x, with what runs like one of the groups as one."""
+    out, i = [], 0
+    while i < len(x):
+        for labels in groups.values():
+            if [c[0] for c in x[i : i + len(labels)]] == labels:
+                out.append(_group(x[i : i + len(labels)]))
+                i += len(labels)
+                break
+        else:
+            out.append(x[i])
+            i += 1
     return out
 
 
@@ -217,29 +294,90 @@ def _aligned(a: list, b: list) -> Generator:
     return [a[0], a[1] | b[1], a[2] | b[2], children]
 
 
+def _matched(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places in x and y of a common run of labels: the longest one, or, where a table of all pairs would be too large, what
+    the first places that fit give."""
+    n, m, head, tail = len(x), len(y), 0, 0
+    while head < min(n, m) and x[head] == y[head]:
+        head += 1
+    while tail < min(n, m) - head and x[n - 1 - tail] == y[m - 1 - tail]:
+        tail += 1
+    out = [(k, k) for k in range(head)]
+    x, y = x[head : n - tail], y[head : m - tail]
+    if len(x) * len(y) <= _CELLS:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        at: dict[str, list[int]] = {}
+        for i, label in enumerate(x):
+            at.setdefault(label, []).append(i)
+        i = 0
+        for j, label in enumerate(y):
+            known = at.get(label, [])
+            k = bisect_left(known, i)
+            if k < len(known):
+                out.append((head + known[k], head + j))
+                i = known[k] + 1
+    return out + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
 def _aligned_lists(x: list, y: list) -> Generator:
-    n, m = len(x), len(y)
-    if [c[0] for c in x] == [c[0] for c in y]:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            out.append((yield _aligned(a, b)))
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+    groups = {c[0]: [d[0] for d in c[3]] for c in [*x, *y] if c[0][0] == "("}
+    if groups:
+        # What one side has as a repeated group the other may have once.
+        x, y = (yield _folded(_grouped(x, groups))), (yield _folded(_grouped(y, groups)))
+    pairs = _matched([c[0] for c in x], [c[0] for c in y])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            out.append((yield _aligned(x[i], y[j])))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([x[i][0], 1, x[i][2], x[i][3]])
-            i += 1
-        else:
-            out.append([y[j][0], 1, y[j][2], y[j][3]])
-            j += 1
-    return (yield _folded(out))
+    for a, b in [*pairs, (len(x), len(y))]:
+        out += [[c[0], 1, c[2], c[3]] for c in [*x[i:a], *y[j:b]]]
+        if a < len(x):
+            out.append((yield _aligned(x[a], y[b])))
+        i, j = a + 1, b + 1
+    return out if len(pairs) == len(x) == len(y) else (yield _folded(out))
+
+
+def _size(wrapper: list) -> int:
+    n, stack = 0, [wrapper]
+    while stack:
+        n += 1
+        stack += stack.pop()[3]
+    return n
+
+
+def plain(wrapper: list) -> list:
+    """A wrapper whose nodes are told by their tags alone, not by names; the root's label says so."""
+
+    def relabelled(node: list) -> Generator:
+        children = []
+        for c in node[3]:
+            inner = yield relabelled(c)
+            # A group's labels may now be those of others: its nodes stand for themselves, as often as need be.
+            children += [[d[0], 1, 1, d[3]] for d in inner[3]] if c[0][0] == "(" else [inner]
+        label = node[0].split(".")
+        return [".".join(label[:1] + [x for x in label[1:] if x == _BODY]), node[1], node[2], (yield _folded(children))]
+
+    out = _run(relabelled(wrapper))
+    out[0] = _PLAIN
+    return out
+
+
+def merged(a: list, b: list) -> list:
+    """The wrapper of two of one host. Beyond `_MOST` nodes, as pages of many templates or names may give, names go."""
+    if a[0] != b[0]:
+        a, b = (w if w[0] == _PLAIN else plain(w) for w in (a, b))
+    out = aligned(a, b)
+    return out if out[0] == _PLAIN or _size(out) <= _MOST else plain(out)
 
 
 def flat(wrapper: list) -> str:
@@ -276,15 +414,63 @@ class Reading:
                 self.parent[k] = above[depth - 1]
                 self.children[above[depth - 1]].append(k)
 
-    def next(self, k: int, at: int, label: str) -> int:
-        """The place, from `at` on, of the child of k that covers a token; -1 if none does. A page is covered by its host's
-        wrapper, so the first that can is taken: a repeated group again, an optional one passed over."""
-        if k >= 0:
-            children = self.children[k]
-            for j in range(max(at, 0), len(children)):
-                if self.labels[children[j]] == label:
-                    return j
-        return -1
+        self.plain = self.labels[0] == _PLAIN
+        #: Of each node, by label, the places of its children: number of the child, and of the node in it if it is a group.
+        self.places: list[dict[str, list[tuple[int, int, int]]]] = [{} for _ in nodes]
+        for k, children in enumerate(self.children):
+            for j, c in enumerate(children):
+                for i, node in enumerate(self.children[c] if self.labels[c][0] == "(" else [c]):
+                    self.places[k].setdefault(self.labels[node], []).append((j, i, node))
+        self.start()
+
+    def start(self) -> None:
+        """Before each page: forgets what of the one before was tried."""
+        self.tried: dict[tuple[int, int], bool] = {}
+
+    def label(self, x: Node | str) -> str:
+        if isinstance(x, str):
+            return "#"
+        return x.label if not self.plain else f"{x.tag}.{_BODY}" if _BODY in x.label.split(".") else x.tag
+
+    def _places(self, k: int, at: tuple[int, int], label: str) -> list[tuple[int, int, int]]:
+        """Where a token may be, from `at` on: a repeated group again, an optional one passed over."""
+        found = self.places[k].get(label, ()) if k >= 0 else ()
+        if not found or found[0] >= at:
+            return found
+        # A group of several goes on, or begins anew; then come later ones.
+        same = [x for x in found if x[0] == at[0]]
+        return [x for x in same if x[1] >= at[1]] + [x for x in same if x[1] < at[1]] + [x for x in found if x[0] > at[0]]
+
+    def next(self, k: int, at: tuple[int, int], x: Node | str) -> tuple[int, tuple[int, int]]:
+        """The child of k that covers a token, from `at` on, and its place; -1 and `at` if none does. Of several of its label,
+        the first that covers all of it is taken, else the first."""
+        found = self._places(k, at, self.label(x))
+        if not found:
+            return -1, at
+        chosen = found[0]
+        if len(found) > 1 and not isinstance(x, str):
+            chosen = next((f for f in found if _run(self._covers(x, f[2]))), chosen)
+        return chosen[2], chosen[:2]
+
+    def _covers(self, x: Node, k: int) -> Generator:
+        """Whether all of a node can be read in k. What is left of the tests after `_TRIED` says yes: a choice among likes only."""
+        key = (id(x), k)
+        if key not in self.tried:
+            if len(self.tried) >= _TRIED:
+                return True
+            self.tried[key] = True
+            at = (0, 0)
+            for y in x.items:
+                if isinstance(y, bool) or (isinstance(y, str) and not y.strip()):
+                    continue
+                for j, i, c in self._places(k, at, self.label(y)):
+                    if isinstance(y, str) or (yield self._covers(y, c)):
+                        at = (j, i)
+                        break
+                else:
+                    self.tried[key] = False
+                    break
+        return self.tried[key]
 
 
 MAIN, OUT = 1, 2
@@ -293,10 +479,11 @@ MAIN, OUT = 1, 2
 def slots_of(root: Node, wrapper: Reading) -> dict[int, tuple[int, int, int]]:
     """By text slot of the wrapper: characters, characters in links, a hash of the texts."""
     out: dict[int, list] = {}
+    wrapper.start()
     stack = [(root, 0)]
     while stack:
         node, k = stack.pop()
-        link, at = False, 0
+        link, at = False, (0, 0)
         for x in node.items:
             if isinstance(x, bool):
                 link = x
@@ -304,12 +491,10 @@ def slots_of(root: Node, wrapper: Reading) -> dict[int, tuple[int, int, int]]:
             text = isinstance(x, str)
             if text and not x.strip():
                 continue
-            j = wrapper.next(k, at, "#" if text else x.label)
-            at = max(at, j)
-            number = wrapper.children[k][j] if j >= 0 else -1
+            number, at = wrapper.next(k, at, x)
             if not text:
                 stack.append((x, number))
-            elif j >= 0:
+            elif number >= 0:
                 slot = out.setdefault(number, [0, 0, 0])
                 slot[0] += len(x)
                 slot[1] += len(x) * link
@@ -339,7 +524,7 @@ def decide(wrapper: Reading, slots: dict[int, tuple[int, int, int, bool]]) -> No
     lists of tags and words are left out, but never html, body, an article or main element, what holds the main part, or what
     holds nine tenths of the text."""
     n, parent = len(wrapper.labels), wrapper.parent
-    parts = [x.split(".") for x in wrapper.labels]
+    parts = [["()"] if x[0] == "(" else x.split(".") for x in wrapper.labels]
     marked = [_is_marked(t, names) for t, *names in parts]
     under = [False] * n  # a marked node
     for k in range(1, n):
@@ -416,29 +601,32 @@ def text_of(root: Node, wrapper: Reading) -> str | None:
             blocks.append(block)
 
     verdict = wrapper.verdict
+    wrapper.start()
+    # A plain wrapper knows no names: those of a token itself count, unless it holds the main part.
+    holds = set().union(*[_above(wrapper, k) for k, v in enumerate(verdict) if v == MAIN]) if wrapper.plain else set()
     found = verdict[0] == MAIN
-    stack: list = [[root, 0, 0, found, iter(root.items)]]
+    stack: list = [[root, 0, (0, 0), found, iter(root.items)]]
     while stack:
         top = stack[-1]
-        node, k, at, inside, rest = top
+        node, k, _, inside, rest = top
         for x in rest:
             if isinstance(x, Node):
-                j = wrapper.next(k, at, x.label)
-                at = top[2] = max(at, j)
-                below = wrapper.children[k][j] if j >= 0 else -1
-                says = verdict[below] if j >= 0 else OUT * x.out
+                below, top[2] = wrapper.next(k, top[2], x)
+                says = verdict[below] if below >= 0 else OUT * x.out
+                if wrapper.plain and x.out and below not in holds:
+                    says = OUT
                 if inside and x.tag in _BLOCK:
                     flush()
                 if says == OUT:
                     continue
                 found = found or says == MAIN
-                stack.append([x, below, 0, inside or says == MAIN, iter(x.items)])
+                stack.append([x, below, (0, 0), inside or says == MAIN, iter(x.items)])
                 break
             if isinstance(x, str):
                 if inside:
                     held.append(x)
                 if x.strip():
-                    at = top[2] = max(at, wrapper.next(k, at, "#"))
+                    _, top[2] = wrapper.next(k, top[2], x)
         else:
             stack.pop()
             if inside and node.tag in _BLOCK or (inside and not (stack and stack[-1][3])):
@@ -508,16 +696,26 @@ def _read(pages: DataFrame) -> DataFrame:
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, marked, verdict): each host's wrapper as JSON, whether tags name its main part, its nodes' verdicts."""
     pages = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
-    own = _folds(pages).distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for text in sorted(pdf["wrapper"]):
-            wrapper = unflat(text) if wrapper is None else aligned(wrapper, unflat(text))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [flat(wrapper)]})
+    salts = max(32, partitions(pages.sparkSession))
+    own = _folds(pages).distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
 
-    parts = own.groupBy("host", "salt").applyInPandas(merged, "host string, wrapper string")
-    whole = cut(parts.groupBy("host").applyInPandas(merged, "host string, wrapper string"), "wrappers")
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: one wrapper is held at a time, and grows by those of its group."""
+        last, wrapper = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([flat(wrapper)], pa.string())], names=["host", "wrapper"])
+        for batch in batches:
+            for host, salt, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if last is not None and last != (host, salt):
+                    yield done()
+                    wrapper = None
+                last, wrapper = (host, salt), unflat(text) if wrapper is None else merged(wrapper, unflat(text))
+        if last is not None:
+            yield done()
+
+    kind = "host string, wrapper string"
+    parts = own.select("host", "salt", "wrapper").repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(step, kind)
+    parts = parts.withColumn("salt", F.lit(0)).select("host", "salt", "wrapper")  # at most `salts` rows a host
+    whole = cut(parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(step, kind), "wrappers")
     slots = _read(pages.join(whole, "host").select("host", "html", "wrapper"))
     slots = slots.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], (F.min("low") == F.max("high")).alias("fixed"))
     slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "chars", "links", "fixed")).alias("slots"))
