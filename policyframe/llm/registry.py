@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from policyframe.llm import decontaminate, html, lines, neighbours, pack, quality, simhash, substrings, toxicity, urls
 
 
@@ -18,10 +17,8 @@ def queries() -> dict:
         "op8_html": html.op8_html,
         "op9_simhash": simhash.op9_simhash,
         "op10_pack": pack.op10_pack,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op6_lines": lines.OP6_SQL, "op7_urls": urls.OP7_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_lines": lines.OP6_SQL, "op7_urls": urls.OP7_SQL}
