@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from policyframe.llm.decontaminate import contaminated_out
 from policyframe.llm.lines import without_repeated_lines
 from policyframe.llm.pack import packed
-from policyframe.llm.shared import cut, table
+from policyframe.llm.shared import cut, done, table
 from policyframe.llm.simhash import one_of_each_group
 from policyframe.llm.toxicity import toxic_out
 
@@ -28,7 +28,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        done(*before)
+        before = [docs]
     return docs
