@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from policyframe.operators.reads import Reader
+from policyframe.operators.reads import Args, Reader, columns, ordering
 from policyframe.plans.predicate import ALL
 
 
@@ -80,12 +80,13 @@ def plan_report(df: DataFrame) -> list[tuple[int, str]]:
     return out
 
 
-def with_alias(reader: Reader, name: str, loads: dict[str, tuple[str, object]], *, select: tuple[str, ...], where=ALL) -> DataFrame:
-    """One relation several times in a read: loads has alias -> (relation, Args); each is kept apart."""
+def with_alias(reader: Reader, name: str, loads: dict[str, tuple[str, Args]], *, select: tuple[str, ...], where=ALL, order_by: tuple = (), take: int | None = None) -> DataFrame:
+    """One relation several times in a read: loads has alias -> (relation, Args); each is kept apart. The parents are read once."""
     model = reader.catalog.model(name)
-    keys = [k for k in model.key if k not in select]
-    out = reader.find_many(name, where=where, select=(*select, *keys))
+    own = [o for relation, _ in loads.values() for o, _ in model.relation(relation).pairs]
+    out = reader.find_many(name, where=where, order_by=order_by, take=take, select=tuple(dict.fromkeys([*select, *own, *[x[0] for x in ordering(order_by, model.key)]])))
     for alias, (relation, args) in loads.items():
-        one = reader.find_many(name, where=where, include={relation: args}).select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(model.key)], F.col(f"`{relation}`").alias(alias))
-        out = out.join(one, [out[f"`{k}`"] == one[f"_k{i}"] for i, k in enumerate(model.key)]).drop(*[f"_k{i}" for i in range(len(model.key))])
-    return out.select(*[f"`{f}`" for f in select], *[f"`{a}`" for a in loads])
+        out = reader._loaded(out, model, relation, args, abs(take) if take is not None else None, alias)
+    if order_by:
+        out = out.orderBy(*columns(ordering(order_by, model.key)))
+    return out.select(*[f"`{f}`" for f in [*select, *loads]])

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import string
 from decimal import Decimal
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyframe.plans.catalog import Catalog, Model
-from policyframe.plans.predicate import And, Condition, Const, Leaf, Not, Or, Related, normalize
+from policyframe.plans.predicate import And, Condition, Const, Leaf, Not, Null, Or, Related, normalize
 
 
 _LOW = {ord(a): b for a, b in zip(string.ascii_uppercase, string.ascii_lowercase, strict=True)}
@@ -65,39 +67,98 @@ def test(leaf: Leaf, plain: bool = False) -> Column:
     raise ValueError(f"unknown operator {op}")
 
 
+def _canonical(x: Any) -> Any:
+    """JSON values that are equal as numbers, texts, lists and objects are equal as Python values; booleans are no numbers."""
+    if isinstance(x, bool):
+        return ("b", x)
+    if isinstance(x, list | tuple):
+        return [_canonical(e) for e in x]
+    if isinstance(x, dict):
+        return {k: _canonical(e) for k, e in x.items()}
+    return Decimal(str(x)) if isinstance(x, int | float) else x
+
+
+def json_contains(x: Any, y: Any) -> bool:
+    """Whether canonical x holds y: an object by its keys, a list by its elements in any order, a scalar if equal."""
+    if isinstance(y, dict):
+        return isinstance(x, dict) and all(k in x and json_contains(x[k], v) for k, v in y.items())
+    if isinstance(y, list):
+        return isinstance(x, list) and all(any(json_contains(e, v) for e in x) for v in y)
+    return type(x) is type(y) and x == y
+
+
+def _nested(text: Column, op: str, wanted: Any) -> Column:
+    """Tests of JSON texts by a list or object, whose numbers may be written in several ways; in Arrow batches."""
+    wanted = _canonical(wanted)
+
+    @F.pandas_udf("boolean")
+    def tested(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bool:
+            if t is None:
+                return False
+            x = _canonical(json.loads(t, parse_float=Decimal, parse_int=Decimal))
+            if op in ("eq", "ne"):
+                return type(x) is type(wanted) and (x == wanted) == (op == "eq")
+            if op == "array_contains":
+                return isinstance(x, list) and json_contains(x, wanted)
+            return isinstance(x, list) and len(x) > 0 and x[0 if op == "array_starts_with" else -1] == wanted
+
+        return texts.map(one)
+
+    return tested(text)
+
+
 def _json(leaf: Leaf) -> Column:
-    """Tests of a value in a JSON text. A missing path, and a value of another kind than the operand, fail every one."""
+    """Tests of a value in a JSON text. A missing path, and a value of another kind than the operand, fail every one; null
+    operands are told by `Null`."""
     c, op, v = F.try_parse_json(F.col(f"`{leaf.field}`")), leaf.op, leaf.value
     path = "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in leaf.path)
     at = F.try_variant_get(c, path, "variant")
     kind = F.schema_of_variant(at)
-    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL") | kind.isin("TINYINT", "SMALLINT", "INT", "FLOAT")
     op = {"json_eq": "eq", "json_ne": "ne", "json_lt": "lt", "json_lte": "lte", "json_gt": "gt", "json_gte": "gte"}.get(op, op)
     if op in ("json_is_null", "is_null"):
         return F.col(f"`{leaf.field}`").isNull()
     if op in ("json_is_not_null", "is_not_null"):
         return F.col(f"`{leaf.field}`").isNotNull()
+    if isinstance(v, Null):
+        null = _sure(F.is_variant_null(at))
+        if op == "eq":
+            return {"db": at.isNull(), "json": null, "any": at.isNull() | null}[v.kind]
+        if op == "ne":
+            return at.isNotNull() if v.kind == "db" else at.isNotNull() & ~null
+        raise ValueError(f"{op} takes no null")
+
+    def scalar(x: Column, op: str, v: Any) -> Column:
+        """Of a variant x of v's kind."""
+        kind = F.schema_of_variant(x)
+        if isinstance(v, bool):
+            x, right = F.try_variant_get(x, "$", "boolean"), kind == "BOOLEAN"
+        elif isinstance(v, int | float | Decimal):
+            right = kind.isin("BIGINT", "DOUBLE", "TINYINT", "SMALLINT", "INT", "FLOAT") | kind.startswith("DECIMAL")
+            x, v = F.try_variant_get(x, "$", "decimal(38,12)"), Decimal(str(v))
+        else:
+            x, right = F.try_variant_get(x, "$", "string"), kind == "STRING"
+            if leaf.fold:
+                x, v = _fold(x), v.translate(_LOW)
+        if op.startswith("string_"):
+            f = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}[op.removeprefix("string_")]
+            return _sure(right & f(x, F.lit(v)))
+        tests = {"eq": x == F.lit(v), "ne": x != F.lit(v), "lt": x < F.lit(v), "lte": x <= F.lit(v), "gt": x > F.lit(v), "gte": x >= F.lit(v)}
+        return _sure(right & tests[op])
+
+    if op.startswith("string_") and not isinstance(v, str):
+        raise ValueError(f"{op} takes a text")
+    if isinstance(v, list | tuple | dict):
+        if op not in ("eq", "ne", "array_contains", "array_starts_with", "array_ends_with"):
+            raise ValueError(f"{op} takes a number or text")
+        fine = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        return _sure(_nested(F.when(fine, F.to_json(at)), op, v))
     if op.startswith("array_"):
         items = F.try_variant_get(c, path, "array<variant>")
-        same = lambda x: F.to_json(x) == F.lit(json.dumps(v, separators=(",", ":"), sort_keys=True))
         if op == "array_contains":
-            return _sure(F.exists(items, same))
-        return _sure((F.size(items) > 0) & same(F.element_at(items, 1 if op == "array_starts_with" else -1)))
-    if isinstance(v, bool):
-        x, right = F.try_variant_get(c, path, "boolean"), kind == "BOOLEAN"
-    elif isinstance(v, int | float | Decimal):
-        x, right, v = F.try_variant_get(c, path, "decimal(38,12)"), number, Decimal(str(v))
-    elif isinstance(v, str):
-        x, right = F.try_variant_get(c, path, "string"), kind == "STRING"
-        if leaf.fold:
-            x, v = _fold(x), v.translate(_LOW)
-    else:
-        x, right, v = F.to_json(at), kind.startswith("OBJECT") | kind.startswith("ARRAY"), json.dumps(v, separators=(",", ":"), sort_keys=True)
-    if op in ("string_contains", "string_starts_with", "string_ends_with", "contains", "starts_with", "ends_with"):
-        f = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}[op.removeprefix("string_")]
-        return _sure(right & f(x, F.lit(v)))
-    tests = {"eq": x == F.lit(v), "ne": x != F.lit(v), "lt": x < F.lit(v), "lte": x <= F.lit(v), "gt": x > F.lit(v), "gte": x >= F.lit(v)}
-    return _sure(right & tests[op])
+            return _sure(F.exists(items, lambda x: scalar(x, "eq", v)))
+        return _sure(F.size(items) > 0) & scalar(F.get(items, F.lit(0) if op == "array_starts_with" else F.size(items) - 1), "eq", v)
+    return scalar(at, op, v)
 
 
 def _has_relations(c: Condition) -> bool:
@@ -111,7 +172,7 @@ def _targets(catalog: Catalog, model: Model, c: Related) -> tuple[DataFrame, lis
     part, wanted = c.part, c.op in ("is", "some", "rel_is_not_null")
     if c.op == "every":
         part = normalize(Not(part))
-    rows = where(catalog.rows(target.name), part, target, catalog)
+    rows = where(catalog.rows(target.name, part), part, target, catalog)
     keys = rows.select(*[F.col(f"`{theirs}`").alias(f"_k{i}") for i, (_, theirs) in enumerate(relation.pairs)])
     return keys, [(own, f"_k{i}") for i, (own, _) in enumerate(relation.pairs)], wanted
 

@@ -32,8 +32,8 @@ class Staged(Catalog):
         super().__init__(under.spark, list(under.models.values()), under._load)
         self._under, self.frames = under, {}
 
-    def rows(self, name: str) -> DataFrame:
-        return self.frames[name] if name in self.frames else self._under.rows(name)
+    def rows(self, name: str, given: Condition = ALL) -> DataFrame:
+        return self.frames[name] if name in self.frames else self._under.rows(name, given)
 
 
 @dataclass(frozen=True)

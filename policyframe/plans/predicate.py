@@ -57,6 +57,16 @@ class Leaf(Condition):
     fold: bool = False
 
 
+@dataclass(frozen=True)
+class Null:
+    """An operand of json_eq and json_ne. db: the column is null, or the path leads nowhere; json: a JSON null is there; any: either."""
+
+    kind: str
+
+
+DB_NULL, JSON_NULL, ANY_NULL = Null("db"), Null("json"), Null("any")
+
+
 @dataclass(frozen=True)
 class Related(Condition):
     """A test of a relation's targets."""
@@ -104,7 +114,7 @@ class Field:
             value = values[0] if values else None
             if value is None and op in ("eq", "ne", "lt", "lte", "gt", "gte"):
                 raise ValueError(f"{op} takes no null; use is_null")
-            return self._leaf(op, tuple(value) if isinstance(value, list) else value)
+            return self._leaf(op, tuple(value) if isinstance(value, list) and op not in JSON else value)
 
         return made
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyframe.operators import semantic
-from policyframe.operators.analytics import Analyst, avg_, count_, count_all, count_distinct, max_, min_, sum_
+from policyframe.operators.analytics import Analyst, GroupLimits, avg_, count_, count_all, count_distinct, max_, min_, sum_
 from policyframe.operators.fields import Batched, Computed, capped, with_alias, with_computed
 from policyframe.operators.mutations import Writer
 from policyframe.operators.reads import Args
 from policyframe.operators.scoped import ScopedQuery
 from policyframe.operators.units import OnDelete, Unit
+from policyframe.plans import expression as x
 from policyframe.plans.policy import Policies, Rules
-from policyframe.plans.predicate import ALL, Field, Rel, any_of, from_dict
+from policyframe.plans.predicate import ALL, ANY_NULL, DB_NULL, JSON_NULL, Field, Rel, any_of, from_dict
 from policyframe.sources.stores import drift
 from policyframe.sources.tables import MODELS, catalog
 from policyframe.streaming.changes import change_feed, deduplicated
@@ -50,6 +51,12 @@ def find(name: str, sql: str, model: str, policies: Policies | None = None, **re
 
 KEY = ("o_orderkey",)
 D2 = "CAST({} AS DECIMAL(18,2))"
+WORDS = "CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 5 = 0 THEN [] ELSE string_split(p_name, ' ') END"
+#: A JSON text of every kind of value: absent, null, texts, numbers with a fraction of zero, booleans, and a list with an object.
+DOC = """(CASE WHEN event_id % 11 = 0 THEN NULL ELSE '{"n":' || (event_id % 50) || CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"x":' ||
+ CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN (event_id % 10) || '.0' ELSE 'true' END END ||
+ ',"tags":[' || (event_id % 3) || ',"' || event_type || '",{"a":' || (event_id % 2) || '.0}]}' END)""".replace("\n", "")
+TYPE_X = f"json_type({DOC}, '$.x')"
 TOTAL, BALANCE, RICH = D2.format("o_totalprice"), D2.format("c_acctbal"), "CASE WHEN c_acctbal > 5000 THEN c_acctbal END"
 
 # --- predicates -----------------------------------------------------------------------------------------------------------
@@ -61,8 +68,8 @@ for _name, _model, _key, _where, _sql in [
     ("where_not_in", "Customer", "c_custkey", f("rich").not_in([6000, 7000]), f"FROM customer WHERE coalesce({RICH} NOT IN (6000, 7000), true)"),
     ("where_range", "Order", "o_orderkey", f("o_totalprice").gte(1000) & f("o_totalprice").lt(50000), f"FROM orders WHERE {TOTAL} >= 1000 AND {TOTAL} < 50000"),
     ("where_lte_gt", "Part", "p_partkey", f("p_size").lte(10) | f("p_size").gt(45), "FROM part WHERE p_size <= 10 OR p_size > 45"),
-    ("where_contains_ci", "Part", "p_partkey", f("p_type").ci().contains("sTEEl"), "FROM part WHERE contains(lower(p_type), 'steel')"),
-    ("where_contains", "Part", "p_partkey", f("p_name").contains("1"), "FROM part WHERE contains(p_name, '1')"),
+    ("where_contains_ci", "Part", "p_partkey", f("p_type").ci().contains("dI"), "FROM part WHERE contains(lower(p_type), 'di')"),
+    ("where_contains", "Part", "p_partkey", f("p_name").contains("d w"), "FROM part WHERE contains(p_name, 'd w')"),
     ("where_starts_with", "Part", "p_partkey", f("p_brand").starts_with("Brand#1"), "FROM part WHERE starts_with(p_brand, 'Brand#1')"),
     ("where_ends_with", "Part", "p_partkey", f("p_brand").ends_with("3"), "FROM part WHERE ends_with(p_brand, '3')"),
     ("where_is_null", "Customer", "c_custkey", f("rich").is_null(), f"FROM customer WHERE ({RICH}) IS NULL"),
@@ -71,11 +78,37 @@ for _name, _model, _key, _where, _sql in [
     ("where_json_path_eq", "Event", "event_id", f("props").at("k").json_eq(7), "FROM events WHERE CAST(props ->> '$.k' AS INTEGER) = 7"),
     ("where_json_path_ne", "Event", "event_id", f("props").at("k").json_ne(7), "FROM events WHERE CAST(props ->> '$.k' AS INTEGER) <> 7"),
     ("where_json_path_gt", "Event", "event_id", f("props").at("k").json_gt(50), "FROM events WHERE CAST(props ->> '$.k' AS INTEGER) > 50"),
-    ("where_json_missing", "Event", "event_id", f("props").at("absent").json_ne(1), "FROM events WHERE false"),
-    ("where_list_has", "Part", "p_partkey", f("words").has("STEEL"), "FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL')"),
-    ("where_list_has_every", "Part", "p_partkey", f("words").has_every("STEEL", "SMALL"), "FROM part WHERE list_has_all(string_split(p_type, ' '), ['STEEL', 'SMALL'])"),
-    ("where_list_has_some", "Part", "p_partkey", f("words").has_some("STEEL", "COPPER"), "FROM part WHERE list_has_any(string_split(p_type, ' '), ['STEEL', 'COPPER'])"),
-    ("where_list_is_empty", "Part", "p_partkey", f("words").is_empty(False), "FROM part WHERE len(string_split(p_type, ' ')) > 0"),
+    ("where_json_is_null", "Event", "event_id", f("doc").json_is_null(), f"FROM events WHERE {DOC} IS NULL"),
+    ("where_json_is_not_null", "Event", "event_id", f("doc").json_is_not_null(), f"FROM events WHERE {DOC} IS NOT NULL"),
+    ("where_json_missing", "Event", "event_id", f("doc").at("x").json_ne(4), f"FROM events WHERE {TYPE_X} = 'DOUBLE' AND CAST({DOC} ->> '$.x' AS DOUBLE) <> 4"),
+    ("where_json_lt", "Event", "event_id", f("doc").at("n").json_lt(5), f"FROM events WHERE CAST({DOC} ->> '$.n' AS INTEGER) < 5"),
+    ("where_json_lte", "Event", "event_id", f("doc").at("x").json_lte(6), f"FROM events WHERE {TYPE_X} = 'DOUBLE' AND CAST({DOC} ->> '$.x' AS DOUBLE) <= 6"),
+    ("where_json_gte_text", "Event", "event_id", f("doc").at("x").json_gte("purchase"), f"FROM events WHERE {TYPE_X} = 'VARCHAR' AND {DOC} ->> '$.x' >= 'purchase'"),
+    ("where_json_eq_boolean", "Event", "event_id", f("doc").at("x").json_eq(True), f"FROM events WHERE {TYPE_X} = 'BOOLEAN'"),
+    ("where_json_eq_decimal", "Event", "event_id", f("doc").at("x").json_eq(6), f"FROM events WHERE {TYPE_X} = 'DOUBLE' AND CAST({DOC} ->> '$.x' AS DOUBLE) = 6"),
+    ("where_json_eq_list", "Event", "event_id", f("doc").at("tags").json_eq([1, "view", {"a": 1}]), f"FROM events WHERE {DOC} IS NOT NULL AND event_id % 3 = 1 AND event_type = 'view' AND event_id % 2 = 1"),
+    ("where_json_ne_list", "Event", "event_id", f("doc").at("tags").json_ne([1, "view", {"a": 1}]), f"FROM events WHERE {DOC} IS NOT NULL AND NOT (event_id % 3 = 1 AND event_type = 'view' AND event_id % 2 = 1)"),
+    ("where_json_eq_db_null", "Event", "event_id", f("doc").at("x").json_eq(DB_NULL), f"FROM events WHERE {TYPE_X} IS NULL"),
+    ("where_json_eq_json_null", "Event", "event_id", f("doc").at("x").json_eq(JSON_NULL), f"FROM events WHERE {TYPE_X} = 'NULL'"),
+    ("where_json_eq_any_null", "Event", "event_id", f("doc").at("x").json_eq(ANY_NULL), f"FROM events WHERE coalesce({TYPE_X}, 'NULL') = 'NULL'"),
+    ("where_json_ne_db_null", "Event", "event_id", f("doc").at("x").json_ne(DB_NULL), f"FROM events WHERE {TYPE_X} IS NOT NULL"),
+    ("where_json_ne_any_null", "Event", "event_id", f("doc").at("x").json_ne(ANY_NULL), f"FROM events WHERE {TYPE_X} <> 'NULL'"),
+    ("where_json_string_contains", "Event", "event_id", f("doc").at("x").string_contains("i"), f"FROM events WHERE {TYPE_X} = 'VARCHAR' AND contains({DOC} ->> '$.x', 'i')"),
+    ("where_json_string_starts_with", "Event", "event_id", f("doc").ci().at("x").string_starts_with("C"), f"FROM events WHERE {TYPE_X} = 'VARCHAR' AND starts_with({DOC} ->> '$.x', 'c')"),
+    ("where_json_string_ends_with", "Event", "event_id", f("doc").at("x").string_ends_with("p"), f"FROM events WHERE {TYPE_X} = 'VARCHAR' AND ends_with({DOC} ->> '$.x', 'p')"),
+    ("where_json_array_contains", "Event", "event_id", f("doc").at("tags").array_contains("view"), f"FROM events WHERE {DOC} IS NOT NULL AND event_type = 'view'"),
+    ("where_json_array_contains_deep", "Event", "event_id", f("doc").at("tags").array_contains([{"a": 0}, 2]), f"FROM events WHERE {DOC} IS NOT NULL AND event_id % 2 = 0 AND event_id % 3 = 2"),
+    ("where_json_array_starts_with", "Event", "event_id", f("doc").at("tags").array_starts_with(1.0), f"FROM events WHERE {DOC} IS NOT NULL AND event_id % 3 = 1"),
+    ("where_json_array_ends_with", "Event", "event_id", f("doc").at("tags").array_ends_with({"a": 1}), f"FROM events WHERE {DOC} IS NOT NULL AND event_id % 2 = 1"),
+    ("where_list_eq", "Part", "p_partkey", f("words").list_eq(["red", "widget"]), f"FROM part WHERE {WORDS} = ['red', 'widget']"),
+    ("where_list_is_null", "Part", "p_partkey", f("words").list_is_null(), f"FROM part WHERE {WORDS} IS NULL"),
+    ("where_list_is_not_null", "Part", "p_partkey", f("words").list_is_not_null(), f"FROM part WHERE {WORDS} IS NOT NULL"),
+    ("where_list_has", "Part", "p_partkey", f("words").has("red"), f"FROM part WHERE list_contains({WORDS}, 'red')"),
+    ("where_list_has_every", "Part", "p_partkey", f("words").has_every("red", "bolt"), f"FROM part WHERE list_has_all({WORDS}, ['red', 'bolt'])"),
+    ("where_list_has_every_empty", "Part", "p_partkey", f("words").has_every([]), f"FROM part WHERE {WORDS} IS NOT NULL"),
+    ("where_list_has_some", "Part", "p_partkey", f("words").has_some("red", "bolt"), f"FROM part WHERE list_has_any({WORDS}, ['red', 'bolt'])"),
+    ("where_list_is_empty", "Part", "p_partkey", f("words").is_empty(True), f"FROM part WHERE len({WORDS}) = 0"),
+    ("where_list_is_not_empty", "Part", "p_partkey", f("words").is_empty(False), f"FROM part WHERE len({WORDS}) > 0"),
     ("rel_is", "Order", "o_orderkey", r("customer").is_(f("c_mktsegment").eq("BUILDING")), "FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
     ("rel_is_not", "Order", "o_orderkey", r("customer").is_not(f("c_mktsegment").eq("BUILDING")), "FROM orders WHERE NOT EXISTS (FROM customer WHERE o_custkey = c_custkey AND c_mktsegment = 'BUILDING')"),
     ("rel_is_null", "Document", "doc_id", r("label").is_null(), "FROM documents d WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = d.doc_id)"),
@@ -99,8 +132,8 @@ def _(a: Analyst) -> DataFrame:
 PAGE = "row_number() OVER (ORDER BY {0}) AS ordinal FROM (SELECT * FROM {1} ORDER BY {0} LIMIT {2} OFFSET {3})"
 find("find_unique_key", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7", "Order", where=f("o_orderkey").eq(7), select=("o_orderkey", "o_orderstatus"))
 find("find_first", f"SELECT o_orderkey, {PAGE.format(f'{TOTAL} DESC, o_orderkey', 'orders', 1, 0)}", "Order", order_by=(("o_totalprice", "desc"),), take=1, select=KEY, ordinal="ordinal")
-find("order_nulls", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM (SELECT * FROM customer ORDER BY {RICH} NULLS FIRST, c_custkey LIMIT 1000)", "Customer", order_by=("rich",), take=1000, select=("c_custkey",), ordinal="ordinal")
-find("order_nulls_all", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM customer", "Customer", order_by=("rich",), select=("c_custkey",), ordinal="ordinal")
+find("order_nulls", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM customer", "Customer", order_by=("rich",), select=("c_custkey",), ordinal="ordinal")
+find("order_nulls_last", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS LAST, c_custkey) AS ordinal FROM customer", "Customer", order_by=(("rich", "asc", "last"),), select=("c_custkey",), ordinal="ordinal")
 find("take_skip", f"SELECT o_orderkey, {PAGE.format('o_orderdate, o_orderkey', 'orders', 20, 30)}", "Order", order_by=("o_orderdate",), skip=30, take=20, select=KEY, ordinal="ordinal")
 find("take_negative", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 15)", "Order", order_by=("o_orderdate",), take=-15, select=KEY, ordinal="ordinal")
 find("cursor_inclusive", f"WITH a AS (SELECT {TOTAL} AS p, o_orderkey AS k FROM orders WHERE o_orderkey = 100) SELECT o_orderkey, row_number() OVER (ORDER BY t DESC, o_orderkey) AS ordinal FROM (SELECT o_orderkey, {TOTAL} AS t FROM orders, a WHERE {TOTAL} < p OR ({TOTAL} = p AND o_orderkey >= k) ORDER BY t DESC, o_orderkey LIMIT 25)", "Order", order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, take=25, select=KEY, ordinal="ordinal")
@@ -124,45 +157,62 @@ def _(a: Analyst) -> DataFrame:
     return a.find_many("Order", include={"customer": Args(select=("c_name",))}).select("o_orderkey", F.col("customer.c_name").alias("c_name"))
 
 
-@query("rel_nested_page", f"SELECT c_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY {TOTAL} DESC, o_orderkey), '') AS orders FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) AS n FROM orders) ON o_custkey = c_custkey AND n > 1 AND n <= 4 GROUP BY c_custkey")
+_ORDERS = f"(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) AS n FROM orders)"
+
+
+def _rows(df: DataFrame, key: str, relation: str, *fields: str) -> DataFrame:
+    """A row for each target, with its place; a row with nulls for a parent without any."""
+    return df.select(key, F.posexplode_outer(relation).alias("place", "o")).select(key, "place", *[F.col(f"o.{x}").alias(x) for x in fields])
+
+
+@query("rel_nested_page", f"SELECT c_custkey, CAST(n - 2 AS INTEGER) AS place, o_orderkey, {TOTAL} AS o_totalprice FROM customer LEFT JOIN {_ORDERS} ON o_custkey = c_custkey AND n > 1 AND n <= 4")
 def _(a: Analyst) -> DataFrame:
-    out = a.find_many("Customer", include={"orders": Args(order_by=(("o_totalprice", "desc"),), skip=1, take=3, select=KEY)})
-    return out.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
+    args = Args(order_by=(("o_totalprice", "desc"),), skip=1, take=3, select=("o_orderkey", "o_totalprice"))
+    return _rows(a.find_many("Customer", include={"orders": args}), "c_custkey", "orders", "o_orderkey", "o_totalprice")
 
 
-@query("rel_nested_distinct", "SELECT c_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("rel_page_children", f"SELECT c_custkey, CAST(n - 1 AS INTEGER) AS place, o_orderkey FROM (SELECT * FROM customer ORDER BY {BALANCE} DESC, c_custkey LIMIT 20) LEFT JOIN {_ORDERS} ON o_custkey = c_custkey AND n <= 5")
 def _(a: Analyst) -> DataFrame:
-    out = a.find_many("Customer", include={"orders": Args(distinct=("o_orderstatus",), select=KEY)})
-    return out.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
+    args = Args(order_by=(("o_totalprice", "desc"),), take=5, select=KEY)
+    return _rows(a.find_many("Customer", order_by=(("c_acctbal", "desc"),), take=20, include={"orders": args}), "c_custkey", "orders", "o_orderkey")
 
 
-@query("rel_two_levels", "SELECT r_name, string_agg(n_name || ':' || k, ',' ORDER BY n_name) AS nations FROM (SELECT r_name, n_name, count(s_suppkey) AS k FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) GROUP BY r_name")
+@query("rel_nested_last", f"SELECT c_custkey, CAST(k - n AS INTEGER) AS place, o_orderkey FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, least(3, count(*) OVER (PARTITION BY o_custkey)) AS k FROM orders) ON o_custkey = c_custkey AND n <= 3")
 def _(a: Analyst) -> DataFrame:
-    out = a.find_many("Region", include={"nations": Args(order_by=("n_name",), include={"suppliers": Args(select=("s_suppkey",))})})
-    return out.select("r_name", F.array_join(F.transform("nations", lambda n: F.concat_ws(":", n["n_name"], F.size(n["suppliers"]))), ",").alias("nations"))
+    out = a.find_many("Customer", include={"orders": Args(order_by=("o_orderdate",), take=-3, select=KEY)})
+    return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
 
 
-@query("rel_count", "SELECT c_custkey, count(o_orderkey) AS orders_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+@query("rel_nested_cursor", f"WITH c AS (SELECT {TOTAL} AS p FROM orders WHERE o_orderkey = 100) SELECT o_custkey AS c_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM orders, c WHERE {TOTAL} < p OR ({TOTAL} = p AND o_orderkey >= 100)")
 def _(a: Analyst) -> DataFrame:
-    return a.find_many("Customer", select=("c_custkey",), count={"orders": f("o_orderstatus").eq("F")})
+    out = a.find_many("Customer", include={"orders": Args(order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, select=KEY)})
+    return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
 
 
-@query("order_by_relation", "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM (SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey LIMIT 40)")
+@query("rel_nested_distinct", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM customer JOIN (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON o_custkey = c_custkey")
 def _(a: Analyst) -> DataFrame:
-    return a.order_by_relation("Order", "customer", "c_name", True, 40)
+    out = a.find_many("Customer", include={"orders": Args(distinct=("o_orderstatus",), select=KEY)})
+    return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
 
 
-@query("order_by_count", "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY n DESC, c_custkey LIMIT 30)")
+@query("rel_two_levels", "SELECT r_name, n_name, s_suppkey FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 def _(a: Analyst) -> DataFrame:
-    return a.order_by_relation("Customer", "orders", "_count", True, 30)
+    out = a.find_many("Region", include={"nations": Args(order_by=("n_name",), include={"suppliers": Args(select=("s_suppkey",))})})
+    out = out.select("r_name", F.explode("nations").alias("n")).select("r_name", "n.n_name", F.explode_outer("n.suppliers").alias("s"))
+    return out.select("r_name", "n_name", "s.s_suppkey")
+
+
+@query("rel_count", "SELECT c_custkey, count(o_orderkey) AS orders_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+def _(a: Analyst) -> DataFrame:
+    return a.find_many("Customer", select=("c_custkey",), count={"orders": f("o_orderstatus").eq("F")})
 
 
-@query("order_by_relation_all", "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query("order_by_relation", "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def _(a: Analyst) -> DataFrame:
     return a.order_by_relation("Order", "customer", "c_name", True)
 
 
-@query("order_by_count_all", "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+@query("order_by_count", "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def _(a: Analyst) -> DataFrame:
     return a.order_by_relation("Customer", "orders", "_count", True)
 
@@ -182,8 +232,28 @@ def _(a: Analyst) -> DataFrame:
     return mine.aggregate("Customer", [sum_("c_acctbal", "total"), count_all()], f("c_mktsegment").eq("AUTOMOBILE"))
 
 
+ORDERS_OF_BUILDING = Policies(OPEN | {"Customer": Rules().can("read").cannot("read", ALL, ("orders",)).can("read", f("c_mktsegment").eq("BUILDING"), ("orders",))})
+
+
+@query("policy_masked_relation", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN count(o_orderkey) END AS loaded, CASE WHEN c_mktsegment = 'BUILDING' THEN count(o_orderkey) END AS counted FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment")
+def _(a: Analyst) -> DataFrame:
+    mine = Analyst(a.catalog, ORDERS_OF_BUILDING)
+    out = mine.find_many("Customer", include={"orders": Args(select=KEY)}, count=None)
+    counted = mine.find_many("Customer", select=("c_custkey",), count={"orders": ALL})
+    loaded = out.select("c_custkey", F.when(F.col("orders").isNotNull(), F.size("orders").cast("bigint")).alias("loaded"))
+    return loaded.join(counted.withColumnRenamed("orders_count", "counted"), "c_custkey")
+
+
+NATION_OF_REGION_1 = Policies(OPEN | {"Nation": Rules().can("read").cannot("read", ALL, ("n_name",)).can("read", f("n_nationkey").eq(3), ("n_name",))})
+
+
+@query("policy_equality_transfer", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 3 GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    return Analyst(a.catalog, NATION_OF_REGION_1).group_by("Customer", {"nation": ("nation", "n_name")}, [count_all()], where=f("c_nationkey").eq(3))
+
+
 # --- analytics ------------------------------------------------------------------------------------------------------------
-HALF_UP = "CAST(sign(s) * ((2 * abs(s) + n) // (2 * n)) AS DECIMAL(38,0)) / 100"
+HALF_UP = "CAST(CAST(sign(s) * ((2 * abs(s) + n) // (2 * n)) AS DECIMAL(36,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(38,2))"
 
 
 @query("agg_global", f"SELECT count(*) AS n, count({RICH}) AS rich, min(c_name) AS low, max(c_acctbal)::DECIMAL(18,2) AS high FROM customer")
@@ -201,9 +271,26 @@ def _(a: Analyst) -> DataFrame:
     return a.aggregate("Order", [sum_("o_orderkey", "total")])
 
 
-@query("agg_decimal_avg", f"SELECT o_orderstatus, CAST(CAST(sign(s) * ((2 * abs(s) + n) // (2 * n)) AS BIGINT) / 100.0 AS DOUBLE) AS mean FROM (SELECT o_orderstatus, sum(CAST({TOTAL} * 100 AS HUGEINT)) AS s, count(*) AS n FROM orders GROUP BY 1)")
+@query("agg_decimal_avg", f"SELECT o_orderstatus, {HALF_UP} AS mean FROM (SELECT o_orderstatus, sum(CAST({TOTAL} * 100 AS HUGEINT)) AS s, count(*) AS n FROM orders GROUP BY 1)")
 def _(a: Analyst) -> DataFrame:
-    return a.group_by("Order", {"o_orderstatus": "o_orderstatus"}, [avg_("o_totalprice", "mean")]).withColumn("mean", F.col("mean").cast("double"))
+    return a.group_by("Order", {"o_orderstatus": "o_orderstatus"}, [avg_("o_totalprice", "mean")])
+
+
+@query("agg_float", "SELECT event_type, round(sum(value), 6) AS total, round(avg(value), 9) AS mean, CAST(avg(user_id) AS DOUBLE) AS users FROM events GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    out = a.group_by("Event", {"event_type": "event_type"}, [sum_("value", "total"), avg_("value", "mean"), avg_("user_id", "users")])
+    return out.withColumns({"total": F.round("total", 6), "mean": F.round("mean", 9)})  # sums of doubles have no one order
+
+
+@query("agg_page", f"SELECT count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total, min({TOTAL}) AS low FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 50 OFFSET 10)")
+def _(a: Analyst) -> DataFrame:
+    measures = [count_all(), sum_("o_totalprice", "total"), min_("o_totalprice", "low")]
+    return a.aggregate("Order", measures, f("o_orderstatus").eq("F"), order_by=(("o_totalprice", "desc"),), skip=10, take=50)
+
+
+@query("agg_page_cursor", f"SELECT count(*) AS n, max({TOTAL}) AS high FROM (SELECT * FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 40)")
+def _(a: Analyst) -> DataFrame:
+    return a.aggregate("Order", [count_all(), max_("o_totalprice", "high")], cursor={"o_orderkey": 100}, take=40)
 
 
 @query("group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS price FROM lineitem GROUP BY ALL")
@@ -218,12 +305,20 @@ def _(a: Analyst) -> DataFrame:
 
 @query("group_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
 def _(a: Analyst) -> DataFrame:
-    return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], having="n > 12")
+    return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], having=x.out("n").gt(12), limits=GroupLimits())
 
 
 @query("group_having_text", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING contains(min(c_name), '1')")
 def _(a: Analyst) -> DataFrame:
-    return a.group_by("Customer", {"c_nationkey": "c_nationkey"}, [count_all(), min_("c_name", "_low")], having="contains(_low, '1')")
+    return a.group_by("Customer", {"c_nationkey": "c_nationkey"}, [count_all(), min_("c_name", "_low")], having=x.out("_low").contains("1"))
+
+
+@query("group_having_tree", f"SELECT c_nationkey, max(c_name) AS high, count({RICH}) AS rich FROM customer GROUP BY 1 HAVING (contains(lower(max(c_name)), 'r#') AND count({RICH}) BETWEEN 5 AND 30 OR c_nationkey IN (1, 2)) AND NOT (count(*) = 50) AND max(c_acctbal) IS NOT NULL")
+def _(a: Analyst) -> DataFrame:
+    n, high = x.out("_n"), x.out("high")
+    having = ((high.contains("R#", fold=True) & x.out("rich").between(5, 30)) | x.out("c_nationkey").in_(1, 2)) & ~n.eq(50) & x.out("_top").is_not_null()
+    measures = [max_("c_name", "high"), count_("rich", "rich"), count_all("_n"), max_("c_acctbal", "_top")]
+    return a.group_by("Customer", {"c_nationkey": "c_nationkey"}, measures, having=having)
 
 
 @query("group_order_page", "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5)")
@@ -249,64 +344,147 @@ def _(a: Analyst) -> DataFrame:
     return a.group_by("Order", {"region": ("customer", "nation", "region", "r_name"), "status": "o_orderstatus"}, [count_all(), max_("o_totalprice", "high")])
 
 
-@query("relation_group_two_phase", f"SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(38,2)) AS total, round(avg({TOTAL}), 6) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("relation_group_two_phase", f"SELECT segment, n, total, {HALF_UP} AS mean FROM (SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(38,2)) AS total, sum(CAST({TOTAL} * 100 AS HUGEINT)) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
 def _(a: Analyst) -> DataFrame:
     out = a.relation_group_two_phase("Order", "customer", ("segment", "c_mktsegment"), [count_all(), sum_("o_totalprice", "total"), avg_("o_totalprice", "mean")])
-    return out.select("segment", "n", F.col("total").cast("decimal(38,2)").alias("total"), F.round("mean", 6).alias("mean"))
+    return out.select("segment", "n", F.col("total").cast("decimal(38,2)").alias("total"), "mean")
 
 
 # --- scoped queries -------------------------------------------------------------------------------------------------------
 @query("scoped_inner_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Order", "o").join("inner", "o", "customer", "c").where("c.c_mktsegment <> 'BUILDING'").select(o_orderkey="o.o_orderkey", c_name="c.c_name").frame()
+    q = ScopedQuery.of(a, "Order", "o").join("inner", "o", "customer", "c").where(x.field("c", "c_mktsegment").ne("BUILDING"))
+    return q.select(o_orderkey=x.field("o", "o_orderkey"), c_name=x.field("c", "c_name")).frame()
 
 
 @query("scoped_left_join", "SELECT d.doc_id, toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Document", "d").join("left", "d", "label", "l").select(doc_id="d.doc_id", toxic="l.toxic").frame()
+    return ScopedQuery.of(a, "Document", "d").join("left", "d", "label", "l").select(doc_id=x.field("d", "doc_id"), toxic=x.field("l", "toxic")).frame()
+
+
+@query("scoped_join_on", "SELECT s_suppkey, count(*) AS customers FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    q = ScopedQuery.of(a, "Supplier", "s").join_on("inner", "Customer", "c", [(x.field("s", "s_nationkey"), "c_nationkey")])
+    return q.group_by(s_suppkey=x.field("s", "s_suppkey")).select(customers=x.count()).frame()
 
 
 @query("scoped_to_many_fanout", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Customer", "c").join("inner", "c", "orders", "o").select(c_custkey="c.c_custkey", o_orderkey="o.o_orderkey").frame()
+    q = ScopedQuery.of(a, "Customer", "c").join("inner", "c", "orders", "o")
+    return q.select(c_custkey=x.field("c", "c_custkey"), o_orderkey=x.field("o", "o_orderkey")).frame()
 
 
-@query("scoped_group_having", f"SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 10")
+@query("scoped_group_having", f"SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 2950")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Order", "o").join("inner", "o", "customer", "c").group_by(segment="c.c_mktsegment").select(n="count(*)", total="sum(o.o_totalprice)").having("n > 10").frame()
+    q = ScopedQuery.of(a, "Order", "o").join("inner", "o", "customer", "c").group_by(segment=x.field("c", "c_mktsegment"))
+    return q.select(n=x.count(), total=x.sum_(x.field("o", "o_totalprice"))).having(x.out("n").gt(2950)).frame()
 
 
 @query("scoped_window_min", f"SELECT o_orderkey, min({TOTAL}) OVER (PARTITION BY o_custkey) AS low, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Order", "o").select(o_orderkey="o.o_orderkey", low="min(o.o_totalprice) OVER (PARTITION BY o.o_custkey)", n="count(*) OVER (PARTITION BY o.o_custkey)").frame()
+    by = (x.field("o", "o_custkey"),)
+    q = ScopedQuery.of(a, "Order", "o")
+    return q.select(o_orderkey=x.field("o", "o_orderkey"), low=x.min_(x.field("o", "o_totalprice")).over(by), n=x.count().over(by)).frame()
 
 
 @query("scoped_count_distinct", "SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def _(a: Analyst) -> DataFrame:
-    return a.group_by("Order", {"status": "o_orderstatus"}, [count_distinct("o_custkey", "customers")])
+    return ScopedQuery.of(a, "Order", "o").group_by(status=x.field("o", "o_orderstatus")).select(customers=x.count_distinct(x.field("o", "o_custkey"))).frame()
 
 
 @query("scoped_expr_group", f"SELECT CASE WHEN {TOTAL} >= 100000 THEN 'high' ELSE 'low' END AS band, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Order", "o").group_by(band="CASE WHEN o.o_totalprice >= 100000 THEN 'high' ELSE 'low' END", year="CAST(year(o.o_orderdate) AS bigint)").select(n="count(*)").frame()
+    band = x.case((x.field("o", "o_totalprice").gte(100000), "high"), otherwise="low")
+    return ScopedQuery.of(a, "Order", "o").group_by(band=band, year=x.call("year", x.field("o", "o_orderdate"))).select(n=x.count()).frame()
+
+
+@query("scoped_window_key_group", f"WITH w AS (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS k, {TOTAL} AS t FROM orders) SELECT k, count(*) AS n, max(t) AS high FROM w GROUP BY k")
+def _(a: Analyst) -> DataFrame:
+    q = ScopedQuery.of(a, "Order", "o").select(k=x.count().over((x.field("o", "o_custkey"),)), t=x.field("o", "o_totalprice"))
+    return q.step("w").group_by(k=x.field("w", "k")).select(n=x.count(), high=x.max_(x.field("w", "t"))).frame()
 
 
 @query("scoped_cte_pipeline", f"WITH per AS (SELECT o_custkey AS k, count(*) AS n, max({TOTAL}) AS high FROM orders GROUP BY 1), first AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY high DESC, k) AS place FROM per) SELECT n, k, high FROM first WHERE place = 1")
 def _(a: Analyst) -> DataFrame:
-    q = ScopedQuery.of(a, "Order", "o").group_by(k="o.o_custkey").select(n="count(*)", high="max(o.o_totalprice)")
-    return q.step("per").select(n="n", k="k", high="high", place="row_number() OVER (PARTITION BY n ORDER BY high DESC, k)").where("place = 1").select(n="n", k="k", high="high").frame()
+    k, n, high = (x.field("per", c) for c in ("k", "n", "high"))
+    q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(n=x.count(), high=x.max_(x.field("o", "o_totalprice")))
+    q = q.step("per").select(n=n, k=k, high=high, place=x.row_number().over((n,), ((high, "desc"), k))).step("first")
+    return q.where(x.field("first", "place").eq(1)).select(**{c: x.field("first", c) for c in ("n", "k", "high")}).frame()
+
+
+@query("scoped_cte_join", f"WITH per AS (SELECT o_custkey AS k, o_orderstatus AS s, sum({TOTAL}) AS total FROM orders GROUP BY 1, 2), top AS (SELECT k, max(total) AS most FROM per GROUP BY 1) SELECT per.k, per.s FROM per JOIN top ON per.k = top.k AND per.total = top.most")
+def _(a: Analyst) -> DataFrame:
+    q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey"), s=x.field("o", "o_orderstatus")).select(total=x.sum_(x.field("o", "o_totalprice"))).step("per")
+    q = q.group_by(k=x.field("per", "k")).select(most=x.max_(x.field("per", "total"))).step("top").from_step("per")
+    q = q.join_step("inner", "top", "t", [(x.field("per", "k"), "k"), (x.field("per", "total"), "most")])
+    return q.select(k=x.field("per", "k"), s=x.field("per", "s")).frame()
 
 
 @query("scoped_cross_normaliser", f"WITH per AS (SELECT o_custkey AS k, sum({TOTAL}) AS total FROM orders GROUP BY 1), top AS (SELECT max(total) AS most FROM per) SELECT k, round(CAST(total AS DOUBLE) / CAST(most AS DOUBLE), 9) AS share FROM per CROSS JOIN top")
 def _(a: Analyst) -> DataFrame:
-    q = ScopedQuery.of(a, "Order", "o").group_by(k="o.o_custkey").select(total="sum(o.o_totalprice)")
-    q = q.step("per", lambda s: s["per"].crossJoin(F.broadcast(s["per"].agg(F.max("total").alias("most")))))  # one row
-    return q.select(k="k", share="round(CAST(total AS double) / CAST(most AS double), 9)").frame()
+    q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(total=x.sum_(x.field("o", "o_totalprice"))).step("per")
+    q = q.select(most=x.max_(x.field("per", "total"))).step("top").from_step("per").cross_step("top", "t")
+    share = x.call("round", x.field("per", "total").cast("double") / x.field("t", "most").cast("double"), 9)
+    return q.select(k=x.field("per", "k"), share=share).frame()
 
 
 @query("scoped_subquery_from", f"SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE {TOTAL} > 1000 GROUP BY 1) WHERE n BETWEEN 3 AND 8")
 def _(a: Analyst) -> DataFrame:
-    return ScopedQuery.of(a, "Order", "o").where("o.o_totalprice > 1000").group_by(o_custkey="o.o_custkey").select(n="count(*)").where("n BETWEEN 3 AND 8").frame()
+    q = ScopedQuery.of(a, "Order", "o").where(x.field("o", "o_totalprice").gt(1000)).group_by(o_custkey=x.field("o", "o_custkey")).select(n=x.count())
+    return q.step("per").where(x.field("per", "n").between(3, 8)).select(o_custkey=x.field("per", "o_custkey"), n=x.field("per", "n")).frame()
+
+
+@query("scoped_exists", f"SELECT c_custkey FROM customer WHERE EXISTS (FROM orders WHERE o_custkey = c_custkey AND {TOTAL} > 200000) AND NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def _(a: Analyst) -> DataFrame:
+    on = [(x.field("c", "c_custkey"), "o_custkey")]
+    q = ScopedQuery.of(a, "Customer", "c").exists("Order", on, f("o_totalprice").gt(200000)).exists("Order", on, f("o_orderstatus").eq("P"), negate=True)
+    return q.select(c_custkey=x.field("c", "c_custkey")).frame()
+
+
+@query("scoped_exists_step", "WITH busy AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12) SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT k FROM busy)")
+def _(a: Analyst) -> DataFrame:
+    q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(n=x.count()).having(x.out("n").gt(12)).step("busy")
+    q = q.root("Customer", "c").exists_step("busy", [(x.field("c", "c_custkey"), "k")])
+    return q.select(c_custkey=x.field("c", "c_custkey")).frame()
+
+
+@query("scoped_multipass", """
+WITH days AS (SELECT user_id AS u, event_type AS t, CAST(year(ts) AS BIGINT) * 100 + month(ts) AS d, value AS v FROM events WHERE event_type <> 'error'),
+firsts AS (SELECT u, t, d, v, min(d) OVER (PARTITION BY u) AS start FROM days),
+ages AS (SELECT u, t, d - start AS age, count(*) AS n, sum(CAST(v AS DECIMAL(18,2))) AS total FROM firsts GROUP BY ALL),
+baseline AS (SELECT t, age, sum(n) AS plays, sum(total) AS whole FROM ages GROUP BY ALL),
+scored AS (SELECT a.u, a.t, sum(CAST(a.total AS DOUBLE) / nullif(CAST(b.whole AS DOUBLE), 0)) AS score, CAST(sum(a.n) AS BIGINT) AS n FROM ages a JOIN baseline b ON a.t = b.t AND a.age = b.age GROUP BY ALL),
+most AS (SELECT max(score) AS top FROM scored)
+SELECT u, t, n, round(least(score, 4) / top, 9) AS normal FROM scored CROSS JOIN most
+""")
+def _(a: Analyst) -> DataFrame:
+    e = lambda c: x.field("e", c)
+    q = ScopedQuery.of(a, "Event", "e").where(e("event_type").ne("error"))
+    d = x.call("year", e("ts")) * 100 + x.call("month", e("ts"))
+    q = q.select(u=e("user_id"), t=e("event_type"), d=d, v=e("value").cast("decimal(18,2)")).step("days")
+    q = q.select(**{c: x.field("days", c) for c in "utdv"}, start=x.min_(x.field("days", "d")).over((x.field("days", "u"),))).step("firsts")
+    w = lambda c: x.field("firsts", c)
+    q = q.group_by(u=w("u"), t=w("t"), age=w("d") - w("start")).select(n=x.count(), total=x.sum_(w("v"))).step("ages")
+    g = lambda c: x.field("ages", c)
+    q = q.group_by(t=g("t"), age=g("age")).select(plays=x.sum_(g("n")), whole=x.sum_(g("total"))).step("baseline").from_step("ages")
+    q = q.join_step("inner", "baseline", "b", [(g("t"), "t"), (g("age"), "age")])
+    part = g("total").cast("double") / x.field("b", "whole").cast("double")
+    q = q.group_by(u=g("u"), t=g("t")).select(score=x.sum_(part), n=x.sum_(g("n"))).step("scored")
+    q = q.select(top=x.max_(x.field("scored", "score"))).step("most").from_step("scored").cross_step("most", "m")
+    z = lambda c: x.field("scored", c)
+    normal = x.call("round", x.call("least", z("score"), 4.0) / x.field("m", "top"), 9)
+    return q.select(u=z("u"), t=z("t"), n=z("n"), normal=normal).frame()
+
+
+@query("scoped_scalars", f"SELECT c_custkey, lower(c_mktsegment) || '/' || length(c_name) AS label, abs({BALANCE}) AS size, CASE WHEN {RICH} IS NULL THEN NULL ELSE {BALANCE} END AS strict, {BALANCE} AS loose, CAST(coalesce({RICH}, 0) AS DECIMAL(18,2)) AS filled, nullif(c_nationkey, 3) AS nation FROM customer")
+def _(a: Analyst) -> DataFrame:
+    c = lambda name: x.field("c", name)
+    label = x.call("concat", x.call("lower", c("c_mktsegment")), "/", x.call("length", c("c_name")).cast("string"))
+    money = lambda e: e.cast("decimal(18,2)")
+    return ScopedQuery.of(a, "Customer", "c").select(
+        c_custkey=c("c_custkey"), label=label, size=x.call("abs", c("c_acctbal")), strict=money(x.call("least_strict", c("c_acctbal"), c("rich"))),
+        loose=money(x.call("least", c("c_acctbal"), c("rich"))), filled=money(x.call("coalesce", c("rich"), 0)), nation=x.call("nullif", c("c_nationkey"), 3),
+    ).frame()
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------------
@@ -355,10 +533,10 @@ def _(a: Analyst) -> DataFrame:
     return change_feed(_facts(a), Analyst(a.catalog, NOT_BUILDING), "Customer", ALL, {"c_mktsegment": "old_segment"}).select("event_id", "action")
 
 
-@query("event_dedup", "SELECT action, count(*) AS n FROM (" + _FACTS + "SELECT * FROM facts) GROUP BY 1")
+@query("event_dedup", _FACTS + "SELECT event_id, action, identity FROM facts")
 def _(a: Analyst) -> DataFrame:
     facts = _facts(a)
-    return deduplicated(facts.unionByName(facts)).groupBy("action").agg(F.count("*").alias("n"))
+    return deduplicated(facts.unionByName(facts)).select("event_id", "action", "identity")
 
 
 @query("write_update_increment", f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN CAST({BALANCE} + 10 AS DECIMAL(18,2)) ELSE {BALANCE} END AS c_acctbal FROM customer")
@@ -410,12 +588,15 @@ def _(a: Analyst) -> DataFrame:
     return u.rows("Supplier").select("s_suppkey", "s_nationkey")
 
 
-@query("unit_facts_in_order", "SELECT 'Nation' AS model, 'updated' AS action, 0 AS ordinal, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Nation', 'deleted', 1, count(*) FROM nation WHERE n_regionkey = 1")
+_IDENTITY = "'{\"n_nationkey\":' || n_nationkey || '}'"
+
+
+@query("unit_facts_in_order", f"SELECT 'Nation' AS model, 'updated' AS action, 0 AS ordinal, {_IDENTITY} AS identity FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Nation', 'deleted', 1, {_IDENTITY} FROM nation WHERE n_regionkey = 1")
 def _(a: Analyst) -> DataFrame:
     u = _unit(a)
     u.update("Nation", f("n_regionkey").eq(1), n_name="concat(n_name, '!')")
     u.delete("Nation", f("n_name").ends_with("!"))  # sees the write before it
-    return u.facts().groupBy("model", "action", "ordinal").agg(F.count("*").alias("n"))
+    return u.facts().select("model", "action", "ordinal", "identity")
 
 
 @query("nested_create_connect", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 3 THEN 2 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 90, 'NEW', 2")
@@ -495,17 +676,20 @@ def _(a: Analyst) -> DataFrame:
     return claim(_outbox(a), "w", F.expr(_AT), 60).filter("state = 'claimed'").select("event_id")
 
 
-@query("outbox_settle", f"WITH c AS ({_FIRSTS}) SELECT CASE WHEN e % 3 = 0 THEN 'delivered' ELSE 'waiting' END AS state, 1 AS attempts, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'waiting', 0, (SELECT count(*) FROM events) - (SELECT count(*) FROM c)")
+@query("outbox_settle", f"WITH c AS ({_FIRSTS}) SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN e IS NOT NULL AND event_id % 3 = 0 THEN 'delivered' ELSE 'waiting' END AS state, CASE WHEN e IS NOT NULL THEN 1 ELSE 0 END AS attempts FROM events LEFT JOIN c ON e = event_id")
 def _(a: Analyst) -> DataFrame:
     held = claim(_outbox(a), "w", F.expr(_AT), 60)
     results = held.filter("state = 'claimed'").select("event_id", (F.col("ordinal") % 3 == 0).alias("sent"))
-    return settle(held, results, "w", F.expr(_AT)).groupBy("state", "attempts").agg(F.count("*").alias("n"))
+    return settle(held, results, "w", F.expr(_AT)).select("event_id", "state", "attempts")
+
 
+_OP = "CASE event_id % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'u' ELSE 'd' END"
 
-@query("cdc_facts", "SELECT action, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'deleted' END AS action FROM events) GROUP BY 1")
+
+@query("cdc_facts", f"SELECT sha256('shop|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id || '|' || length(CAST(user_id AS VARCHAR)) || ':' || user_id || '|1:' || {_OP}) AS event_id, CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'deleted' END AS action, '{{\"id\":' || user_id || '}}' AS identity, event_id AS position FROM events")
 def _(a: Analyst) -> DataFrame:
     log = a.catalog.rows("Event").selectExpr("event_id AS lsn", "user_id AS id", "element_at(array('c', 'u', 'd'), CAST(event_id % 3 AS int) + 1) AS op")
-    return from_changes(log.unionByName(log), "shop", position="lsn", key=["id"], op="op").groupBy("action").agg(F.count("*").alias("n"))
+    return from_changes(log.unionByName(log), "shop", position="lsn", key=["id"], op="op")
 
 
 @query("fact_decode", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(props ->> '$.k' AS BIGINT) END AS k FROM events")
@@ -524,8 +708,8 @@ def _(a: Analyst) -> DataFrame:
 
 @query("audit_revenue", "SELECT p_brand AS brand, year(l_shipdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DECIMAL(38,4)) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def _(a: Analyst) -> DataFrame:
-    q = ScopedQuery.of(a, "Lineitem", "l").join("inner", "l", "part", "p").group_by(brand="p.p_brand", year="CAST(year(l.l_shipdate) AS bigint)")
-    return q.select(revenue="CAST(sum(l.l_extendedprice * (1 - l.l_discount)) AS decimal(38,4))").frame()
+    q = ScopedQuery.of(a, "Lineitem", "l").join("inner", "l", "part", "p").group_by(brand=x.field("p", "p_brand"), year=x.call("year", x.field("l", "l_shipdate")))
+    return q.select(revenue=x.sum_(x.field("l", "l_extendedprice") * (1 - x.field("l", "l_discount"))).cast("decimal(38,4)")).frame()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -534,6 +718,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-

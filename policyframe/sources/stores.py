@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from policyframe.plans.catalog import Catalog, Model
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which the driver and all executors share: the one that spark.checkpoint.dir names. Only a local
+    session without it gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="policyframe-checkpoint-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    sc.setCheckpointDir(path)
+    return path
+
+
 def files(spark: SparkSession, models: list[Model], folder: str, kind: str = "parquet", **options) -> Catalog:
     """folder/<table>.<kind>, in any format that Spark reads. Formats without types need the declared ones; they are given."""
 

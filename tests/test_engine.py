@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from policyframe.functions.exact import exact_avg, exact_sum
-from policyframe.operators.analytics import Analyst, sum_
+from policyframe.operators.analytics import Analyst, GroupLimits, sum_
 from policyframe.operators.mutations import Writer
 from policyframe.operators.scoped import ScopedQuery
+from policyframe.plans import expression as x
 from policyframe.plans.policy import Forbidden, Policies, Rules
 from policyframe.plans.predicate import ALL, Field, Rel
 from policyframe.queries import BALANCE_OF_AUTOMOBILE, EUROPE_NOT_BUILDING, NOT_BUILDING, OPEN
@@ -41,7 +42,7 @@ def test_refusals(tables):
     with pytest.raises(ValueError):
         ScopedQuery.of(Analyst(tables), "Order", "o").join("full", "o", "customer", "c")
     with pytest.raises(ValueError):
-        Analyst(tables).group_by("Order", {"k": "o_custkey"}, [sum_("o_totalprice", "t")], most_groups=3)
+        Analyst(tables).group_by("Order", {"k": "o_custkey"}, [sum_("o_totalprice", "t")], limits=GroupLimits(groups=3))
     cyclic = Policies(OPEN | {"Order": Rules().can("read", Rel("customer").is_(ALL)), "Customer": Rules().can("read", Rel("orders").some())})
     with pytest.raises(ValueError, match="lead back"):
         Analyst(tables, cyclic).find_many("Order")
@@ -101,7 +102,7 @@ def test_stream(spark, tables, tmp_path):
 
 
 def test_scoped_rows_alone(tables):
-    seen = {r["c_mktsegment"] for r in ScopedQuery.of(Analyst(tables, EUROPE_NOT_BUILDING), "Customer", "c").select(c_mktsegment="c.c_mktsegment").frame().collect()}
+    seen = {r["c_mktsegment"] for r in ScopedQuery.of(Analyst(tables, EUROPE_NOT_BUILDING), "Customer", "c").select(c_mktsegment=x.field("c", "c_mktsegment")).frame().collect()}
     assert "BUILDING" not in seen
 
 
