@@ -37,7 +37,7 @@ def bounded(texts: DataFrame, bound: int, salt: int) -> DataFrame:
     """Rows of (id, text, ...), those that repeat an id and text once, and about `bound` of them at most, by a hash of both:
     an id may stand in any number of rows. `key` is the text's hash."""
     rows = texts.withColumn("key", F.xxhash64("text"))
-    n = rows.select("id", "key").distinct().count()
+    n = texts.count()
     if n > bound:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id", "key"), F.lit(_SPAN)) < int(bound / n * _SPAN))
     return rows.dropDuplicates(["id", "key"])
