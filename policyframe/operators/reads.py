@@ -18,7 +18,8 @@ from policyframe.sources.stores import folder
 @dataclass(frozen=True)
 class Args:
     """What of a relation to load for each parent: as for find_many. A negative take is the last targets in the asked order; a
-    cursor is a target's key, looked up under the policy alone, from which on targets count."""
+    cursor is a target's key, looked up under the policy alone, from which on targets count. `relation` names the relation where
+    the key under which these stand is another name for it."""
 
     where: Condition = ALL
     order_by: tuple = ()
@@ -28,6 +29,8 @@ class Args:
     select: tuple[str, ...] | None = None
     include: dict[str, Args] = field(default_factory=dict)
     cursor: dict | None = None
+    count: dict[str, Condition] = field(default_factory=dict)
+    relation: str | None = None
 
 
 @dataclass(frozen=True)
@@ -147,14 +150,15 @@ class Reader:
             df = df.limit(abs(take)) if take is not None else df
         return df
 
-    def find_many(self, name: str, *, where: Condition = ALL, order_by: tuple = (), cursor: dict | None = None, skip: int = 0, take: int | None = None, distinct: tuple[str, ...] = (), select: tuple[str, ...] | None = None, omit: tuple[str, ...] = (), include: dict[str, Args] | None = None, count: dict[str, Condition] | None = None, ordinal: str | None = None) -> DataFrame:
-        """Rows of a model. A negative take is the last rows in the asked order. `ordinal` names a column with each row's
+    def find_many(self, name: str, *, where: Condition = ALL, order_by: tuple = (), cursor: dict | None = None, skip: int = 0, take: int | None = None, distinct: tuple[str, ...] = (), select: tuple[str, ...] | None = None, omit: tuple[str, ...] = (), include: dict[str, Args] | None = None, count: dict[str, Condition] | None = None, ordinal: str | None = None, relations: dict[str, Args] | None = None) -> DataFrame:
+        """Rows of a model. `include` adds relations to all fields, `relations` to those of `select`. A negative take is the last rows in the asked order. `ordinal` names a column with each row's
         place; without it and without an order, rows come in no order, and nothing is sorted. Rows are sorted last, after
         masks, relations and counts are joined. Relations of a page with a take are loaded for its rows alone."""
         model = self.catalog.model(name)
         if select is not None and (include or omit):
             raise ValueError("select goes with neither include nor omit")
-        self._within_limits(model, select, include or {}, 1)
+        include = (include or {}) | (relations or {})
+        self._within_limits(model, select, include, 1)
         order = ordering(order_by, model.key)
         df = self.page(name, where=where, order_by=order_by, cursor=cursor, skip=skip, take=take, distinct=distinct)
         if ordinal:
@@ -166,13 +170,13 @@ class Reader:
         kept = {x: f"_o{i}" for i, (x, *_) in enumerate(order)} if order_by or cursor or (take is not None and take < 0) else {}
         df = df.withColumns({o: F.col(f"`{x}`") for x, o in kept.items()})
         df = self.masked(df, name, fields)
-        for relation, args in (include or {}).items():
-            df = self._loaded(df, model, relation, args, most)
-        for relation, condition in (count or {}).items():
-            df = self._counted(df, model, relation, condition, most)
+        for name_, args in include.items():
+            df = self._loaded(df, model, args.relation or name_, args, most, name_)
+        for name_, condition in (count or {}).items():
+            df = self._counted(df, model, name_, condition, most)
         if kept:
             df = df.orderBy(*columns([(kept[x], down, first) for x, down, first in order]))
-        extra = [*(include or {}), *[f"{r}_count" for r in count or {}], *([ordinal] if ordinal else [])]
+        extra = [*include, *[f"{r}_count" for r in count or {}], *([ordinal] if ordinal else [])]
         return df.select(*[f"`{f}`" for f in [*fields, *extra]])
 
     def _within_limits(self, model: Model, select: tuple[str, ...] | None, include: dict[str, Args], depth: int) -> int:
@@ -180,8 +184,8 @@ class Reader:
         if depth > self.limits.depth:
             raise ValueError(f"relations are nested deeper than {self.limits.depth}")
         n = len(select if select is not None else model.fields)
-        for relation, args in include.items():
-            n += 1 + self._within_limits(self.catalog.model(model.relation(relation).target), args.select, args.include, depth + 1)
+        for name, args in include.items():
+            n += 1 + self._within_limits(self.catalog.model(model.relation(args.relation or name).target), args.select, args.include, depth + 1)
         if n > self.limits.selected:
             raise ValueError(f"more than {self.limits.selected} fields are selected")
         return n
@@ -256,8 +260,11 @@ class Reader:
         rows = self.masked(rows, target.name, fields)
         # Of the targets of a bounded page no bound is known.
         for inner, inner_args in args.include.items():
-            rows = self._loaded(rows, target, inner, inner_args)
+            rows = self._loaded(rows, target, inner_args.relation or inner, inner_args, None, inner)
             fields.append(inner)
+        for inner, condition in args.count.items():
+            rows = self._counted(rows, target, inner, condition)
+            fields.append(f"{inner}_count")
         value = F.struct(*[F.col(f"`{f}`") for f in fields])
         if relation.many:
             rows = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value.alias("v")))), lambda x: x["v"]).alias(column))

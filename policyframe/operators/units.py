@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,22 +214,36 @@ class Unit(Writer):
             out = out.unionByName(more)
         return out
 
-    def commit(self, folder: str, version: str) -> str:
+    def commit(self, folder: str, version: str, base: str | None = None) -> str:
         """Writes each staged model and the facts under folder/version, and last the mark by which `committed` knows it. A
-        version that failed has no mark; a version with a mark is never written again."""
+        version that failed has no mark; a version with a mark is never written again. base: the version that the unit read;
+        of units that read the same one, the first to finish takes its place and the others fail with a conflict."""
         spark, to = self.catalog.spark, f"{folder}/{version}"
         if committed(spark, folder, version):
             raise ValueError(f"{to} is committed")
         for name, df in self.catalog.frames.items():
             df.write.mode("overwrite").parquet(f"{to}/{self.catalog.model(name).table}.parquet")
         self.facts().write.mode("overwrite").parquet(f"{to}/_facts.parquet")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{to}/_COMMITTED")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False).close()
+        if base is not None and not _created(spark, f"{folder}/{base}/_SUCCESSOR"):
+            raise ValueError(f"conflict: another unit has followed {base}")
+        _created(spark, f"{to}/_COMMITTED")
         if self.hooks.committed:
             self.hooks.committed(spark.read.parquet(f"{to}/_facts.parquet"))
         return to
 
 
+def _created(spark, name: str) -> bool:
+    """Makes an empty file, which only one of several callers can."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    try:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+            raise
+        return False
+
+
 def committed(spark, folder: str, version: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}/_COMMITTED")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -6,6 +6,7 @@ conjunction is true, an empty disjunction false.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -146,11 +147,37 @@ class Rel:
 
 
 _WORDS = {"equals": "eq", "not": "ne", "in": "in", "notIn": "not_in", "lt": "lt", "lte": "lte", "gt": "gt", "gte": "gte", "contains": "contains", "startsWith": "starts_with", "endsWith": "ends_with", "has": "has", "hasEvery": "has_every", "hasSome": "has_some", "isEmpty": "is_empty"}
+_JSON_WORDS = {"equals": "json_eq", "not": "json_ne", "lt": "json_lt", "lte": "json_lte", "gt": "json_gt", "gte": "json_gte", "string_contains": "string_contains", "string_starts_with": "string_starts_with", "string_ends_with": "string_ends_with", "array_contains": "array_contains", "array_starts_with": "array_starts_with", "array_ends_with": "array_ends_with"}
+_STEP = re.compile(r'\.(?:"([^"]*)"|([^.\["]+))|\[(\d+)\]')
 _REL_WORDS = {"is": "is", "isNot": "is_not", "some": "some", "every": "every", "none": "none"}
 
 
+def json_path(path: str | list) -> tuple:
+    """Steps of `$.a."b c"[0]`, or of a list of keys in which digits are places in a list."""
+    if not isinstance(path, str):
+        return tuple(int(p) if isinstance(p, str) and p.isdigit() else p for p in path)
+    steps, at = [], 1
+    while path[:1] == "$" and at < len(path) and (m := _STEP.match(path, at)):
+        steps.append(int(m[3]) if m[3] else m[1] if m[1] is not None else m[2])
+        at = m.end()
+    if path[:1] != "$" or at < len(path):
+        raise ValueError(f"{path} is no JSON path")
+    return tuple(steps)
+
+
+def _from_json(name: str, tests: dict) -> list[Condition]:
+    f = Field(name, json_path(tests.pop("path", "$")), tests.pop("mode", "default") == "insensitive")
+    out: list[Condition] = []
+    for op, operand in tests.items():
+        if op not in _JSON_WORDS:
+            raise ValueError(f"unknown operator {op}")
+        out.append(getattr(f, _JSON_WORDS[op])(JSON_NULL if operand is None and op in ("equals", "not") else operand))
+    return out
+
+
 def from_dict(where: dict, model, catalog) -> Condition:
-    """The same algebra as nested dicts: {field: value}, {field: {op: operand, "mode": "insensitive"}}, AND, OR, NOT."""
+    """The same algebra as nested dicts: {field: value}, {field: {op: operand, "mode": "insensitive"}}, AND, OR, NOT; of a JSON
+    text, {field: {"path": "$.a[0]", op: operand}}, where None is a JSON null."""
     parts: list[Condition] = []
     for name, value in where.items():
         if name in ("AND", "OR", "NOT"):
@@ -167,6 +194,9 @@ def from_dict(where: dict, model, catalog) -> Condition:
                     parts.append(Related(name, _REL_WORDS[op], from_dict(w, target, catalog)))
         elif name in model.fields:
             tests = dict(value) if isinstance(value, dict) else {"equals": value}
+            if "path" in tests or set(tests) & (set(_JSON_WORDS) - set(_WORDS)):
+                parts += _from_json(name, tests)
+                continue
             f = Field(name, fold=tests.pop("mode", "default") == "insensitive")
             for op, operand in tests.items():
                 if op not in _WORDS:

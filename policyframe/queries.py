@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyframe.operators import semantic
+from policyframe.operators import graphql, semantic
 from policyframe.operators.analytics import Analyst, GroupLimits, avg_, count_, count_all, count_distinct, max_, min_, sum_
 from policyframe.operators.fields import Batched, Computed, capped, with_alias, with_computed
 from policyframe.operators.mutations import Writer
@@ -15,10 +15,13 @@ from policyframe.operators.reads import Args
 from policyframe.operators.scoped import ScopedQuery
 from policyframe.operators.units import OnDelete, Unit
 from policyframe.plans import expression as x
+from policyframe.plans.catalog import Model, Relation
 from policyframe.plans.policy import Policies, Rules
 from policyframe.plans.predicate import ALL, ANY_NULL, DB_NULL, JSON_NULL, Field, Rel, any_of, from_dict
+from policyframe.sources import migrate
 from policyframe.sources.stores import drift
 from policyframe.sources.tables import MODELS, catalog
+from policyframe.streaming import jobs
 from policyframe.streaming.changes import change_feed, deduplicated
 from policyframe.streaming.outbox import claim, decoded, from_changes, settle, waiting
 
@@ -128,6 +131,12 @@ def _(a: Analyst) -> DataFrame:
     return a.find_many("Order", where=c, select=KEY)
 
 
+@query("where_dict_json", f"SELECT event_id FROM events WHERE {TYPE_X} = 'VARCHAR' AND contains({DOC} ->> '$.x', 'ic') OR {TYPE_X} = 'NULL' OR CAST({DOC} ->> '$.tags[2].a' AS DOUBLE) = 1 AND event_id % 3 = 2")
+def _(a: Analyst) -> DataFrame:
+    either = [{"doc": {"path": "$.x", "string_contains": "IC", "mode": "insensitive"}}, {"doc": {"path": ["x"], "equals": None}}, {"doc": {"path": "$.tags[2].a", "equals": 1}, "AND": [{"doc": {"path": ["tags", "0"], "equals": 2}}]}]
+    return a.find_many("Event", where=from_dict({"OR": either}, a.catalog.model("Event"), a.catalog), select=("event_id",))
+
+
 # --- reads ----------------------------------------------------------------------------------------------------------------
 PAGE = "row_number() OVER (ORDER BY {0}) AS ordinal FROM (SELECT * FROM {1} ORDER BY {0} LIMIT {2} OFFSET {3})"
 find("find_unique_key", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7", "Order", where=f("o_orderkey").eq(7), select=("o_orderkey", "o_orderstatus"))
@@ -510,6 +519,55 @@ def _(a: Analyst) -> DataFrame:
     return semantic.refresh(docs, "doc_id", ["lang", "text"], known)
 
 
+@query("semantic_search", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT doc_id, lang, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS distance FROM documents JOIN embeddings ON vec_id = doc_id, q WHERE lang = 'en' ORDER BY distance, doc_id LIMIT 10")
+def _(a: Analyst) -> DataFrame:
+    vectors = a.catalog.rows("Vector").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    query = a.catalog.rows("Vector").filter("vec_id = 0").first()["embedding"]
+    mine = Analyst(a.catalog, Policies(OPEN | {"Document": Rules().can("read", f("lang").eq("en"))}))
+    out = semantic.search(mine, "Document", vectors, query, 10, most=None)
+    return out.select("doc_id", "lang", F.round("distance", 9).alias("distance"))
+
+
+@query("semantic_refreshed", "SELECT n_nationkey, 'v2' AS fingerprint, CASE WHEN n_nationkey % 3 = 0 THEN 7.0::DOUBLE ELSE length(n_name)::DOUBLE END AS first FROM nation")
+def _(a: Analyst) -> DataFrame:
+    rows = a.catalog.rows("Nation")
+    # Of every third row the vector is fresh; of others the document or the embedder has changed; one belongs to no row.
+    h = F.when(F.col("n_nationkey") % 3 == 1, "old").otherwise(semantic.document_hash(["n_name"]))
+    known = rows.select("n_nationkey", h.alias("hash"), F.when(F.col("n_nationkey") % 3 == 2, "v1").otherwise("v2").alias("fingerprint"), F.array(F.lit(7.0), F.lit(1.0)).alias("vector"))
+    known = known.unionByName(a.catalog.spark.sql("SELECT -1 AS n_nationkey, 'gone' AS hash, 'v2' AS fingerprint, array(1.0D, 1.0D) AS vector"))
+    made = semantic.refreshed(rows, "n_nationkey", ["n_name"], known, lambda texts: [[len(t) - len("n_name: "), 1.0] for t in texts], fingerprint="v2", dimensions=2, batch=4)
+    return made.select("n_nationkey", "fingerprint", F.col("vector")[0].alias("first"))
+
+
+# --- front end ------------------------------------------------------------------------------------------------------------
+@query("graphql_find_many", f"SELECT o_orderkey AS key, {TOTAL} AS price, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_mktsegment = 'BUILDING' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 25 OFFSET 5")
+def _(a: Analyst) -> DataFrame:
+    document = """query Open($segment: String!, $n: Int = 25) {
+      orders(where: {o_orderstatus: "O", customer: {is: {c_mktsegment: {equals: $segment}}}}, orderBy: [{o_totalprice: desc}], skip: 5, take: $n) { key: o_orderkey price: o_totalprice ...who }
+    } fragment who on Order { customer { c_name } }"""
+    out = graphql.execute(a, document, {"segment": "BUILDING"})["orders"]
+    return out.select("key", "price", F.col("customer.c_name").alias("customer"))
+
+
+@query("graphql_aliases", "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, count(o_orderkey) AS every FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(a: Analyst) -> DataFrame:
+    document = '{ customers(orderBy: [{c_custkey: asc}], take: 50) { c_custkey opened: orders(where: {o_orderstatus: "O"}) { o_orderkey } closed: orders(where: {o_orderstatus: "F"}) { o_orderkey } _count { orders } } }'
+    out = graphql.execute(a, document)["customers"]
+    return out.select("c_custkey", *[F.size(c).cast("bigint").alias(c) for c in ("opened", "closed")], F.col("_count.orders").alias("every"))
+
+
+@query("graphql_aggregate", f"SELECT count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total, max({TOTAL}) AS high FROM orders WHERE o_orderpriority LIKE '1%'")
+def _(a: Analyst) -> DataFrame:
+    out = graphql.execute(a, '{ ordersAggregate(where: {o_orderpriority: {startsWith: "1"}}) { n: _count _sum { o_totalprice } _max { o_totalprice } } }')["ordersAggregate"]
+    return out.select("n", F.col("_sum.o_totalprice").alias("total"), F.col("_max.o_totalprice").alias("high"))
+
+
+@query("graphql_group_by", f"SELECT n_name, o_orderstatus, count(*) AS n, min({TOTAL}) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(*) > 100 AND NOT max({TOTAL}) < 1000")
+def _(a: Analyst) -> DataFrame:
+    document = '{ g: ordersGroupBy(by: ["customer.nation.n_name", "o_orderstatus"], having: {_count: {gt: 100}, NOT: {_max: {o_totalprice: {lt: 1000}}}}) { n_name o_orderstatus _count _min { o_totalprice } } }'
+    return graphql.execute(a, document)["g"].select("n_name", "o_orderstatus", F.col("_count").alias("n"), F.col("_min.o_totalprice").alias("low"))
+
+
 # --- changes and writes ---------------------------------------------------------------------------------------------------
 def _facts(a: Analyst) -> DataFrame:
     """The events as facts about customers: every fact twice, as a source that delivers at least once may."""
@@ -699,6 +757,63 @@ def _(a: Analyst) -> DataFrame:
     return out.select("event_id", "body.k")
 
 
+# --- jobs -----------------------------------------------------------------------------------------------------------------
+def _jobs(a: Analyst) -> DataFrame:
+    """A job an event; those of one user exclude each other, and one of each type and value in whole units is enough."""
+    new = a.catalog.rows("Event").selectExpr("CAST(event_id AS string) AS job_id", "props AS payload", "concat(event_type, '/', CAST(floor(value) AS string)) AS dedupe", "CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS string) END AS exclusive", "CAST(event_id % 3 * 60 AS int) AS delay_s")
+    none = a.catalog.spark.createDataFrame([], "job_id string, payload string, dedupe string, exclusive string, state string, attempts int, due timestamp, owner string, code string, changed timestamp")
+    return jobs.enqueued(none, new, F.expr(_AT))
+
+
+_JOBS = "WITH j AS (SELECT *, CAST(event_id AS VARCHAR) AS job_id, CASE WHEN user_id % 2 = 0 THEN user_id END AS x, event_id % 3 AS late FROM events QUALIFY row_number() OVER (PARTITION BY event_type, CAST(floor(value) AS BIGINT) ORDER BY CAST(event_id AS VARCHAR)) = 1) "
+
+
+@query("job_enqueue", _JOBS + "SELECT job_id, 'waiting' AS state, late FROM j")
+def _(a: Analyst) -> DataFrame:
+    late = F.expr(f"CAST((unix_seconds(due) - unix_seconds({_AT})) / 60 AS bigint)").alias("late")
+    return _jobs(a).select("job_id", "state", late)
+
+
+_RUN = "c AS (SELECT job_id FROM j WHERE late <= 1 AND (x IS NULL OR job_id IN (SELECT min_by(job_id, (late, job_id)) FROM j WHERE late <= 1 AND x IS NOT NULL GROUP BY x)) ORDER BY late, job_id LIMIT 100)"
+
+
+@query("job_claim", _JOBS + f", {_RUN} SELECT job_id FROM c")
+def _(a: Analyst) -> DataFrame:
+    return jobs.claimed(_jobs(a), "w", F.expr(f"{_AT} + interval 1 minute"), 60, 100).filter("state = 'running'").select("job_id")
+
+
+@query("job_settle", _JOBS + f", {_RUN} SELECT job_id, CASE WHEN job_id NOT IN (FROM c) THEN 'waiting' WHEN event_id % 3 = 0 THEN 'done' WHEN event_id % 3 = 1 THEN 'failed' ELSE 'waiting' END AS state, CASE WHEN job_id IN (FROM c) THEN 1 ELSE 0 END AS attempts FROM j")
+def _(a: Analyst) -> DataFrame:
+    now = F.expr(f"{_AT} + interval 1 minute")
+    held = jobs.claimed(_jobs(a), "w", now, 60, 100)
+    outcome = F.element_at(F.array(F.lit("done"), F.lit("failed"), F.lit("retry")), F.expr("CAST(job_id AS int) % 3 + 1"))
+    told = held.filter("state = 'running'").select("job_id", outcome.alias("outcome"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("delay_s"))
+    return jobs.settled(held, told, "w", now).select("job_id", "state", "attempts")
+
+
+# --- migrations -------------------------------------------------------------------------------------------------------------
+def _after() -> list[Model]:
+    """The nations with a name of their own, a rank that is filled in, and a wider key."""
+    nation = Model("Nation", "nation", {"n_nationkey": "bigint", "label": "string", "n_regionkey": "int", "grade": "int"}, ("n_nationkey",), {"region": Relation("region", "Region", (("n_regionkey", "r_regionkey"),))})
+    region = Model("Region", "region", {"r_regionkey": "int", "r_name": "string"}, ("r_regionkey",))
+    return [nation, region]
+
+
+def _plan() -> migrate.Plan:
+    before = [m for m in MODELS if m.name in ("Nation", "Region")]
+    return migrate.diff(before, _after(), {("nation", "n_name"): "label"}, {("nation", "grade"): "length(label) + n_regionkey"})
+
+
+@query("migration_plan", "SELECT * FROM (VALUES ('rename_column', 'nation', 'n_name', 'rewrite'), ('alter_column_type', 'nation', 'n_nationkey', 'rewrite'), ('add_column', 'nation', 'grade', 'rewrite'), ('backfill_column', 'nation', 'grade', 'rewrite')) AS t(kind, model, field, risk)")
+def _(a: Analyst) -> DataFrame:
+    return a.catalog.spark.createDataFrame([(c.kind, c.table, c.column, c.risk) for c in _plan().changes], "kind string, model string, field string, risk string")
+
+
+@query("migration_apply", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS label, n_regionkey, CAST(length(n_name) + n_regionkey AS INTEGER) AS grade FROM nation")
+def _(a: Analyst) -> DataFrame:
+    return migrate.migrated(_plan(), lambda t: a.catalog._load(t))["nation"]
+
+
 # --- flagship -------------------------------------------------------------------------------------------------------------
 @query("flagship_open_orders", f"SELECT o_orderkey, {TOTAL} AS o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 20")
 def _(a: Analyst) -> DataFrame:

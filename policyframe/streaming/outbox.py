@@ -52,13 +52,13 @@ def waiting(facts: DataFrame, at: Column) -> DataFrame:
 def claim(outbox: DataFrame, owner: str, now: Column, lease_s: int, most: int | None = None) -> DataFrame:
     """The outbox with the rows that `owner` may send now. Facts of one causation are sent in order: only the first of them that is not
     delivered can be claimed, and none behind a blocked one. With `most`, the longest due causations are taken."""
-    open_ = F.col("state") != DELIVERED
-    first = Window.partitionBy("causation").orderBy(F.when(open_, 0).otherwise(1), "ordinal", "event_id")
-    ready = open_ & (F.row_number().over(first) == 1) & (F.col("state") != BLOCKED) & (F.col("due") <= now)
-    out = outbox.withColumn("_ready", ready)
+    # Delivered rows take no part: what is open is sorted alone, and the first ones come back by their ids.
+    open_ = outbox.filter(F.col("state") != DELIVERED)
+    first = open_.groupBy("causation").agg(F.min(F.struct("ordinal", "event_id", "state", "due")).alias("f")).select("f.*")
+    ready = first.filter((F.col("state") != BLOCKED) & (F.col("due") <= now))
     if most is not None:
-        chosen = out.filter("_ready").orderBy("due", "event_id").limit(most).select(F.col("event_id").alias("_id"))
-        out = out.join(chosen, out["event_id"] == chosen["_id"], "left").withColumn("_ready", F.col("_id").isNotNull()).drop("_id")
+        ready = ready.orderBy("due", "event_id").limit(most)
+    out = outbox.join(ready.select(F.col("event_id").alias("_id")), outbox["event_id"] == F.col("_id"), "left").withColumn("_ready", F.col("_id").isNotNull()).drop("_id")
     taken = {"state": F.lit(CLAIMED), "owner": F.lit(owner), "due": now + F.make_dt_interval(secs=F.lit(lease_s))}
     return out.withColumns({c: F.when(F.col("_ready"), v).otherwise(F.col(c)) for c, v in taken.items()}).drop("_ready")
 
