@@ -137,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).tolist(), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "fold"])
 
     texts = bounded(texts, bound, 5)
-    rows = cut(texts.select("text", "y", fold("id").cast("int").alias("fold")).mapInArrow(measured, "x array<double>, y int, fold int"), "statistics")
+    rows = texts.select("text", "y", fold("id").cast("int").alias("fold")).mapInArrow(measured, "x array<double>, y int, fold int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
+    rows = cut(rows.repartition(PARTS, "part").sortWithinPartitions("part", "x", "y"), "statistics")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     ones = ones / n if n else 0.5
     if not n or not 0 < ones < 1:
@@ -146,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return model
 
     def parts(of: DataFrame, summed: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-        """Sums over PARTS parts, added up in order. A part's rows are told by their values and come sorted, so that sums of
-        floating-point numbers are the same whenever, and wherever, they are taken."""
+        """Sums over PARTS parts, added up in order. A part's rows are told by their values and lie sorted, so that sums of
+        floating-point numbers are the same whenever they are taken."""
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[pa.RecordBatch]] = {}
@@ -159,8 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 sums = summed(np.array(rows.column(0).to_pylist()), rows.column(1).to_numpy().astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([[t.astype(float).tobytes() for t in sums]], pa.list_(pa.binary()))], names=["part", "sums"])
 
-        dealt = of.select("x", "y", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int").alias("part")).repartition(PARTS, "part").sortWithinPartitions("part", "x", "y")
-        found = sorted(dealt.mapInArrow(step, "part int, sums array<binary>").collect())  # at most PARTS rows of 2 MB
+        found = sorted(of.select("x", "y", "part").mapInArrow(step, "part int, sums array<binary>").collect())  # some PARTS rows of 2 MB
         return [sum(np.frombuffer(v) for v in vs) for vs in zip(*[p["sums"] for p in found], strict=True)]
 
     total, count = parts(rows, lambda x, y: (x.sum(axis=0), np.array([len(x)])))
