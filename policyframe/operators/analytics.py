@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from policyframe.functions.exact import INTEGERS, avg_of, avg_parts, exact_avg, exact_sum
 from policyframe.operators.reads import Reader, columns, ordering
-from policyframe.plans.catalog import Relation
+from policyframe.plans.catalog import Model, Relation
 from policyframe.plans.expression import Expr, Refused, build, checked, fields, walk
 from policyframe.plans.policy import visible_rows
 from policyframe.plans.predicate import ALL, And, Condition, Leaf, Or, implies, normalize
@@ -52,7 +52,12 @@ def max_(field: str, name: str) -> Measure:
     return Measure(name, "max", field)
 
 
-def measured(m: Measure, kind: str) -> Column:
+def measured(m: Measure, model: Model) -> Column:
+    kind = model.fields.get(m.field, "")
+    if m.field is not None and not kind:
+        raise ValueError(f"{model.name} has no {m.field}")
+    if m.op in ("min", "max") and m.field in model.unordered:
+        raise ValueError(f"{model.name}.{m.field} has no order")
     c = F.col(f"`{m.field}`") if m.field else None
     if m.op in ("min", "max") and kind in _ORDERED_ONLY or m.op in ("sum", "avg") and kind in ("string", "boolean", "date", "timestamp"):
         raise ValueError(f"{m.op} of {kind}")
@@ -81,7 +86,7 @@ class Analyst(Reader):
         paged = cursor is not None or skip or take is not None
         df = self.page(name, where=where, order_by=order_by, cursor=cursor, skip=skip, take=take) if paged else self.filtered(name, where)
         self.allowed(name, {m.field for m in measures if m.field}, where)
-        return df.agg(*[measured(m, model.fields.get(m.field, "")) for m in measures])
+        return df.agg(*[measured(m, model) for m in measures])
 
     def group_by(self, name: str, by: dict[str, str | tuple[str, ...]], measures: list[Measure], *, where: Condition = ALL, having: Expr | None = None, order_by: tuple = (), skip: int = 0, take: int | None = None, limits: GroupLimits | None = None, most_take: int | None = None) -> DataFrame:
         """by: dimension -> a field, or a path of to-one relations that ends in a field; rows whose path meets an invisible
@@ -122,7 +127,7 @@ class Analyst(Reader):
             kinds[d] = ("", at.fields[path[-1]])
         if limits is not None:
             within(df, limits.rows, "rows contribute")
-        out = df.groupBy(*[c.alias(d) for d, c in ends.items()]).agg(*[measured(m, model.fields.get(m.field, "")) for m in measures])
+        out = df.groupBy(*[c.alias(d) for d, c in ends.items()]).agg(*[measured(m, model) for m in measures])
         if limits is not None:
             within(out, limits.groups, "groups")
         if having is not None:
@@ -164,7 +169,7 @@ class Analyst(Reader):
                 parts += [total.alias(f"{m.name}__s"), n.alias(f"{m.name}__n")]
                 out.append(avg_of(F.sum(f"{m.name}__s"), F.sum(f"{m.name}__n"), kind).alias(m.name))
             else:
-                parts.append(measured(m, kind))
+                parts.append(measured(m, model))
                 whole = merge[m.op](m.name)
                 out.append((whole.cast("decimal(38,0)") if m.op == "sum" and kind in INTEGERS else whole).alias(m.name))
         first = facts.groupBy(*own).agg(*parts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from policyframe.operators.filters import flagged, where
 from policyframe.plans.catalog import Catalog, Model
 from policyframe.plans.policy import Forbidden, Policies, expand, visible_rows
-from policyframe.plans.predicate import ALL, NONE, And, Condition, fields_of, implies, normalize
+from policyframe.plans.predicate import ALL, NONE, And, Condition, fields_of, implies, leaves_of, normalize
 from policyframe.sources.stores import folder
 
 
@@ -128,6 +128,9 @@ class Reader:
 
     def filtered(self, name: str, condition: Condition = ALL, used: set[str] = frozenset()) -> DataFrame:
         model = self.catalog.model(name)
+        for x in leaves_of(condition):
+            if x.field in model.unordered and x.op in ("lt", "lte", "gt", "gte"):
+                raise ValueError(f"{name}.{x.field} has no order")
         self.allowed(name, set(used))
         self.allowed(name, fields_of(condition), condition)
         return where(self.scope(name, condition), expand(condition, model, self.catalog, self.policies), model, self.catalog)

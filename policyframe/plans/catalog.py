@@ -36,6 +36,8 @@ class Model:
     key: tuple[str, ...] = ()
     relations: dict[str, Relation] = field(default_factory=dict)
     derived: dict[str, str] = field(default_factory=dict)
+    #: Fields whose values are told apart but have no order, such as uuids and the words of an enumeration.
+    unordered: frozenset[str] = frozenset()
 
     def relation(self, name: str) -> Relation:
         if name not in self.relations:

@@ -233,6 +233,13 @@ def normalize(c: Condition) -> Condition:
     return c
 
 
+def leaves_of(c: Condition) -> list[Leaf]:
+    """The tests of the model's own fields."""
+    if isinstance(c, Leaf):
+        return [c]
+    return [x for p in (c.parts if isinstance(c, And | Or) else (c.part,) if isinstance(c, Not) else ()) for x in leaves_of(p)]
+
+
 def fields_of(c: Condition) -> set[str]:
     """The model's own fields that the condition reads."""
     if isinstance(c, Leaf):

@@ -78,9 +78,12 @@ def settle(outbox: DataFrame, results: DataFrame, owner: str, now: Column, retry
     return out.select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in outbox.columns])
 
 
-def retained(outbox: DataFrame, now: Column, keep_s: int) -> DataFrame:
-    """Without what was delivered more than keep_s seconds ago."""
-    return outbox.filter((F.col("state") != DELIVERED) | (F.col("due") >= now - F.make_dt_interval(secs=F.lit(keep_s))))
+def retained(outbox: DataFrame, now: Column, keep_s: int, most: int | None = None) -> DataFrame:
+    """Without what was delivered more than keep_s seconds ago; with `most`, the oldest so many of these go."""
+    old = (F.col("state") == DELIVERED) & (F.col("due") < now - F.make_dt_interval(secs=F.lit(keep_s)))
+    if most is None:
+        return outbox.filter(~F.coalesce(old, F.lit(False)))
+    return outbox.join(outbox.filter(old).orderBy("due", "event_id").limit(most).select("event_id"), "event_id", "left_anti").select(*outbox.columns)
 
 
 def decoded(facts: DataFrame, codecs: dict[int, tuple[str, dict[str, str]]], *, version: str = "fact_version", payload: str = "payload") -> DataFrame:

@@ -338,3 +338,21 @@ def test_windows_and_passes_give_the_asserted_answers(spark):
 def test_dates_are_values(tables):
     q = ScopedQuery.of(Analyst(tables), "Order", "o").where(x.field("o", "o_orderdate").gte(datetime.datetime(1995, 1, 1)))
     assert 0 < q.select(n=x.count()).frame().first()["n"] <= Analyst(tables).count("Order").first()["n"]
+
+
+def test_fields_without_an_order(spark):
+    data = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, state string")
+    a = Analyst(Catalog(spark, [Model("T", "t", {"id": "string", "state": "string"}, ("id",), unordered=frozenset({"id", "state"}))], lambda _: data))
+    assert a.find_many("T", where=f("state").eq("x")).count() == 1
+    for bad in (lambda: a.find_many("T", where=f("state").gt("x")), lambda: a.count("T", ~f("id").lte("x")), lambda: a.aggregate("T", [max_("state", "m")]), lambda: a.aggregate("T", [max_("missing", "m")])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_outbox_retention_is_bounded(spark):
+    from policyframe.streaming.outbox import retained
+
+    box = spark.sql("SELECT concat('e', id) AS event_id, CASE WHEN id < 5 THEN 'delivered' ELSE 'waiting' END AS state, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS due FROM range(8)")
+    now = F.expr("timestamp'2024-01-02 00:00:00'")
+    assert retained(box, now, 60).count() == 3
+    assert {r["event_id"] for r in retained(box, now, 60, 2).collect()} == {f"e{k}" for k in range(2, 8)}
