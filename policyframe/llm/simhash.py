@@ -212,8 +212,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return pd.Series(np.array([0 if t is None else fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64))
 
     # Own columns go by number: no name of theirs can meet one of ours.
-    names = {c: f"own{i}" for i, c in enumerate(docs.columns)}
-    once = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in names.items()], F.col("doc_id").alias("id"), F.col("text").alias("text")).filter("id is not null").join(ids, "id")
+    names = {c: {"doc_id": "id", "text": "text"}.get(c, f"own{i}") for i, c in enumerate(docs.columns)}
+    once = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in names.items()]).filter("id is not null").join(ids, "id")
     once = once.withColumn("fp", F.when(F.col("mixed"), print_of(F.when(F.col("mixed"), F.col("text")))))
     once = once.join(told, ["id", "fp"], "left").filter("not mixed or root is not null")
     rest = [F.col(o).alias(c) for c, o in names.items() if c not in ("doc_id", "text")]
