@@ -213,6 +213,60 @@ def inside_one_text(words: Words, n: int) -> np.ndarray:
     return owner[:size] == owner[n - 1 :][:size] if size else np.zeros(0, bool)
 
 
+#: XXH64's five primes.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rolled(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+class Bytes:
+    """Bytes that are read 1, 4 or 8 at a time from any place."""
+
+    def __init__(self, data: bytes):
+        data += b"\0" * 8
+        self.one = np.frombuffer(data, np.uint8)
+        self.four = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
+        self.eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def xxh64(data: Bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span of data, all spans at once."""
+    whole, four, eight = data.one, data.four, data.eight
+    size, at, seed = (ends - starts).astype(np.uint64), starts.astype(np.int64), np.uint64(seed)
+    with np.errstate(over="ignore"):
+        out = np.full(len(at), seed + _P5, np.uint64)
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            lanes = [np.full(len(long), v, np.uint64) for v in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+            left, where = ends[long] - starts[long], at[long]
+            alive = np.arange(len(long))
+            while len(alive):
+                for k, lane in enumerate(lanes):
+                    lane[alive] = _rolled(lane[alive] + eight[where[alive] + 8 * k] * _P2, 31) * _P1
+                where[alive] += 32
+                left[alive] -= 32
+                alive = alive[left[alive] >= 32]
+            total = sum(_rolled(lane, n) for lane, n in zip(lanes, (1, 7, 12, 18), strict=True))
+            for lane in lanes:
+                total = (total ^ (_rolled(lane * _P2, 31) * _P1)) * _P1 + _P4
+            out[long], at[long] = total, where
+        out += size
+        while len(some := np.flatnonzero(ends - at >= 8)):
+            out[some] = _rolled(out[some] ^ (_rolled(eight[at[some]] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at[some] += 8
+        some = np.flatnonzero(ends - at >= 4)
+        out[some] = _rolled(out[some] ^ (four[at[some]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at[some] += 4
+        while len(some := np.flatnonzero(ends > at)):
+            out[some] = _rolled(out[some] ^ (whole[at[some]].astype(np.uint64) * _P5), 11) * _P1
+            at[some] += 1
+        out = (out ^ (out >> np.uint64(33))) * _P2
+        out = (out ^ (out >> np.uint64(29))) * _P3
+        return out ^ (out >> np.uint64(32))
+
+
 def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes; a null as b""), in groups of about `limit` bytes."""
     column = column.cast(pa.large_binary())

@@ -22,7 +22,7 @@ id get a fingerprint and take part, but never name a component unless all of its
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,29 +31,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyframe.llm.components import components
-from policyframe.llm.shared import cut, done, joined, table
+from policyframe.llm.shared import Bytes, cut, done, joined, table, text_groups, xxh64
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE, PART = 1024, 256
-
-
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return digest(joined, seed)
-    at = [0, *accumulate(len(w) + 1 for w in words)]
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(at, at[shingle:], strict=False)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 65536):
-        part = np.ascontiguousarray(hashes[k : k + 65536]).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+#: Shingles that are hashed at once.
+MANY = 1 << 17
+_LOWEST = np.uint64(0x0101010101010101)
+
+
+def prints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The fingerprint of each text. Shingles are hashed where they lie, many at once, from words with one space between them."""
+    raw = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    after = np.zeros(len(raw), bool)
+    after[edges[1::2]] = True
+    data = Bytes(np.where(inside, raw, 32).astype(np.uint8)[inside | after].tobytes())
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    counts = np.diff(np.searchsorted(starts, begins))
+    ends = np.cumsum(sizes + 1) - 1  # of the words, in data
+    some = np.flatnonzero(counts)
+    first, n = (np.cumsum(counts) - counts)[some], np.maximum(counts[some] - shingle + 1, 1)
+    reach, before = np.minimum(counts[some], shingle) - 1, np.cumsum(n) - n
+    ones = np.zeros((len(some), 64), np.int64)
+    for k in range(0, int(n.sum()), MANY):
+        number = np.arange(k, min(k + MANY, int(n.sum())))
+        owner = np.searchsorted(before, number, "right") - 1
+        at = first[owner] + number - before[owner]
+        hashes = xxh64(data, ends[at] - sizes[at], ends[at + reach[owner]], seed)
+        # Bits are counted in bytes, eight of them in a word, over runs of at most 255 shingles of one text.
+        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        place = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+        runs = np.flatnonzero(place % 255 == 0)
+        counted = np.empty((len(runs), 8, 8), np.uint8)
+        for bit in range(8):
+            counted[:, :, bit] = np.add.reduceat((hashes >> np.uint64(bit)) & _LOWEST, runs).view(np.uint8).reshape(-1, 8)
+        np.add.at(ones, owner[runs], counted.reshape(-1, 64))
+    out = np.zeros(len(texts), np.uint64)
+    out[some] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,9 +79,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            found = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = [prints(texts) for _, texts in text_groups(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(step, f"id {kind}, fp long")
@@ -209,7 +226,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     @F.pandas_udf("long")
     def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([0 if t is None else fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64))
+        found = [prints(group) for _, group in text_groups(pa.array(texts, pa.string()))]
+        return pd.Series(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
     # Own columns go by number: no name of theirs can meet one of ours.
     names = {c: {"doc_id": "id", "text": "text"}.get(c, f"own{i}") for i, c in enumerate(docs.columns)}
