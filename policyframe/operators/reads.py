@@ -153,7 +153,23 @@ class Reader:
             df = df.limit(abs(take)) if take is not None else df
         return df
 
-    def find_many(self, name: str, *, where: Condition = ALL, order_by: tuple = (), cursor: dict | None = None, skip: int = 0, take: int | None = None, distinct: tuple[str, ...] = (), select: tuple[str, ...] | None = None, omit: tuple[str, ...] = (), include: dict[str, Args] | None = None, count: dict[str, Condition] | None = None, ordinal: str | None = None, relations: dict[str, Args] | None = None) -> DataFrame:
+    def find_many(
+        self,
+        name: str,
+        *,
+        where: Condition = ALL,
+        order_by: tuple = (),
+        cursor: dict | None = None,
+        skip: int = 0,
+        take: int | None = None,
+        distinct: tuple[str, ...] = (),
+        select: tuple[str, ...] | None = None,
+        omit: tuple[str, ...] = (),
+        include: dict[str, Args] | None = None,
+        count: dict[str, Condition] | None = None,
+        ordinal: str | None = None,
+        relations: dict[str, Args] | None = None,
+    ) -> DataFrame:
         """Rows of a model. `include` adds relations to all fields, `relations` to those of `select`. A negative take is the last rows in the asked order. `ordinal` names a column with each row's
         place; without it and without an order, rows come in no order, and nothing is sorted. Rows are sorted last, after
         masks, relations and counts are joined. Relations of a page with a take are loaded for its rows alone."""

@@ -147,7 +147,11 @@ class Rel:
 
 
 _WORDS = {"equals": "eq", "not": "ne", "in": "in", "notIn": "not_in", "lt": "lt", "lte": "lte", "gt": "gt", "gte": "gte", "contains": "contains", "startsWith": "starts_with", "endsWith": "ends_with", "has": "has", "hasEvery": "has_every", "hasSome": "has_some", "isEmpty": "is_empty"}
-_JSON_WORDS = {"equals": "json_eq", "not": "json_ne", "lt": "json_lt", "lte": "json_lte", "gt": "json_gt", "gte": "json_gte", "string_contains": "string_contains", "string_starts_with": "string_starts_with", "string_ends_with": "string_ends_with", "array_contains": "array_contains", "array_starts_with": "array_starts_with", "array_ends_with": "array_ends_with"}
+_JSON_WORDS = {
+    "equals": "json_eq", "not": "json_ne", "lt": "json_lt", "lte": "json_lte",
+    "gt": "json_gt", "gte": "json_gte", "string_contains": "string_contains", "string_starts_with": "string_starts_with",
+    "string_ends_with": "string_ends_with", "array_contains": "array_contains", "array_starts_with": "array_starts_with", "array_ends_with": "array_ends_with",
+}
 _STEP = re.compile(r'\.(?:"([^"]*)"|([^.\["]+))|\[(\d+)\]')
 _REL_WORDS = {"is": "is", "isNot": "is_not", "some": "some", "every": "every", "none": "none"}
 

@@ -131,7 +131,11 @@ def _(a: Analyst) -> DataFrame:
     return a.find_many("Order", where=c, select=KEY)
 
 
-@query("where_dict_json", f"SELECT event_id FROM events WHERE {TYPE_X} = 'VARCHAR' AND contains({DOC} ->> '$.x', 'ic') OR {TYPE_X} = 'NULL' OR CAST({DOC} ->> '$.tags[2].a' AS DOUBLE) = 1 AND event_id % 3 = 2")
+@query(
+    "where_dict_json",
+    f"SELECT event_id FROM events WHERE {TYPE_X} = 'VARCHAR' AND contains({DOC} ->> '$.x', 'ic') OR {TYPE_X} = 'NULL' OR CAST({DOC} ->> "
+    "'$.tags[2].a' AS DOUBLE) = 1 AND event_id % 3 = 2",
+)
 def _(a: Analyst) -> DataFrame:
     either = [{"doc": {"path": "$.x", "string_contains": "IC", "mode": "insensitive"}}, {"doc": {"path": ["x"], "equals": None}}, {"doc": {"path": "$.tags[2].a", "equals": 1}, "AND": [{"doc": {"path": ["tags", "0"], "equals": 2}}]}]
     return a.find_many("Event", where=from_dict({"OR": either}, a.catalog.model("Event"), a.catalog), select=("event_id",))
@@ -141,13 +145,41 @@ def _(a: Analyst) -> DataFrame:
 PAGE = "row_number() OVER (ORDER BY {0}) AS ordinal FROM (SELECT * FROM {1} ORDER BY {0} LIMIT {2} OFFSET {3})"
 find("find_unique_key", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7", "Order", where=f("o_orderkey").eq(7), select=("o_orderkey", "o_orderstatus"))
 find("find_first", f"SELECT o_orderkey, {PAGE.format(f'{TOTAL} DESC, o_orderkey', 'orders', 1, 0)}", "Order", order_by=(("o_totalprice", "desc"),), take=1, select=KEY, ordinal="ordinal")
-find("order_nulls", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM customer", "Customer", order_by=("rich",), select=("c_custkey",), ordinal="ordinal")
-find("order_nulls_last", f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS LAST, c_custkey) AS ordinal FROM customer", "Customer", order_by=(("rich", "asc", "last"),), select=("c_custkey",), ordinal="ordinal")
+find(
+    "order_nulls",
+    f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS FIRST, c_custkey) AS ordinal FROM customer",
+    "Customer", order_by=("rich",), select=("c_custkey",), ordinal="ordinal",
+)
+find(
+    "order_nulls_last",
+    f"SELECT c_custkey, row_number() OVER (ORDER BY {RICH} NULLS LAST, c_custkey) AS ordinal FROM customer",
+    "Customer", order_by=(("rich", "asc", "last"),), select=("c_custkey",), ordinal="ordinal",
+)
 find("take_skip", f"SELECT o_orderkey, {PAGE.format('o_orderdate, o_orderkey', 'orders', 20, 30)}", "Order", order_by=("o_orderdate",), skip=30, take=20, select=KEY, ordinal="ordinal")
-find("take_negative", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 15)", "Order", order_by=("o_orderdate",), take=-15, select=KEY, ordinal="ordinal")
-find("cursor_inclusive", f"WITH a AS (SELECT {TOTAL} AS p, o_orderkey AS k FROM orders WHERE o_orderkey = 100) SELECT o_orderkey, row_number() OVER (ORDER BY t DESC, o_orderkey) AS ordinal FROM (SELECT o_orderkey, {TOTAL} AS t FROM orders, a WHERE {TOTAL} < p OR ({TOTAL} = p AND o_orderkey >= k) ORDER BY t DESC, o_orderkey LIMIT 25)", "Order", order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, take=25, select=KEY, ordinal="ordinal")
-find("cursor_skip", "SELECT conv_id, turn FROM (SELECT * FROM conversations WHERE (conv_id, turn) >= (5, 0) ORDER BY conv_id, turn LIMIT 10 OFFSET 1)", "Turn", cursor={"conv_id": 5, "turn": 0}, skip=1, take=10, select=("conv_id", "turn"))
-find("distinct_on", f"SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) AS n FROM orders) WHERE n = 1", "Order", order_by=(("o_totalprice", "desc"),), distinct=("o_custkey",), select=("o_orderkey", "o_custkey"))
+find(
+    "take_negative",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal FROM (SELECT * FROM orders ORDER BY "
+    "o_orderdate DESC, o_orderkey DESC LIMIT 15)",
+    "Order", order_by=("o_orderdate",), take=-15, select=KEY, ordinal="ordinal",
+)
+find(
+    "cursor_inclusive",
+    f"WITH a AS (SELECT {TOTAL} AS p, o_orderkey AS k FROM orders WHERE o_orderkey = 100) SELECT o_orderkey, row_number() OVER (ORDER "
+    f"BY t DESC, o_orderkey) AS ordinal FROM (SELECT o_orderkey, {TOTAL} AS t FROM orders, a WHERE {TOTAL} < p OR ({TOTAL} = p AND "
+    "o_orderkey >= k) ORDER BY t DESC, o_orderkey LIMIT 25)",
+    "Order", order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, take=25, select=KEY, ordinal="ordinal",
+)
+find(
+    "cursor_skip",
+    "SELECT conv_id, turn FROM (SELECT * FROM conversations WHERE (conv_id, turn) >= (5, 0) ORDER BY conv_id, turn LIMIT 10 OFFSET 1)",
+    "Turn", cursor={"conv_id": 5, "turn": 0}, skip=1, take=10, select=("conv_id", "turn"),
+)
+find(
+    "distinct_on",
+    f"SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) AS n "
+    "FROM orders) WHERE n = 1",
+    "Order", order_by=(("o_totalprice", "desc"),), distinct=("o_custkey",), select=("o_orderkey", "o_custkey"),
+)
 find("select_omit", f"SELECT c_custkey, c_name, c_nationkey, {BALANCE} AS c_acctbal, c_mktsegment FROM customer", "Customer", omit=("rich",))
 
 
@@ -174,31 +206,53 @@ def _rows(df: DataFrame, key: str, relation: str, *fields: str) -> DataFrame:
     return df.select(key, F.posexplode_outer(relation).alias("place", "o")).select(key, "place", *[F.col(f"o.{x}").alias(x) for x in fields])
 
 
-@query("rel_nested_page", f"SELECT c_custkey, CAST(n - 2 AS INTEGER) AS place, o_orderkey, {TOTAL} AS o_totalprice FROM customer LEFT JOIN {_ORDERS} ON o_custkey = c_custkey AND n > 1 AND n <= 4")
+@query(
+    "rel_nested_page",
+    f"SELECT c_custkey, CAST(n - 2 AS INTEGER) AS place, o_orderkey, {TOTAL} AS o_totalprice FROM customer LEFT JOIN {_ORDERS} ON "
+    "o_custkey = c_custkey AND n > 1 AND n <= 4",
+)
 def _(a: Analyst) -> DataFrame:
     args = Args(order_by=(("o_totalprice", "desc"),), skip=1, take=3, select=("o_orderkey", "o_totalprice"))
     return _rows(a.find_many("Customer", include={"orders": args}), "c_custkey", "orders", "o_orderkey", "o_totalprice")
 
 
-@query("rel_page_children", f"SELECT c_custkey, CAST(n - 1 AS INTEGER) AS place, o_orderkey FROM (SELECT * FROM customer ORDER BY {BALANCE} DESC, c_custkey LIMIT 20) LEFT JOIN {_ORDERS} ON o_custkey = c_custkey AND n <= 5")
+@query(
+    "rel_page_children",
+    f"SELECT c_custkey, CAST(n - 1 AS INTEGER) AS place, o_orderkey FROM (SELECT * FROM customer ORDER BY {BALANCE} DESC, c_custkey "
+    f"LIMIT 20) LEFT JOIN {_ORDERS} ON o_custkey = c_custkey AND n <= 5",
+)
 def _(a: Analyst) -> DataFrame:
     args = Args(order_by=(("o_totalprice", "desc"),), take=5, select=KEY)
     return _rows(a.find_many("Customer", order_by=(("c_acctbal", "desc"),), take=20, include={"orders": args}), "c_custkey", "orders", "o_orderkey")
 
 
-@query("rel_nested_last", f"SELECT c_custkey, CAST(k - n AS INTEGER) AS place, o_orderkey FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, least(3, count(*) OVER (PARTITION BY o_custkey)) AS k FROM orders) ON o_custkey = c_custkey AND n <= 3")
+@query(
+    "rel_nested_last",
+    "SELECT c_custkey, CAST(k - n AS INTEGER) AS place, o_orderkey FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY "
+    "o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, least(3, count(*) OVER (PARTITION BY o_custkey)) AS k FROM orders) ON "
+    "o_custkey = c_custkey AND n <= 3",
+)
 def _(a: Analyst) -> DataFrame:
     out = a.find_many("Customer", include={"orders": Args(order_by=("o_orderdate",), take=-3, select=KEY)})
     return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
 
 
-@query("rel_nested_cursor", f"WITH c AS (SELECT {TOTAL} AS p FROM orders WHERE o_orderkey = 100) SELECT o_custkey AS c_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM orders, c WHERE {TOTAL} < p OR ({TOTAL} = p AND o_orderkey >= 100)")
+@query(
+    "rel_nested_cursor",
+    f"WITH c AS (SELECT {TOTAL} AS p FROM orders WHERE o_orderkey = 100) SELECT o_custkey AS c_custkey, CAST(row_number() OVER "
+    f"(PARTITION BY o_custkey ORDER BY {TOTAL} DESC, o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM orders, c WHERE {TOTAL} < p "
+    f"OR ({TOTAL} = p AND o_orderkey >= 100)",
+)
 def _(a: Analyst) -> DataFrame:
     out = a.find_many("Customer", include={"orders": Args(order_by=(("o_totalprice", "desc"),), cursor={"o_orderkey": 100}, select=KEY)})
     return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
 
 
-@query("rel_nested_distinct", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM customer JOIN (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON o_custkey = c_custkey")
+@query(
+    "rel_nested_distinct",
+    "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderkey FROM "
+    "customer JOIN (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON o_custkey = c_custkey",
+)
 def _(a: Analyst) -> DataFrame:
     out = a.find_many("Customer", include={"orders": Args(distinct=("o_orderstatus",), select=KEY)})
     return _rows(out, "c_custkey", "orders", "o_orderkey").filter("place is not null")
@@ -216,12 +270,20 @@ def _(a: Analyst) -> DataFrame:
     return a.find_many("Customer", select=("c_custkey",), count={"orders": f("o_orderstatus").eq("F")})
 
 
-@query("order_by_relation", "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query(
+    "order_by_relation",
+    "SELECT o_orderkey, c_name AS by, row_number() OVER (ORDER BY c_name DESC, o_orderkey) AS ordinal FROM orders LEFT JOIN customer "
+    "ON o_custkey = c_custkey",
+)
 def _(a: Analyst) -> DataFrame:
     return a.order_by_relation("Order", "customer", "c_name", True)
 
 
-@query("order_by_count", "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+@query(
+    "order_by_count",
+    "SELECT c_custkey, n AS by, row_number() OVER (ORDER BY n DESC, c_custkey) AS ordinal FROM (SELECT c_custkey, count(o_orderkey) AS "
+    "n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)",
+)
 def _(a: Analyst) -> DataFrame:
     return a.order_by_relation("Customer", "orders", "_count", True)
 
@@ -229,10 +291,26 @@ def _(a: Analyst) -> DataFrame:
 # --- policy ---------------------------------------------------------------------------------------------------------------
 _EUROPE = "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment <> 'BUILDING'"
 find("policy_row_constraint", f"SELECT c_custkey, c_mktsegment {_EUROPE}", "Customer", EUROPE_NOT_BUILDING, select=("c_custkey", "c_mktsegment"))
-find("policy_deny_override", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 OR c_mktsegment <> 'BUILDING'", "Customer", Policies(OPEN | {"Customer": Rules().can("read").cannot("read", f("c_mktsegment").eq("BUILDING")).can("read", f("c_mktsegment").eq("BUILDING") & f("c_acctbal").gt(0))}), select=("c_custkey",))
-find("policy_field_mask", f"SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN {BALANCE} END AS c_acctbal FROM customer", "Customer", BALANCE_OF_AUTOMOBILE, select=("c_custkey", "c_acctbal"))
-find("policy_relation_mask", f"SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN {BALANCE} END AS c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey", "Customer", BALANCE_BY_REGION, select=("c_custkey", "c_acctbal"))
-find("policy_hop_expansion", f"SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey {_EUROPE})", "Order", EUROPE_NOT_BUILDING, where=r("customer").is_null(), select=KEY)
+find(
+    "policy_deny_override",
+    "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 OR c_mktsegment <> 'BUILDING'",
+    "Customer", Policies(OPEN | {"Customer": Rules().can("read").cannot("read", f("c_mktsegment").eq("BUILDING")).can("read", f("c_mktsegment").eq("BUILDING") & f("c_acctbal").gt(0))}), select=("c_custkey",),
+)
+find(
+    "policy_field_mask",
+    f"SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN {BALANCE} END AS c_acctbal FROM customer",
+    "Customer", BALANCE_OF_AUTOMOBILE, select=("c_custkey", "c_acctbal"),
+)
+find(
+    "policy_relation_mask",
+    f"SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN {BALANCE} END AS c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "Customer", BALANCE_BY_REGION, select=("c_custkey", "c_acctbal"),
+)
+find(
+    "policy_hop_expansion",
+    f"SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey {_EUROPE})",
+    "Order", EUROPE_NOT_BUILDING, where=r("customer").is_null(), select=KEY,
+)
 
 
 @query("policy_discharged_aggregate", f"SELECT sum({BALANCE}) AS total, count(*) AS n FROM customer WHERE c_mktsegment = 'AUTOMOBILE'")
@@ -244,7 +322,11 @@ def _(a: Analyst) -> DataFrame:
 ORDERS_OF_BUILDING = Policies(OPEN | {"Customer": Rules().can("read").cannot("read", ALL, ("orders",)).can("read", f("c_mktsegment").eq("BUILDING"), ("orders",))})
 
 
-@query("policy_masked_relation", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN count(o_orderkey) END AS loaded, CASE WHEN c_mktsegment = 'BUILDING' THEN count(o_orderkey) END AS counted FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment")
+@query(
+    "policy_masked_relation",
+    "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN count(o_orderkey) END AS loaded, CASE WHEN c_mktsegment = 'BUILDING' "
+    "THEN count(o_orderkey) END AS counted FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment",
+)
 def _(a: Analyst) -> DataFrame:
     mine = Analyst(a.catalog, ORDERS_OF_BUILDING)
     out = mine.find_many("Customer", include={"orders": Args(select=KEY)}, count=None)
@@ -291,7 +373,11 @@ def _(a: Analyst) -> DataFrame:
     return out.withColumns({"total": F.round("total", 6), "mean": F.round("mean", 9)})  # sums of doubles have no one order
 
 
-@query("agg_page", f"SELECT count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total, min({TOTAL}) AS low FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 50 OFFSET 10)")
+@query(
+    "agg_page",
+    f"SELECT count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total, min({TOTAL}) AS low FROM (SELECT * FROM orders WHERE "
+    f"o_orderstatus = 'F' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 50 OFFSET 10)",
+)
 def _(a: Analyst) -> DataFrame:
     measures = [count_all(), sum_("o_totalprice", "total"), min_("o_totalprice", "low")]
     return a.aggregate("Order", measures, f("o_orderstatus").eq("F"), order_by=(("o_totalprice", "desc"),), skip=10, take=50)
@@ -302,7 +388,11 @@ def _(a: Analyst) -> DataFrame:
     return a.aggregate("Order", [count_all(), max_("o_totalprice", "high")], cursor={"o_orderkey": 100}, take=40)
 
 
-@query("group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS price FROM lineitem GROUP BY ALL")
+@query(
+    "group_by",
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS quantity, "
+    "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS price FROM lineitem GROUP BY ALL",
+)
 def _(a: Analyst) -> DataFrame:
     return a.group_by("Lineitem", {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}, [count_all(), sum_("l_quantity", "quantity"), sum_("l_extendedprice", "price")])
 
@@ -322,7 +412,11 @@ def _(a: Analyst) -> DataFrame:
     return a.group_by("Customer", {"c_nationkey": "c_nationkey"}, [count_all(), min_("c_name", "_low")], having=x.out("_low").contains("1"))
 
 
-@query("group_having_tree", f"SELECT c_nationkey, max(c_name) AS high, count({RICH}) AS rich FROM customer GROUP BY 1 HAVING (contains(lower(max(c_name)), 'r#') AND count({RICH}) BETWEEN 5 AND 30 OR c_nationkey IN (1, 2)) AND NOT (count(*) = 50) AND max(c_acctbal) IS NOT NULL")
+@query(
+    "group_having_tree",
+    f"SELECT c_nationkey, max(c_name) AS high, count({RICH}) AS rich FROM customer GROUP BY 1 HAVING (contains(lower(max(c_name)), "
+    f"'r#') AND count({RICH}) BETWEEN 5 AND 30 OR c_nationkey IN (1, 2)) AND NOT (count(*) = 50) AND max(c_acctbal) IS NOT NULL",
+)
 def _(a: Analyst) -> DataFrame:
     n, high = x.out("_n"), x.out("high")
     having = ((high.contains("R#", fold=True) & x.out("rich").between(5, 30)) | x.out("c_nationkey").in_(1, 2)) & ~n.eq(50) & x.out("_top").is_not_null()
@@ -330,12 +424,20 @@ def _(a: Analyst) -> DataFrame:
     return a.group_by("Customer", {"c_nationkey": "c_nationkey"}, measures, having=having)
 
 
-@query("group_order_page", "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5)")
+@query(
+    "group_order_page",
+    "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders "
+    "GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5)",
+)
 def _(a: Analyst) -> DataFrame:
     return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], order_by=(("n", "desc"),), skip=5, take=10)
 
 
-@query("group_negative_take", "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n, o_custkey DESC LIMIT 10)")
+@query(
+    "group_negative_take",
+    "SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders "
+    "GROUP BY 1 ORDER BY n, o_custkey DESC LIMIT 10)",
+)
 def _(a: Analyst) -> DataFrame:
     return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], order_by=(("n", "desc"),), take=-10)
 
@@ -348,12 +450,20 @@ def _(a: Analyst) -> DataFrame:
     return a.group_by("Customer", {"nation": ("nation", "n_name")}, [count_all(), sum_("c_acctbal", "total")])
 
 
-@query("relation_group_by_two_hops", f"SELECT r_name AS region, o_orderstatus AS status, count(*) AS n, max({TOTAL}) AS high FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+@query(
+    "relation_group_by_two_hops",
+    f"SELECT r_name AS region, o_orderstatus AS status, count(*) AS n, max({TOTAL}) AS high FROM orders JOIN customer ON o_custkey = "
+    "c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
+)
 def _(a: Analyst) -> DataFrame:
     return a.group_by("Order", {"region": ("customer", "nation", "region", "r_name"), "status": "o_orderstatus"}, [count_all(), max_("o_totalprice", "high")])
 
 
-@query("relation_group_two_phase", f"SELECT segment, n, total, {HALF_UP} AS mean FROM (SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(38,2)) AS total, sum(CAST({TOTAL} * 100 AS HUGEINT)) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
+@query(
+    "relation_group_two_phase",
+    f"SELECT segment, n, total, {HALF_UP} AS mean FROM (SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS "
+    f"DECIMAL(38,2)) AS total, sum(CAST({TOTAL} * 100 AS HUGEINT)) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)",
+)
 def _(a: Analyst) -> DataFrame:
     out = a.relation_group_two_phase("Order", "customer", ("segment", "c_mktsegment"), [count_all(), sum_("o_totalprice", "total"), avg_("o_totalprice", "mean")])
     return out.select("segment", "n", F.col("total").cast("decimal(38,2)").alias("total"), "mean")
@@ -383,7 +493,11 @@ def _(a: Analyst) -> DataFrame:
     return q.select(c_custkey=x.field("c", "c_custkey"), o_orderkey=x.field("o", "o_orderkey")).frame()
 
 
-@query("scoped_group_having", f"SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 2950")
+@query(
+    "scoped_group_having",
+    f"SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum({TOTAL}) AS DECIMAL(28,2)) AS total FROM orders JOIN customer ON "
+    "o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 2950",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Order", "o").join("inner", "o", "customer", "c").group_by(segment=x.field("c", "c_mktsegment"))
     return q.select(n=x.count(), total=x.sum_(x.field("o", "o_totalprice"))).having(x.out("n").gt(2950)).frame()
@@ -407,13 +521,21 @@ def _(a: Analyst) -> DataFrame:
     return ScopedQuery.of(a, "Order", "o").group_by(band=band, year=x.call("year", x.field("o", "o_orderdate"))).select(n=x.count()).frame()
 
 
-@query("scoped_window_key_group", f"WITH w AS (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS k, {TOTAL} AS t FROM orders) SELECT k, count(*) AS n, max(t) AS high FROM w GROUP BY k")
+@query(
+    "scoped_window_key_group",
+    f"WITH w AS (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS k, {TOTAL} AS t FROM orders) SELECT k, count(*) AS n, "
+    "max(t) AS high FROM w GROUP BY k",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Order", "o").select(k=x.count().over((x.field("o", "o_custkey"),)), t=x.field("o", "o_totalprice"))
     return q.step("w").group_by(k=x.field("w", "k")).select(n=x.count(), high=x.max_(x.field("w", "t"))).frame()
 
 
-@query("scoped_cte_pipeline", f"WITH per AS (SELECT o_custkey AS k, count(*) AS n, max({TOTAL}) AS high FROM orders GROUP BY 1), first AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY high DESC, k) AS place FROM per) SELECT n, k, high FROM first WHERE place = 1")
+@query(
+    "scoped_cte_pipeline",
+    f"WITH per AS (SELECT o_custkey AS k, count(*) AS n, max({TOTAL}) AS high FROM orders GROUP BY 1), first AS (SELECT *, row_number() "
+    "OVER (PARTITION BY n ORDER BY high DESC, k) AS place FROM per) SELECT n, k, high FROM first WHERE place = 1",
+)
 def _(a: Analyst) -> DataFrame:
     k, n, high = (x.field("per", c) for c in ("k", "n", "high"))
     q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(n=x.count(), high=x.max_(x.field("o", "o_totalprice")))
@@ -421,7 +543,11 @@ def _(a: Analyst) -> DataFrame:
     return q.where(x.field("first", "place").eq(1)).select(**{c: x.field("first", c) for c in ("n", "k", "high")}).frame()
 
 
-@query("scoped_cte_join", f"WITH per AS (SELECT o_custkey AS k, o_orderstatus AS s, sum({TOTAL}) AS total FROM orders GROUP BY 1, 2), top AS (SELECT k, max(total) AS most FROM per GROUP BY 1) SELECT per.k, per.s FROM per JOIN top ON per.k = top.k AND per.total = top.most")
+@query(
+    "scoped_cte_join",
+    f"WITH per AS (SELECT o_custkey AS k, o_orderstatus AS s, sum({TOTAL}) AS total FROM orders GROUP BY 1, 2), top AS (SELECT k, "
+    "max(total) AS most FROM per GROUP BY 1) SELECT per.k, per.s FROM per JOIN top ON per.k = top.k AND per.total = top.most",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey"), s=x.field("o", "o_orderstatus")).select(total=x.sum_(x.field("o", "o_totalprice"))).step("per")
     q = q.group_by(k=x.field("per", "k")).select(most=x.max_(x.field("per", "total"))).step("top").from_step("per")
@@ -429,7 +555,11 @@ def _(a: Analyst) -> DataFrame:
     return q.select(k=x.field("per", "k"), s=x.field("per", "s")).frame()
 
 
-@query("scoped_cross_normaliser", f"WITH per AS (SELECT o_custkey AS k, sum({TOTAL}) AS total FROM orders GROUP BY 1), top AS (SELECT max(total) AS most FROM per) SELECT k, round(CAST(total AS DOUBLE) / CAST(most AS DOUBLE), 9) AS share FROM per CROSS JOIN top")
+@query(
+    "scoped_cross_normaliser",
+    f"WITH per AS (SELECT o_custkey AS k, sum({TOTAL}) AS total FROM orders GROUP BY 1), top AS (SELECT max(total) AS most FROM per) "
+    "SELECT k, round(CAST(total AS DOUBLE) / CAST(most AS DOUBLE), 9) AS share FROM per CROSS JOIN top",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(total=x.sum_(x.field("o", "o_totalprice"))).step("per")
     q = q.select(most=x.max_(x.field("per", "total"))).step("top").from_step("per").cross_step("top", "t")
@@ -443,14 +573,22 @@ def _(a: Analyst) -> DataFrame:
     return q.step("per").where(x.field("per", "n").between(3, 8)).select(o_custkey=x.field("per", "o_custkey"), n=x.field("per", "n")).frame()
 
 
-@query("scoped_exists", f"SELECT c_custkey FROM customer WHERE EXISTS (FROM orders WHERE o_custkey = c_custkey AND {TOTAL} > 200000) AND NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+@query(
+    "scoped_exists",
+    f"SELECT c_custkey FROM customer WHERE EXISTS (FROM orders WHERE o_custkey = c_custkey AND {TOTAL} > 200000) AND NOT EXISTS (FROM "
+    "orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
+)
 def _(a: Analyst) -> DataFrame:
     on = [(x.field("c", "c_custkey"), "o_custkey")]
     q = ScopedQuery.of(a, "Customer", "c").exists("Order", on, f("o_totalprice").gt(200000)).exists("Order", on, f("o_orderstatus").eq("P"), negate=True)
     return q.select(c_custkey=x.field("c", "c_custkey")).frame()
 
 
-@query("scoped_exists_step", "WITH busy AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12) SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT k FROM busy)")
+@query(
+    "scoped_exists_step",
+    "WITH busy AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12) SELECT c_custkey FROM customer "
+    "WHERE c_custkey IN (SELECT k FROM busy)",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Order", "o").group_by(k=x.field("o", "o_custkey")).select(n=x.count()).having(x.out("n").gt(12)).step("busy")
     q = q.root("Customer", "c").exists_step("busy", [(x.field("c", "c_custkey"), "k")])
@@ -485,7 +623,12 @@ def _(a: Analyst) -> DataFrame:
     return q.select(u=z("u"), t=z("t"), n=z("n"), normal=normal).frame()
 
 
-@query("scoped_scalars", f"SELECT c_custkey, lower(c_mktsegment) || '/' || length(c_name) AS label, abs({BALANCE}) AS size, CASE WHEN {RICH} IS NULL THEN NULL ELSE {BALANCE} END AS strict, {BALANCE} AS loose, CAST(coalesce({RICH}, 0) AS DECIMAL(18,2)) AS filled, nullif(c_nationkey, 3) AS nation FROM customer")
+@query(
+    "scoped_scalars",
+    f"SELECT c_custkey, lower(c_mktsegment) || '/' || length(c_name) AS label, abs({BALANCE}) AS size, CASE WHEN {RICH} IS NULL THEN "
+    f"NULL ELSE {BALANCE} END AS strict, {BALANCE} AS loose, CAST(coalesce({RICH}, 0) AS DECIMAL(18,2)) AS filled, nullif(c_nationkey, "
+    "3) AS nation FROM customer",
+)
 def _(a: Analyst) -> DataFrame:
     c = lambda name: x.field("c", name)
     label = x.call("concat", x.call("lower", c("c_mktsegment")), "/", x.call("length", c("c_name")).cast("string"))
@@ -510,7 +653,11 @@ query("semantic_rank_topk", _RANK.format(""))(_ranked)
 query("semantic_rank_authorised", _RANK.format(" WHERE label <> 3"))(lambda a: _ranked(Analyst(a.catalog, Policies(OPEN | {"Vector": Rules().can("read").cannot("read", f("label").eq(3))}))))
 
 
-@query("semantic_refresh_dirty", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 7 = 1 THEN 'embed' END AS action FROM documents WHERE doc_id % 7 <= 1 UNION ALL SELECT -1, 'delete'")
+@query(
+    "semantic_refresh_dirty",
+    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 7 = 1 THEN 'embed' END AS action FROM documents WHERE doc_id % 7 <= 1 UNION "
+    "ALL SELECT -1, 'delete'",
+)
 def _(a: Analyst) -> DataFrame:
     docs = a.catalog.rows("Document")
     h = semantic.document_hash(["lang", "text"])
@@ -519,7 +666,13 @@ def _(a: Analyst) -> DataFrame:
     return semantic.refresh(docs, "doc_id", ["lang", "text"], known)
 
 
-@query("semantic_search", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT doc_id, lang, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS distance FROM documents JOIN embeddings ON vec_id = doc_id, q WHERE lang = 'en' ORDER BY distance, doc_id LIMIT 10")
+@query(
+    "semantic_search",
+    "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT doc_id, lang, round(1 - "
+    "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * "
+    "sqrt(list_dot_product(q, q))), 9) AS distance FROM documents JOIN embeddings ON vec_id = doc_id, q WHERE lang = 'en' ORDER BY "
+    "distance, doc_id LIMIT 10",
+)
 def _(a: Analyst) -> DataFrame:
     vectors = a.catalog.rows("Vector").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     query = a.catalog.rows("Vector").filter("vec_id = 0").first()["embedding"]
@@ -540,7 +693,11 @@ def _(a: Analyst) -> DataFrame:
 
 
 # --- front end ------------------------------------------------------------------------------------------------------------
-@query("graphql_find_many", f"SELECT o_orderkey AS key, {TOTAL} AS price, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_mktsegment = 'BUILDING' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 25 OFFSET 5")
+@query(
+    "graphql_find_many",
+    f"SELECT o_orderkey AS key, {TOTAL} AS price, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE "
+    f"o_orderstatus = 'O' AND c_mktsegment = 'BUILDING' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 25 OFFSET 5",
+)
 def _(a: Analyst) -> DataFrame:
     document = """query Open($segment: String!, $n: Int = 25) {
       orders(where: {o_orderstatus: "O", customer: {is: {c_mktsegment: {equals: $segment}}}}, orderBy: [{o_totalprice: desc}], skip: 5, take: $n) { key: o_orderkey price: o_totalprice ...who }
@@ -549,7 +706,12 @@ def _(a: Analyst) -> DataFrame:
     return out.select("key", "price", F.col("customer.c_name").alias("customer"))
 
 
-@query("graphql_aliases", "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, count(o_orderkey) AS every FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query(
+    "graphql_aliases",
+    "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, "
+    "count(o_orderkey) AS every FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50) LEFT JOIN orders ON o_custkey = c_custkey "
+    "GROUP BY 1",
+)
 def _(a: Analyst) -> DataFrame:
     document = '{ customers(orderBy: [{c_custkey: asc}], take: 50) { c_custkey opened: orders(where: {o_orderstatus: "O"}) { o_orderkey } closed: orders(where: {o_orderstatus: "F"}) { o_orderkey } _count { orders } } }'
     out = graphql.execute(a, document)["customers"]
@@ -562,7 +724,11 @@ def _(a: Analyst) -> DataFrame:
     return out.select("n", F.col("_sum.o_totalprice").alias("total"), F.col("_max.o_totalprice").alias("high"))
 
 
-@query("graphql_group_by", f"SELECT n_name, o_orderstatus, count(*) AS n, min({TOTAL}) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(*) > 100 AND NOT max({TOTAL}) < 1000")
+@query(
+    "graphql_group_by",
+    f"SELECT n_name, o_orderstatus, count(*) AS n, min({TOTAL}) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation "
+    f"ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(*) > 100 AND NOT max({TOTAL}) < 1000",
+)
 def _(a: Analyst) -> DataFrame:
     document = '{ g: ordersGroupBy(by: ["customer.nation.n_name", "o_orderstatus"], having: {_count: {gt: 100}, NOT: {_max: {o_totalprice: {lt: 1000}}}}) { n_name o_orderstatus _count _min { o_totalprice } } }'
     return graphql.execute(a, document)["g"].select("n_name", "o_orderstatus", F.col("_count").alias("n"), F.col("_min.o_totalprice").alias("low"))
@@ -649,7 +815,11 @@ def _(a: Analyst) -> DataFrame:
 _IDENTITY = "'{\"n_nationkey\":' || n_nationkey || '}'"
 
 
-@query("unit_facts_in_order", f"SELECT 'Nation' AS model, 'updated' AS action, 0 AS ordinal, {_IDENTITY} AS identity FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Nation', 'deleted', 1, {_IDENTITY} FROM nation WHERE n_regionkey = 1")
+@query(
+    "unit_facts_in_order",
+    f"SELECT 'Nation' AS model, 'updated' AS action, 0 AS ordinal, {_IDENTITY} AS identity FROM nation WHERE n_regionkey = 1 UNION ALL "
+    f"SELECT 'Nation', 'deleted', 1, {_IDENTITY} FROM nation WHERE n_regionkey = 1",
+)
 def _(a: Analyst) -> DataFrame:
     u = _unit(a)
     u.update("Nation", f("n_regionkey").eq(1), n_name="concat(n_name, '!')")
@@ -672,7 +842,11 @@ def _(a: Analyst) -> DataFrame:
     return u.rows("Nation").select("n_nationkey", "n_regionkey")
 
 
-@query("nested_update_delete", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE NOT (n_regionkey = 2 AND n_nationkey > 15)")
+@query(
+    "nested_update_delete",
+    "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE NOT (n_regionkey = 2 "
+    "AND n_nationkey > 15)",
+)
 def _(a: Analyst) -> DataFrame:
     u = _unit(a)
     u.nested("Region", {"r_regionkey": 2}, "nations").update(ALL, n_name="lower(n_name)").delete(f("n_nationkey").gt(15))
@@ -700,7 +874,11 @@ def _(a: Analyst) -> DataFrame:
     return with_computed(a, "Customer", fields, select=("c_custkey", "label", "size"), where=f("c_acctbal").gt(0))
 
 
-@query("alias_occurrences", "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query(
+    "alias_occurrences",
+    "SELECT c_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed "
+    "FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+)
 def _(a: Analyst) -> DataFrame:
     loads = {s: ("orders", Args(where=f("o_orderstatus").eq(v), select=("o_orderkey",))) for s, v in (("opened", "O"), ("closed", "F"))}
     out = with_alias(a, "Customer", loads, select=("c_custkey",))
@@ -734,7 +912,11 @@ def _(a: Analyst) -> DataFrame:
     return claim(_outbox(a), "w", F.expr(_AT), 60).filter("state = 'claimed'").select("event_id")
 
 
-@query("outbox_settle", f"WITH c AS ({_FIRSTS}) SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN e IS NOT NULL AND event_id % 3 = 0 THEN 'delivered' ELSE 'waiting' END AS state, CASE WHEN e IS NOT NULL THEN 1 ELSE 0 END AS attempts FROM events LEFT JOIN c ON e = event_id")
+@query(
+    "outbox_settle",
+    f"WITH c AS ({_FIRSTS}) SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN e IS NOT NULL AND event_id % 3 = 0 THEN 'delivered' "
+    "ELSE 'waiting' END AS state, CASE WHEN e IS NOT NULL THEN 1 ELSE 0 END AS attempts FROM events LEFT JOIN c ON e = event_id",
+)
 def _(a: Analyst) -> DataFrame:
     held = claim(_outbox(a), "w", F.expr(_AT), 60)
     results = held.filter("state = 'claimed'").select("event_id", (F.col("ordinal") % 3 == 0).alias("sent"))
@@ -744,7 +926,12 @@ def _(a: Analyst) -> DataFrame:
 _OP = "CASE event_id % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'u' ELSE 'd' END"
 
 
-@query("cdc_facts", f"SELECT sha256('shop|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id || '|' || length(CAST(user_id AS VARCHAR)) || ':' || user_id || '|1:' || {_OP}) AS event_id, CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'deleted' END AS action, '{{\"id\":' || user_id || '}}' AS identity, event_id AS position FROM events")
+@query(
+    "cdc_facts",
+    "SELECT sha256('shop|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id || '|' || length(CAST(user_id AS VARCHAR)) || ':' "
+    f"|| user_id || '|1:' || {_OP}) AS event_id, CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'deleted' END AS "
+    f"action, '{{\"id\":' || user_id || '}}' AS identity, event_id AS position FROM events",
+)
 def _(a: Analyst) -> DataFrame:
     log = a.catalog.rows("Event").selectExpr("event_id AS lsn", "user_id AS id", "element_at(array('c', 'u', 'd'), CAST(event_id % 3 AS int) + 1) AS op")
     return from_changes(log.unionByName(log), "shop", position="lsn", key=["id"], op="op")
@@ -804,7 +991,12 @@ def _plan() -> migrate.Plan:
     return migrate.diff(before, _after(), {("nation", "n_name"): "label"}, {("nation", "grade"): "length(label) + n_regionkey"})
 
 
-@query("migration_plan", "SELECT * FROM (VALUES ('rename_column', 'nation', 'n_name', 'rewrite'), ('alter_column_type', 'nation', 'n_nationkey', 'rewrite'), ('add_column', 'nation', 'grade', 'rewrite'), ('backfill_column', 'nation', 'grade', 'rewrite')) AS t(kind, model, field, risk)")
+@query(
+    "migration_plan",
+    "SELECT * FROM (VALUES ('rename_column', 'nation', 'n_name', 'rewrite'), ('alter_column_type', 'nation', 'n_nationkey', "
+    "'rewrite'), ('add_column', 'nation', 'grade', 'rewrite'), ('backfill_column', 'nation', 'grade', 'rewrite')) AS t(kind, model, "
+    "field, risk)",
+)
 def _(a: Analyst) -> DataFrame:
     return a.catalog.spark.createDataFrame([(c.kind, c.table, c.column, c.risk) for c in _plan().changes], "kind string, model string, field string, risk string")
 
@@ -815,13 +1007,21 @@ def _(a: Analyst) -> DataFrame:
 
 
 # --- flagship -------------------------------------------------------------------------------------------------------------
-@query("flagship_open_orders", f"SELECT o_orderkey, {TOTAL} AS o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' ORDER BY {TOTAL} DESC, o_orderkey LIMIT 20")
+@query(
+    "flagship_open_orders",
+    f"SELECT o_orderkey, {TOTAL} AS o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' "
+    f"ORDER BY {TOTAL} DESC, o_orderkey LIMIT 20",
+)
 def _(a: Analyst) -> DataFrame:
     out = a.find_many("Order", where=f("o_orderstatus").eq("O"), order_by=(("o_totalprice", "desc"),), take=20, include={"customer": Args(select=("c_name",))})
     return out.select("o_orderkey", "o_totalprice", F.col("customer.c_name").alias("c_name"))
 
 
-@query("audit_revenue", "SELECT p_brand AS brand, year(l_shipdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DECIMAL(38,4)) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query(
+    "audit_revenue",
+    "SELECT p_brand AS brand, year(l_shipdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS "
+    "DECIMAL(18,2)))) AS DECIMAL(38,4)) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
+)
 def _(a: Analyst) -> DataFrame:
     q = ScopedQuery.of(a, "Lineitem", "l").join("inner", "l", "part", "p").group_by(brand=x.field("p", "p_brand"), year=x.call("year", x.field("l", "l_shipdate")))
     return q.select(revenue=x.sum_(x.field("l", "l_extendedprice") * (1 - x.field("l", "l_discount"))).cast("decimal(38,4)")).frame()
