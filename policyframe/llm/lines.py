@@ -40,6 +40,8 @@ FUZZY_WORDS = 5
 _REST, _AFTER = 1 << 62, 1 << 63
 #: (lines below, bits for the hash): a line number needs few bits in most texts; two bits name the row of this list.
 _SIZES = [(1 << 8, 52), (1 << 16, 44), (1 << 24, 36), (1 << 31, 29)]
+#: The bits of the hash that all of these have.
+_LAST = (1 << 29) - 1
 
 
 def _id(id_col: str, key: str) -> Column:
@@ -76,6 +78,15 @@ def _ref() -> Column:
     return (F.col("id") * F.lit(_REST).cast("decimal(19,0)") + out.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+def _place(ref: str) -> list[Column]:
+    """What a line's place tells: the id, the line's number, and the last bits of its text's hash."""
+    rest = f"CAST(pmod({ref}, CAST({_REST} AS decimal(38,0))) AS bigint)"
+    # What is left after the remainder is a multiple: the division is exact.
+    own = f"CAST(({ref} - pmod({ref}, CAST({_REST} AS decimal(38,0)))) / CAST({_REST} AS decimal(38,0)) AS decimal(20,0))"
+    line = f"CASE shiftrightunsigned({rest}, 60) " + " ".join(f"WHEN {k} THEN shiftrightunsigned({rest} & {(1 << 60) - 1}, {bits})" for k, (_, bits) in enumerate(_SIZES)) + " END"
+    return [F.expr(own).alias("id"), F.expr(f"CAST({line} AS int)").alias("line"), F.expr(f"{rest} & {_LAST}").alias("last")]
+
+
 def _halves() -> list[Column]:
     """For each size of the shorter line of a pair, the first and the last half of it."""
     out = []
@@ -119,14 +130,15 @@ def _verified(links: DataFrame, words: DataFrame) -> DataFrame:
 
 def _near(distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
     """(ref) of the distinct lines that an earlier one is one edit from."""
-    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", "id", "key", "line", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
+    long = distinct.filter(F.col("n") >= fuzzy_words).select("h1", "first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
     shared = long.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half")
-    chosen = long.join(cut(shared, "halves").hint("merge"), "half").select(F.col("first").alias("ref"), "id", "key", "line")
-    chosen = cut(chosen.dropDuplicates(["ref"]), "chosen")
+    chosen = cut(long.join(cut(shared, "halves").hint("merge"), "half").select(F.col("first").alias("ref")).distinct(), "chosen")
     # Words are read again for the chosen lines alone: texts meet lists of places.
-    places = chosen.groupBy("id", "key").agg(F.collect_list(F.struct("line", "ref")).alias("places"))
-    found = texts.join(cut(places, "places").hint("merge"), ["id", "key"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p"))
-    words = found.select("p.ref", _words(F.get("all", F.col("p.line"))).alias("words")).withColumn("n", F.size("words"))
+    places = chosen.select("ref", *_place("ref")).groupBy("id", "last").agg(F.collect_list(F.struct("line", "ref")).alias("places"))
+    found = texts.withColumn("last", F.col("key").bitwiseAND(F.lit(_LAST))).join(cut(places, "places").hint("merge"), ["id", "last"])
+    found = found.select("id", "key", F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p")).select("id", "key", "all", "p.line", "p.ref")
+    # Texts of one id may share the last bits; a place holds more of them.
+    words = found.filter(_ref() == F.col("ref")).select("ref", _words(F.get("all", F.col("line"))).alias("words")).withColumn("n", F.size("words"))
     words = cut(words.dropDuplicates(["ref"]), "words")
 
     rows = _neighbourhood(words)
@@ -159,11 +171,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = _texts(docs, id_col, text_col)
     lines = _lines(texts)
     sized = lines.withColumn("n", F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    distinct = sized.select("h1", "h2", "n", "key", "line", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
-    own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")] + [F.min_by(c, "ref").alias(c) for c in ("key", "line")]
+    distinct = sized.select("h1", "h2", "n", _ref().alias("ref"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(), 1)])
+    own = [F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")]
     distinct = distinct.groupBy("h1", "h2").agg(F.min("ref").alias("first"), F.count("*").alias("times"), *own)
-    # What is left after the remainder is a multiple: the division is exact.
-    distinct = distinct.withColumn("id", F.expr(f"CAST((first - pmod(first, CAST({_REST} AS decimal(38,0)))) / CAST({_REST} AS decimal(38,0)) AS decimal(20,0))"))
     distinct = cut(distinct, "distinct")
     matter = distinct.select("h1", "h2", "first", "times")
     if edits:

@@ -407,3 +407,12 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
     assert kept == {i for i, _ in clean} | {500} | {i for i, _ in lined}
     ends = {r["doc_id"]: r["length"] for r in out.collect()}
     assert ends[500] == 1
+
+
+def test_places_of_lines_tell_what_they_are_made_of(spark):
+    rows = [(i, k, n) for i in (None, 0, -5, 2**63 - 1, -(2**63)) for k in (-1, 7, 2**62 + 5) for n in (0, 255, 256, 70_000, 2**24, 2**31 - 2)]
+    df = spark.createDataFrame(rows, "own long, key long, line int").select(lines._id("own", "key").alias("id"), "key", "line")
+    out = df.withColumn("ref", lines._ref()).select("id", "key", "line", "ref", F.struct(*lines._place("ref")).alias("p")).collect()
+    assert all((r["p"]["id"], r["p"]["line"], r["p"]["last"]) == (r["id"], r["line"], r["key"] & lines._LAST) for r in out)
+    assert len({r["ref"] for r in out}) == len(rows)
+    assert [r["ref"] for r in sorted(out, key=lambda r: (r["id"], r["line"], r["ref"]))] == sorted(r["ref"] for r in out)
