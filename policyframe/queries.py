@@ -55,6 +55,7 @@ def find(name: str, sql: str, model: str, policies: Policies | None = None, **re
 KEY = ("o_orderkey",)
 D2 = "CAST({} AS DECIMAL(18,2))"
 WORDS = "CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 5 = 0 THEN [] ELSE string_split(p_name, ' ') END"
+GRADE = "CASE WHEN event_id % 4 > 0 THEN event_id % 4 END"
 #: A JSON text of every kind of value: absent, null, texts, numbers with a fraction of zero, booleans, and a list with an object.
 DOC = """(CASE WHEN event_id % 11 = 0 THEN NULL ELSE '{"n":' || (event_id % 50) || CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"x":' ||
  CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN (event_id % 10) || '.0' ELSE 'true' END END ||
@@ -65,10 +66,10 @@ TOTAL, BALANCE, RICH = D2.format("o_totalprice"), D2.format("c_acctbal"), "CASE
 # --- predicates -----------------------------------------------------------------------------------------------------------
 for _name, _model, _key, _where, _sql in [
     ("where_eq", "Order", "o_orderkey", f("o_orderstatus").eq("F"), "FROM orders WHERE o_orderstatus = 'F'"),
-    ("where_ne_null_true", "Customer", "c_custkey", f("rich").ne(6000), f"FROM customer WHERE coalesce({RICH} <> 6000, true)"),
+    ("where_ne_null_true", "Event", "event_id", f("grade").ne(2), f"FROM events WHERE coalesce({GRADE} <> 2, true)"),
     ("where_in", "Order", "o_orderkey", f("o_orderpriority").in_("1-URGENT", "2-HIGH"), "FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     ("where_in_empty", "Order", "o_orderkey", f("o_orderkey").in_([]), "FROM orders WHERE false"),
-    ("where_not_in", "Customer", "c_custkey", f("rich").not_in([6000, 7000]), f"FROM customer WHERE coalesce({RICH} NOT IN (6000, 7000), true)"),
+    ("where_not_in", "Event", "event_id", f("grade").not_in([1, 3]), f"FROM events WHERE coalesce({GRADE} NOT IN (1, 3), true)"),
     ("where_range", "Order", "o_orderkey", f("o_totalprice").gte(1000) & f("o_totalprice").lt(50000), f"FROM orders WHERE {TOTAL} >= 1000 AND {TOTAL} < 50000"),
     ("where_lte_gt", "Part", "p_partkey", f("p_size").lte(10) | f("p_size").gt(45), "FROM part WHERE p_size <= 10 OR p_size > 45"),
     ("where_contains_ci", "Part", "p_partkey", f("p_type").ci().contains("dI"), "FROM part WHERE contains(lower(p_type), 'di')"),

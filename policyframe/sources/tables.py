@@ -69,9 +69,9 @@ MODELS = [
     Model(
         "Event",
         "events",
-        {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string", "doc": "string"},
+        {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string", "doc": "string", "grade": "int"},
         ("event_id",),
-        {}, {"doc": _DOC},
+        {}, {"doc": _DOC, "grade": "CASE WHEN event_id % 4 > 0 THEN event_id % 4 END"},
     ),
     Model(
         "Document",
