@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lines": lines.OP6_SQL, "op7_urls": urls.OP7_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op5_substrings": substrings.OP5_SQL, "op6_lines": lines.OP6_SQL, "op7_urls": urls.OP7_SQL}

@@ -246,3 +246,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: The same, with all windows as texts.
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM docs, unnest(range(1, len(w) - 18)) AS u(i)
+), later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY words) AS f FROM windows) WHERE (doc_id, i) <> f),
+removed AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(i, i + 20)) AS u(p)),
+kept AS (
+  SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS words, count(*) AS n
+  FROM docs, unnest(range(1, len(w) + 1)) AS u(p) WHERE NOT EXISTS (FROM removed r WHERE r.doc_id = docs.doc_id AND r.p = u.p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from policyframe.llm import decontaminate, html, lines, neighbours, pack, quality, shared, simhash, substrings, toxicity, urls
+from policyframe.llm import decontaminate, html, lines, neighbours, pack, quality, registry, shared, simhash, substrings, toxicity, urls
 from policyframe.llm.components import components
 from tests.llm.conftest import frame
 from tests.llm.test_text_operators import by_windows, sha
+from tests.oracle import differences
 
 CLASHES = "_id _key _lines _removed _url _at _best _first _n _fp _root u at pattern best own0 own1 id key text2 ref line bucket row rank part fold x y band side w mixed place told removed n_removed score held_out predicted leaf v slot wrapper host".split()
 
@@ -416,3 +417,8 @@ def test_places_of_lines_tell_what_they_are_made_of(spark):
     assert all((r["p"]["id"], r["p"]["line"], r["p"]["last"]) == (r["id"], r["line"], r["key"] & lines._LAST) for r in out)
     assert len({r["ref"] for r in out}) == len(rows)
     assert [r["ref"] for r in sorted(out, key=lambda r: (r["id"], r["line"], r["ref"]))] == sorted(r["ref"] for r in out)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    assert differences(registry.queries()[name](spark, sf_dir), sf_dir, registry.oracle_sql()[name]) is None
