@@ -136,9 +136,12 @@ def _near(distinct: DataFrame, fuzzy_words: int, texts: DataFrame) -> DataFrame:
     # Words are read again for the chosen lines alone: texts meet lists of places.
     places = chosen.select("ref", *_place("ref")).groupBy("id", "last").agg(F.collect_list(F.struct("line", "ref")).alias("places"))
     found = texts.withColumn("last", F.col("key").bitwiseAND(F.lit(_LAST))).join(cut(places, "places").hint("merge"), ["id", "last"])
-    found = found.select("id", "key", F.split("text", "\n", -1).alias("all"), F.explode("places").alias("p")).select("id", "key", "all", "p.line", "p.ref")
+    # A text is taken apart once (the explode keeps the split from being merged into what follows), and no row carries all of it.
+    found = found.select("id", "key", "places", F.explode(F.array(F.split("text", "\n", -1))).alias("all"))
+    chosen_lines = F.transform("places", lambda p: F.struct(p["ref"].alias("ref"), p["line"].alias("line"), F.get("all", p["line"]).alias("raw")))
+    found = found.select("id", "key", F.explode(chosen_lines).alias("p")).select("id", "key", "p.ref", "p.line", "p.raw")
     # Texts of one id may share the last bits; a place holds more of them.
-    words = found.filter(_ref() == F.col("ref")).select("ref", _words(F.get("all", F.col("line"))).alias("words")).withColumn("n", F.size("words"))
+    words = found.filter(_ref() == F.col("ref")).select("ref", _words(F.col("raw")).alias("words")).withColumn("n", F.size("words"))
     words = cut(words.dropDuplicates(["ref"]), "words")
 
     rows = _neighbourhood(words)

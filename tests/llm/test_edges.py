@@ -422,3 +422,44 @@ def test_places_of_lines_tell_what_they_are_made_of(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     assert differences(registry.queries()[name](spark, sf_dir), sf_dir, registry.oracle_sql()[name]) is None
+
+
+# --- very long texts, nulls, ties and repeated rows in all operators on texts --------------------------------------------------
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    edited = long.replace("w30000 ", "other ")
+    many = "\n".join(f"line {k} of a text with so many lines" for k in range(30_000))
+    docs = frame(spark, [(1, long), (2, edited), (3, many), (4, many)])
+    gone = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    # All lines of a text but the first are one edit from it; the copy loses all.
+    assert gone == {1: 0, 2: 1, 3: 29_999, 4: 30_000}
+    cutoff = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert cutoff[1] == 0 and cutoff[2] == 60_000 - 1 and cutoff[4] == 30_000 * 9
+    prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {1: 1, 2: 1, 3: 3, 4: 3}
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in found} == {1: (60_000, 60_000), 2: (60_000, 59_999), 3: (270_000, 0), 4: (270_000, 0)}
+    out = pack.pack(docs.filter("doc_id < 3")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("m")).collect()
+    assert len(out) == 2 and all(r["n"] > 60_000 and r["m"] == 2048 for r in out)
+
+
+def test_null_ids_and_texts_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, None), (None, None), (None, text), (None, text), (None, text + " more"), (1, None), (1, text), (1, text), (1, ""), (2, " \n ")]
+    docs = clashing(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    bench = spark.createDataFrame([(None, None), (None, text), (7, ""), (8, text)], "item_id long, text string")
+    found = decontaminate.decontaminate(docs, bench).collect()
+    assert len(found) == len(rows) and sum(r["contaminated"] for r in found) == 5 and all(r["n_items"] == r["contaminated"] for r in found)
+    kept = substrings.remove_repeats(docs).collect()
+    # Ids that are there come before those that are not; rows that repeat an id and text are one document.
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in kept) == sorted([(0, 0, 0)] * 2 + [(0, 40, 40)] * 2 + [(0, 41, 40), (1, 0, 0), (1, 40, 0), (1, 40, 0), (1, 0, 0), (2, 0, 0)])
+    gone = lines.dedup_lines(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in gone) == sorted([(0, 0)] * 2 + [(0, 1)] * 3 + [(1, 0)] * 4 + [(2, 0)])
+    near = simhash.near_duplicates(docs).collect()
+    assert len(near) == len(rows) and {r["component_id"] for r in near if r["fingerprint"] == "0" * 16} == {1}
+    assert {r["component_id"] for r in near} == {1}
+    packed = pack.pack(docs).collect()
+    assert len(packed) == len(rows) and len({(r["sequence_id"], r["offset"]) for r in packed}) == len(rows)
+    for module in (toxicity, quality):
+        labels = spark.createDataFrame([(None, None, None), (1, 1, 1), (1, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+        assert module.score(docs, module.train(docs, labels)).count() == len(rows)
