@@ -6,7 +6,7 @@ is blocked if, when it was fetched, an entry was active for its host, a parent d
 under that host ("example.org/en" covers "example.org/en/1"; "www." belongs to the host like any label). Of several, the longest
 pattern is reported, then the first category.
 
-Each distinct capture is turned into its possible patterns, and patterns that never were on the list are dropped; the rest meet
+Each distinct capture is turned into its possible patterns, no longer than the list's longest, and patterns that never were on the list are dropped; the rest meet
 the intervals in an as-of join: an equi-join on the pattern with the fetch time in the interval. A pattern that more than one
 capture in 1,024 has, such as a top-level domain or the host of a third of all captures, meets the list by broadcast; there are
 fewer than 1,024 times as many of them as patterns a capture. The others meet it by shuffle. The captures' other columns never
@@ -15,7 +15,7 @@ take part.
 Edge cases: captures with null or unparsable URLs or null fetch times are not blocked; events with a null pattern, time or
 unknown action count for nothing; of events of a pattern and category at one instant, 'remove' wins; a null category is a
 category, and comes first; repeated captures each get their row; empty tables give empty results or none blocked; extra columns
-of captures, of any name, pass through.
+of captures, of any name, pass through; URLs of any length cost time in proportion to it.
 """
 
 from __future__ import annotations
@@ -61,13 +61,15 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::\d*)?(?:[/?#].*)?$", 1))
 
 
-def patterns(url: Column) -> Column:
-    """Every pattern that would cover the URL: host and parent domains, and host with each leading part of the path."""
-    path = F.filter(F.split(F.regexp_extract(url, r"^[^/?#]*//[^/?#]*/([^?#]*)", 1), "/"), lambda s: s != "")
-    labels = F.split(host(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(host(url), F.lit("/"), F.lower(F.array_join(F.slice(path, F.lit(1), i), "/")))))
-    return F.when(host(url) != "", F.concat(domains, F.coalesce(parts, F.array().cast("array<string>"))))
+def patterns(url: Column, labels: int, parts: int) -> Column:
+    """Every pattern that would cover the URL: host and parent domains of at most so many labels, and host with each leading part
+    of the path, of at most so many steps. Without these bounds a URL of n steps would give texts of n * n steps together."""
+    path = F.slice(F.filter(F.split(F.regexp_extract(url, r"^[^/?#]*//[^/?#]*/([^?#]*)", 1), "/"), lambda s: s != ""), 1, parts)
+    names = F.split(host(url), r"\.")
+    names = F.slice(names, F.greatest(F.lit(1), F.size(names) - labels + 1), F.lit(labels))
+    domains = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    steps = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(host(url), F.lit("/"), F.lower(F.array_join(F.slice(path, F.lit(1), i), "/")))))
+    return F.when(host(url) != "", F.concat(domains, F.coalesce(steps, F.array().cast("array<string>"))))
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -76,8 +78,11 @@ def filter_urls(captures: DataFrame, events: DataFrame, *, url_col: str = "url",
     # Own columns go by number: no name of theirs can meet one of ours.
     own = captures.select(F.col(f"`{url_col}`").alias("u"), F.col(f"`{time_col}`").alias("at"), *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(captures.columns)])
     keys = own.select("u", "at").filter("u is not null and at is not null").groupBy("u", "at").agg(F.count("*").alias("rows"))
-    spread = keys.select("u", "at", F.explode(patterns(F.col("u"))).alias("pattern"))
     active = cut(intervals(events), "intervals")
+    # Longer patterns than the list's longest cannot be on it.
+    place = F.split("pattern", "/")
+    labels, parts = active.agg(F.max(F.size(F.split(place[0], r"\."))), F.max(F.size(place) - 1)).first()
+    spread = keys.select("u", "at", F.explode(patterns(F.col("u"), labels or 1, parts or 0)).alias("pattern"))
     # Patterns that never were on the list go; of the others, those of many captures are told.
     listed = spread.groupBy("pattern").agg(F.count("*").alias("times")).join(active.select("pattern").distinct(), "pattern", "left_semi")
     listed = cut(listed, "listed")

@@ -92,6 +92,13 @@ def test_urls_with_clashing_columns_nulls_and_a_hot_domain(spark):
     assert urls.filter_urls(captures, events.limit(0)).filter("blocked").count() == 0
 
 
+def test_very_long_urls(spark):
+    captures = spark.createDataFrame([("http://a.org/" + "x/" * 40_000, "2024-01-05"), ("http://" + "s." * 40_000 + "a.org/x/y", "2024-01-05"), ("http://a.org/" + "z" * 300_000, "2024-01-05"), ("http://b.org/p", None)], "url string, day string")
+    captures = captures.withColumn("fetched_at", F.to_timestamp("day"))
+    events = spark.createDataFrame([("a.org/x/x", "c", "add", "2024-01-01"), ("s.s.a.org", "d", "add", "2024-01-01")], "pattern string, category string, action string, day string").withColumn("effective_at", F.to_timestamp("day"))
+    assert [r["entry"] for r in urls.filter_urls(captures, events).orderBy(F.length("url")).collect()] == [None, "a.org/x/x", "s.s.a.org", None]
+
+
 # --- op8 ------------------------------------------------------------------------------------------------------------------
 def _stream(node):
     out, text = [], False
