@@ -135,26 +135,27 @@ def test_jobs_live(spark):
     at = lambda s: F.expr(f"timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {s})")
     none = spark.createDataFrame([], "job_id string, payload string, dedupe string, exclusive string, state string, attempts int, due timestamp, owner string, code string, changed timestamp")
     new = spark.createDataFrame([("a", "p", "d", None, 0), ("b", "p", "d", None, 0), ("c", "p", None, "x", 0), ("e", "p", None, "x", 0), ("g", "p", None, None, 90), ("a", "p", None, None, 0)], "job_id string, payload string, dedupe string, exclusive string, delay_s int")
-    table = jobs.enqueued(none, new, at(0))
+    kept = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731 - a step's table, as a store would keep it
     state = lambda df: {r["job_id"]: (r["state"], r["attempts"], r["owner"]) for r in df.collect()}
+    table = kept(jobs.enqueued(none, new, at(0)))
     assert sorted(state(table)) == ["a", "c", "e", "g"] or sorted(state(table)) == ["b", "c", "e", "g"]
     (first,) = set(state(table)) & {"a", "b"}
-    table = jobs.enqueued(table, new.filter("job_id = 'b' or job_id = 'a'").withColumn("dedupe", F.lit("d")), at(1))
+    table = kept(jobs.enqueued(table, new.filter("job_id = 'b' or job_id = 'a'").withColumn("dedupe", F.lit("d")), at(1)))
     assert len(state(table)) == 4  # an open job holds the dedupe key
-    run = jobs.claimed(table, "w", at(1), 60, 10)
+    run = kept(jobs.claimed(table, "w", at(1), 60, 10))
     assert {k for k, v in state(run).items() if v[0] == "running"} == {first, "c"}
     assert {k for k, v in state(jobs.claimed(run, "v", at(2), 60, 10)).items() if v[2] == "v"} == set()  # held, excluded or not due
-    late = jobs.claimed(run, "v", at(100), 60, 10)
+    late = kept(jobs.claimed(run, "v", at(100), 60, 10))
     assert {k for k, v in state(late).items() if v == ("running", 2, "v")} == {first, "c"} and state(late)["g"][2] == "v"
-    kept = jobs.claimed(jobs.renewed(run, "w", at(50), 60), "v", at(100), 60, 10)
-    assert {k for k, v in state(kept).items() if v[2] == "v"} == {"g"}
+    renewed = jobs.claimed(jobs.renewed(run, "w", at(50), 60), "v", at(100), 60, 10)
+    assert {k for k, v in state(renewed).items() if v[2] == "v"} == {"g"}
     told = spark.createDataFrame([(first, "retry", "busy", 5.0), ("c", "done", None, None)], "job_id string, outcome string, code string, delay_s double")
     assert state(jobs.settled(late, told, "w", at(101)))[first] == ("running", 2, "v")  # the lease went to another
-    done = jobs.settled(late, told, "v", at(101))
+    done = kept(jobs.settled(late, told, "v", at(101)))
     assert state(done)[first] == ("waiting", 2, None) and state(done)["c"] == ("done", 2, None)
     assert state(jobs.settled(late, told, "v", at(101), jobs.Backoff(attempts=2)))[first][0] == "failed"
     assert {k for k, v in state(jobs.claimed(done, "u", at(103), 60, 10)).items() if v[2] == "u"} == {"e"}
-    off = jobs.cancelled(done, F.col("job_id") == "e", at(104))
+    off = kept(jobs.cancelled(done, F.col("job_id") == "e", at(104)))
     assert state(off)["e"][0] == "cancelled" and state(jobs.requeued(off, F.lit(True), at(105)))["e"] == ("waiting", 0, None)
     assert sorted(state(jobs.retained(off, at(1000), 100))) == sorted([first, "g"])
 
