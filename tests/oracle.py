@@ -12,13 +12,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(x):
-    """Integers and decimals exactly, whatever their types' scales; doubles to 12 digits."""
+    """Integers and decimals exactly, whatever their types' scales; doubles to 12 digits, zero without a sign."""
     if isinstance(x, bool) or x is None:
         return x
     if isinstance(x, int | Decimal):
         return f"{Decimal(x).normalize() + 0:f}"
     if isinstance(x, float):
-        return None if math.isnan(x) else ("double", f"{x:.12g}")
+        return None if math.isnan(x) else ("double", f"{x + 0.0:.12g}")
     return str(x) if isinstance(x, datetime.date | datetime.datetime) else x
 
 
