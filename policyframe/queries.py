@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyframe.operators import graphql, semantic
-from policyframe.operators.analytics import Analyst, GroupLimits, avg_, count_, count_all, count_distinct, max_, min_, sum_
+from policyframe.operators.analytics import Analyst, avg_, count_, count_all, count_distinct, max_, min_, sum_
 from policyframe.operators.fields import Batched, Computed, capped, with_alias, with_computed
 from policyframe.operators.mutations import Writer
 from policyframe.operators.reads import Args
@@ -405,7 +405,7 @@ def _(a: Analyst) -> DataFrame:
 
 @query("group_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
 def _(a: Analyst) -> DataFrame:
-    return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], having=x.out("n").gt(12), limits=GroupLimits())
+    return a.group_by("Order", {"o_custkey": "o_custkey"}, [count_all()], having=x.out("n").gt(12))
 
 
 @query("group_having_text", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING contains(min(c_name), '1')")
